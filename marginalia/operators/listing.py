@@ -11,10 +11,7 @@ from marginalia.functions.paths import is_under, normalize_path
 
 META = ("path", "name", "tags", "mod_time", "preview")
 
-ORDERS = {
-    "modified-desc": (F.desc("mod_time"), F.asc("path")),
-    "modified-asc": (F.asc("mod_time"), F.asc("path")),
-}
+ORDERS = ("modified-desc", "modified-asc")
 
 
 def note_meta(notes: DataFrame) -> DataFrame:
@@ -38,7 +35,10 @@ def enrich(meta: DataFrame) -> DataFrame:
 
 def ordered(meta: DataFrame, order: str = "modified-desc") -> DataFrame:
     """Sort by modification time; the path breaks ties, so the order is total."""
-    return meta.orderBy(*ORDERS[order])
+    if order not in ORDERS:
+        raise ValueError(f"order is one of {ORDERS}, not {order!r}")
+    newest_first = order == "modified-desc"
+    return meta.orderBy(F.desc("mod_time") if newest_first else F.asc("mod_time"), "path")
 
 
 def get_note(notes: DataFrame, path: str) -> DataFrame:
