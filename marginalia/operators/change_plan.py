@@ -15,14 +15,13 @@ from marginalia.functions.names import (
 )
 from marginalia.functions.paths import basename, dirname, join_path, normalize_path, note_name
 from marginalia.functions.text import trim_blanks
-
-NOTE_KINDS = ("create", "update", "save", "delete", "move", "duplicate")
+from marginalia.operators.folder_ops import CREATE_KIND
 
 
 def plan_changes(changes: DataFrame) -> DataFrame:
     """One narrow row per note change; bodies stay behind in the log.
 
-    ``action`` is create, write, delete, move or duplicate. ``target`` is where
+    ``action`` is create, write, delete, move, duplicate or create_folder. ``target`` is where
     a write or a move leaves the note, or where a create wants it. A ``save``
     without a path is a create; with one it is a write that also renames when it
     has a name and moves when it has a folder, all or nothing.
@@ -39,11 +38,13 @@ def plan_changes(changes: DataFrame) -> DataFrame:
     moved_to = F.when((kind == "save") & F.col("folder").isNotNull(), folder).otherwise(
         dirname(path)
     )
-    created = F.when(trim_blanks(sanitized := sanitize_name(F.coalesce(name, F.lit("")))) == "", timestamp_name(ts)).otherwise(sanitized)
+    safe = sanitize_name(F.coalesce("name", F.lit("")))
+    created = F.when(safe == "", timestamp_name(ts)).otherwise(safe)
     action = (
         F.when(creates, "create")
         .when(kind.isin("update", "save"), "write")
-        .when(kind.isin("delete", "move", "duplicate"), kind)
+        .when(kind.isin("delete", "move", "duplicate", CREATE_KIND), kind)
+        .otherwise("unknown")
     )
     target = (
         F.when(action == "create", join_path(folder, with_md(created)))
@@ -51,7 +52,7 @@ def plan_changes(changes: DataFrame) -> DataFrame:
         .when(action == "move", join_path(folder, basename(path)))
     )
     illegal = (
-        F.when(action.isNull(), True)
+        F.when(action == "unknown", True)
         .when(action == "create", folder.isNull())
         .when(path.isNull() | (path == ""), True)
         .when((action == "write") & renames, F.contains(name, F.lit("/")))

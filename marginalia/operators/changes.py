@@ -15,9 +15,10 @@ from marginalia.functions.frontmatter import build_front_matter
 from marginalia.functions.names import family
 from marginalia.functions.paths import ancestors, dirname, normalize_path, note_name, rewrite_prefix
 from marginalia.functions.text import preview
-from marginalia.operators.change_plan import NOTE_KINDS, plan_changes
+from marginalia.operators.change_plan import plan_changes
 from marginalia.operators.folder_ops import (
-    FOLDER_KINDS,
+    CREATE_KIND,
+    ORDERED_KINDS,
     FolderOp,
     made_folders,
     resolve_run,
@@ -58,9 +59,9 @@ class _Apply:
         self.folder_set: DataFrame | None = None
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        is_folder_change = F.col("kind").isin(*FOLDER_KINDS)
+        kind = F.col("kind")
         folder_log = self.scratch.save(
-            self.changes.filter(is_folder_change).select(
+            self.changes.filter(kind.isin(*ORDERED_KINDS)).select(
                 "seq",
                 "kind",
                 normalize_path(F.col("path")).alias("path"),
@@ -68,7 +69,9 @@ class _Apply:
                 "name",
             )
         )
-        self.plan = self.scratch.save(plan_changes(self.changes.filter(~is_folder_change)))
+        self.plan = self.scratch.save(
+            plan_changes(self.changes.filter(~kind.isin(*ORDERED_KINDS)))
+        )
         done = None
         while True:
             rest = folder_log if done is None else folder_log.filter(F.col("seq") > done)
@@ -123,14 +126,19 @@ class _Apply:
         )
 
     def _note_phase(self, plan: DataFrame) -> None:
-        if plan.isEmpty():
-            return
-        outcome = apply_plan(self.scratch, plan, self._pull(plan))
-        self.state = outcome.state
-        self.rejects += outcome.rejects
-        made = _union(outcome.made)
-        if made is None:
+        """Note changes, and folders created, between two runs of ordered folder changes."""
+        actions = {row.action for row in plan.select("action").distinct().collect()}
+        if not actions:
             return
+        created = plan.filter(F.col("action") == CREATE_KIND)
+        self.rejects.append(created.filter("reason IS NOT NULL").select("seq", "reason"))
+        made = created.filter("reason IS NULL").select("path")
+        if actions != {CREATE_KIND}:
+            plan = plan.filter(F.col("action") != CREATE_KIND)
+            outcome = apply_plan(self.scratch, plan, self._pull(plan))
+            self.state = outcome.state
+            self.rejects += outcome.rejects
+            made = _union([made, *outcome.made])
         if self.folder_set is None:
             self.made.append(made)
             return

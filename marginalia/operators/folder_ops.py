@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-FOLDER_KINDS = ("create_folder", "rename_folder", "delete_folder", "move_folder")
+# Creating folders never depends on what was there, so any number of creates is
+# one set operation; the other kinds have to be taken in order.
+CREATE_KIND = "create_folder"
+ORDERED_KINDS = ("rename_folder", "delete_folder", "move_folder")
 
 
 @dataclass(frozen=True)
@@ -95,8 +98,6 @@ def _check(op: FolderOp, applied: list[Applied], exists) -> Applied | str | None
     """The change to apply, a reason to reject it, or None when there is nothing to do."""
     if not op.path:
         return "illegal_path"
-    if op.kind == "create_folder":
-        return Applied(made=op.path)
     if op.kind == "delete_folder":
         return Applied(old=op.path)
     if op.kind == "rename_folder":
