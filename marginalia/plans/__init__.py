@@ -1,0 +1,6 @@
+"""The registered queries and the SQL each of them is checked against."""
+
+from marginalia.plans import reading
+
+QUERIES = {**reading.QUERIES}
+ORACLES = {**reading.ORACLES}

@@ -1,0 +1,7 @@
+"""Continuous counterparts on Structured Streaming."""
+
+from marginalia.streaming.queue import stream_coalesce
+from marginalia.streaming.replay import apply_batch, stream_apply
+from marginalia.streaming.sessions import stream_sessions
+
+__all__ = ["apply_batch", "stream_apply", "stream_coalesce", "stream_sessions"]
