@@ -1,6 +1,6 @@
 """The registered queries and the SQL each of them is checked against."""
 
-from marginalia.plans import reading
+from marginalia.plans import changing, reading
 
-QUERIES = {**reading.QUERIES}
-ORACLES = {**reading.ORACLES}
+QUERIES = {**reading.QUERIES, **changing.QUERIES}
+ORACLES = {**reading.ORACLES, **changing.ORACLES}
