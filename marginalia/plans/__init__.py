@@ -1,6 +1,6 @@
 """The registered queries and the SQL each of them is checked against."""
 
-from marginalia.plans import changing, reading
+from marginalia.plans import changing, flowing, reading
 
-QUERIES = {**reading.QUERIES, **changing.QUERIES}
-ORACLES = {**reading.ORACLES, **changing.ORACLES}
+QUERIES = {**reading.QUERIES, **changing.QUERIES, **flowing.QUERIES}
+ORACLES = {**reading.ORACLES, **changing.ORACLES, **flowing.ORACLES}
