@@ -14,8 +14,8 @@ _BLANKS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _S = "[" + _BLANKS + "]"
 _NS = "[^" + _BLANKS + "]"
 _DOT = r"[^\n\r\u2028\u2029]"
-_BOL = r"(?<![^\n\r\u2028\u2029])"
-_EOL = r"(?![^\n\r\u2028\u2029])"
+_BOL = r"(?:\A|(?<=[\n\r\u2028\u2029]))"
+_EOL = r"(?=[\n\r\u2028\u2029]|\z)"
 
 # The rewrites, in the order they apply (the order has meaning).
 REWRITES = (

@@ -21,10 +21,11 @@ from marginalia.operators.folder_ops import CREATE_KIND
 def plan_changes(changes: DataFrame) -> DataFrame:
     """One narrow row per note change; bodies stay behind in the log.
 
-    ``action`` is create, write, delete, move, duplicate or create_folder. ``target`` is where
-    a write or a move leaves the note, or where a create wants it. A ``save``
-    without a path is a create; with one it is a write that also renames when it
-    has a name and moves when it has a folder, all or nothing.
+    ``action`` is create, write (in place), rewrite (a write that also changes the
+    path), delete, move, duplicate or create_folder. ``target`` is where a write
+    or a move leaves the note, or where a create wants it. A ``save`` without a
+    path is a create; with one it is a write that also renames when it has a name
+    and moves when it has a folder, all or nothing.
     """
     kind, name, ts = F.col("kind"), F.col("name"), F.col("ts")
     path = normalize_path(F.col("path"))
@@ -58,9 +59,10 @@ def plan_changes(changes: DataFrame) -> DataFrame:
         .when((action == "write") & renames, F.contains(name, F.lit("/")))
         .otherwise(False)
     ) | (action.isin("write", "move") & folder.isNull())
+    step = F.when((action == "write") & (target != path), "rewrite").otherwise(action)
     return changes.select(
         "seq",
-        action.alias("action"),
+        step.alias("action"),
         F.when(action != "create", path).alias("path"),
         target.alias("target"),
         timestamp_name(ts).alias("stamp"),
@@ -87,8 +89,8 @@ def touches(pending: DataFrame) -> DataFrame:
     a created note.
     """
     action = F.col("action")
-    in_place = (action == "write") & (F.col("path") == F.col("target"))
-    relocates = (action.isin("write", "move")) & ~in_place
+    in_place = action == "write"
+    relocates = action.isin("rewrite", "move")
     alone = F.concat(F.lit("only:"), F.col("seq").cast("string"))
     stamped = stamped_parts(note_name(F.col("target")))
     child_of = join_path(dirname(F.col("target")), F.concat(stamped["base"], F.lit(".md")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.markdown import strip_markdown
 from marginalia.functions.names import is_timestamp_name
 from marginalia.functions.paths import is_under, normalize_path
+from marginalia.operators.sorting import sort_once
 
 META = ("path", "name", "tags", "mod_time", "preview")
 
@@ -38,7 +39,9 @@ def ordered(meta: DataFrame, order: str = "modified-desc") -> DataFrame:
     if order not in ORDERS:
         raise ValueError(f"order is one of {ORDERS}, not {order!r}")
     newest_first = order == "modified-desc"
-    return meta.orderBy(F.desc("mod_time") if newest_first else F.asc("mod_time"), "path")
+    return sort_once(
+        meta, F.desc("mod_time") if newest_first else F.asc("mod_time"), F.asc("path")
+    )
 
 
 def get_note(notes: DataFrame, path: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.names import copy_name, copy_parts, stamped_name, stamped_parts
@@ -63,15 +64,18 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
 def _split(scratch: Scratch, pending: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The changes that can be applied now, and the others (None when there are none)."""
     touched = touches(pending)
+    mixed = touched.groupBy("resource").agg(
+        F.min("label").alias("one"), F.max("label").alias("other")
+    )
+    if mixed.filter("one != other").isEmpty():
+        return pending, None
     heads = touched.groupBy("resource").agg(F.min_by("label", "seq").alias("head"))
-    stops = scratch.save(
+    stops = (
         touched.join(heads, "resource")
         .filter("label != head")
         .groupBy("resource")
         .agg(F.min("seq").alias("stop"))
     )
-    if stops.isEmpty():
-        return pending, None
     held = scratch.save(
         touched.join(stops, "resource").filter("seq >= stop").select("seq").distinct()
     )
@@ -87,11 +91,13 @@ def _round(
     """Apply mutually independent changes to ``out``; returns those to try again."""
     state, deferred = out.state, None
     added = []
-    if actions & {"write", "move", "delete"}:
-        effects, rejects = _static_effects(ready, state)
+    if actions & {"write", "rewrite", "move", "delete"}:
+        effects, rejects = _static_effects(ready, state, actions)
+        out.rejects.append(rejects)
         effects = scratch.save(effects)
-        out.rejects.append(scratch.save(rejects))
-        out.made.append(effects.filter("made").select(dirname(F.col("new_path")).alias("path")))
+        if actions & {"rewrite", "move"}:
+            made = effects.filter("made").select(dirname(F.col("new_path")).alias("path"))
+            out.made.append(made)
         state = _apply_effects(state, effects)
     if "create" in actions:
         created = scratch.save(_created(ready.filter("action = 'create'"), out.state))
@@ -109,58 +115,72 @@ def _round(
     return deferred
 
 
-def _static_effects(ready: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _static_effects(
+    ready: DataFrame, state: DataFrame, actions: set[str]
+) -> tuple[DataFrame, DataFrame]:
     """One effect per touched path, and the changes that had none."""
-    static = ready.filter(F.col("action").isin("write", "move", "delete"))
+    static = ready.filter(F.col("action").isin("write", "rewrite", "move", "delete"))
     missing = static.filter("NOT present").select("seq", F.lit("not_found").alias("reason"))
     found = static.filter("present")
+    effects, rejects = [], [missing]
+    if "write" in actions:
+        effects.append(_writes(found.filter("action = 'write'")))
+    if "delete" in actions:
+        deletes = found.filter("action = 'delete'")
+        firsts = deletes.groupBy("path").agg(F.min("seq").alias("seq"))
+        again = deletes.join(firsts, ["path", "seq"], "left_anti")
+        effects.append(firsts.select("path", *_effect()))
+        rejects.append(again.select("seq", F.lit("not_found").alias("reason")))
+    if actions & {"rewrite", "move"}:
+        relocating = found.filter(F.col("action").isin("rewrite", "move"))
+        taken = state.filter("path IS NOT NULL").select(F.col("path").alias("target"))
+        clash = (
+            relocating.filter("path != target")
+            .join(taken, "target", "left_semi")
+            .select("seq", F.lit("exists").alias("reason"))
+        )
+        writing = F.col("action") == "rewrite"
+        relocated = relocating.join(clash, "seq", "left_anti").select(
+            "path",
+            *_effect(
+                new_path=F.col("target"),
+                content_seq=F.when(writing & F.col("has_content"), F.col("seq")),
+                tags=F.when(writing, F.col("tags")),
+                mod_time=F.when(writing, F.col("ts")),
+                made=F.col("path") != F.col("target"),
+            ),
+        )
+        effects.append(relocated)
+        rejects.append(clash)
+    return reduce(DataFrame.unionByName, effects), reduce(DataFrame.unionByName, rejects)
 
-    in_place = found.filter("action = 'write' AND path = target")
-    last = F.max_by(F.struct("tags", "ts"), F.col("seq"))
-    writes = in_place.groupBy("path").agg(
-        F.col("path").alias("new_path"),
-        F.max(F.when(F.col("has_content"), F.col("seq"))).alias("content_seq"),
-        last.alias("last"),
-        F.lit(False).alias("made"),
-    )
-    writes = writes.select(
-        "path", "new_path", "content_seq", "last.tags", F.col("last.ts").alias("mod_time"), "made"
-    )
 
-    deletes = found.filter("action = 'delete'").groupBy("path").agg(F.min("seq").alias("seq"))
-    again = (
-        found.filter("action = 'delete'")
-        .join(deletes, ["path", "seq"], "left_anti")
-        .select("seq", F.lit("not_found").alias("reason"))
-    )
-    gone = deletes.select(
-        "path",
-        F.lit(None).cast("string").alias("new_path"),
-        F.lit(None).cast("bigint").alias("content_seq"),
-        F.lit(None).cast("array<string>").alias("tags"),
-        F.lit(None).cast("bigint").alias("mod_time"),
-        F.lit(False).alias("made"),
-    )
+def _effect(new_path=None, content_seq=None, tags=None, mod_time=None, made=None) -> list[Column]:
+    """The columns of an effect; a note without a new path is gone."""
+    return [
+        F.lit(new_path).cast("string").alias("new_path"),
+        F.lit(content_seq).cast("bigint").alias("content_seq"),
+        F.lit(tags).cast("array<string>").alias("tags"),
+        F.lit(mod_time).cast("bigint").alias("mod_time"),
+        F.coalesce(F.lit(made).cast("boolean"), F.lit(False)).alias("made"),
+    ]
+
 
-    stays = F.col("path") == F.col("target")
-    relocating = found.filter("action != 'delete' AND NOT (action = 'write' AND path = target)")
-    taken = state.filter("path IS NOT NULL").select(F.col("path").alias("target"))
-    clash = (
-        relocating.filter(~stays)
-        .join(taken, "target", "left_semi")
-        .select("seq", F.lit("exists").alias("reason"))
+def _writes(writes: DataFrame) -> DataFrame:
+    """Writes in place, folded per note: the last tags, and the last body that was given."""
+    folded = writes.groupBy("path").agg(
+        F.max(F.when(F.col("has_content"), F.col("seq"))).alias("content_seq"),
+        F.max_by(F.struct("tags", "ts"), "seq").alias("last"),
     )
-    writing = F.col("action") == "write"
-    relocated = relocating.join(clash, "seq", "left_anti").select(
+    return folded.select(
         "path",
-        F.col("target").alias("new_path"),
-        F.when(writing & F.col("has_content"), F.col("seq")).alias("content_seq"),
-        F.when(writing, F.col("tags")).alias("tags"),
-        F.when(writing, F.col("ts")).alias("mod_time"),
-        (~stays).alias("made"),
+        *_effect(
+            new_path=F.col("path"),
+            content_seq=F.col("content_seq"),
+            tags=F.col("last.tags"),
+            mod_time=F.col("last.ts"),
+        ),
     )
-    effects = writes.unionByName(gone).unionByName(relocated)
-    return effects, missing.unionByName(again).unionByName(clash)
 
 
 def _apply_effects(state: DataFrame, effects: DataFrame) -> DataFrame:

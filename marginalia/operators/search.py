@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marginalia.operators.listing import META, ordered
+from marginalia.operators.sorting import sort_once
 from marginalia.scratch import Scratch
 
 # One pass over the corpus answers this many queries, or this many characters of
@@ -37,8 +38,10 @@ def search_notes(
         notes = notes.filter(has_tag(tag))
     if q:
         notes = notes.filter(body_contains(q))
-    found = ordered(notes.select(*META))
-    return found if limit is None else found.limit(limit)
+    found = notes.select(*META)
+    if limit is not None:
+        return found.orderBy(F.desc("mod_time"), "path").limit(limit)
+    return ordered(found)
 
 
 def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
         while group is not None:
             out = out.unionByName(scratch.save(_one_pass(notes, group)))
             group = next(groups, None)
-    return out.orderBy("query_id", F.desc("mod_time"), "path")
+    return sort_once(out, "query_id", F.desc("mod_time"), "path")
 
 
 def _groups(queries: DataFrame) -> Iterator[list[Row]]:
@@ -84,24 +87,42 @@ def _groups(queries: DataFrame) -> Iterator[list[Row]]:
 
 
 def _one_pass(notes: DataFrame, group: Sequence[Row]) -> DataFrame:
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(row.query_id).cast("bigint").alias("query_id"),
-                F.lit(row.q).alias("q"),
-                F.lit(row.tag).alias("tag"),
-            )
-            for row in group
-        ]
-    )
-    # Lower-case each note once, then test all queries against that one copy.
-    lowered = F.array(
+    """Test a bounded group of queries on every note, inside the scan.
+
+    A query that has a whole word between two spaces can only match a note that
+    has this word too. Such queries are filed under their longest such word, and
+    a note is tested only on those filed under its own words; all other queries
+    are tested on every note.
+    """
+    filed: dict[str, list[Row]] = {}
+    unfiled: list[Row] = []
+    for row in group:
+        words = [word for word in row.q.split(" ")[1:-1] if word]
+        if words:
+            filed.setdefault(max(words, key=len), []).append(row)
+        else:
+            unfiled.append(row)
+    # Lower-case and split each note once, then test all its queries on that copy.
+    body = F.lower("content")
+    words = F.array_distinct(F.split(body, " ")) if filed else F.array().cast("array<string>")
+    once = F.array(
         F.struct(
-            F.lower("content").alias("body"), F.transform("tags", lambda t: F.lower(t)).alias("tags")
+            body.alias("body"),
+            words.alias("words"),
+            F.transform("tags", lambda t: F.lower(t)).alias("tags"),
         )
     )
 
     def hits(note: Column) -> Column:
+        wanted = _constant(unfiled)
+        if filed:
+            shared = F.array_intersect(note["words"], F.array(*[F.lit(word) for word in filed]))
+            by_word = F.map_from_arrays(
+                F.array(*[F.lit(word) for word in filed]),
+                F.array(*[_constant(rows) for rows in filed.values()]),
+            )
+            under_words = F.flatten(F.transform(shared, lambda word: F.element_at(by_word, word)))
+            wanted = F.concat(wanted, under_words)
         matching = F.filter(
             wanted,
             lambda w: ((w["tag"] == "") | F.array_contains(note["tags"], w["tag"]))
@@ -109,5 +130,18 @@ def _one_pass(notes: DataFrame, group: Sequence[Row]) -> DataFrame:
         )
         return F.transform(matching, lambda w: w["query_id"])
 
-    ids = F.transform(lowered, hits)[0]
+    ids = F.transform(once, hits)[0]
     return notes.select(F.explode(ids).alias("query_id"), *META)
+
+
+def _constant(rows: Sequence[Row]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(row.query_id).cast("bigint").alias("query_id"),
+                F.lit(row.q).alias("q"),
+                F.lit(row.tag).alias("tag"),
+            )
+            for row in rows
+        ]
+    ).cast("array<struct<query_id:bigint,q:string,tag:string>>")

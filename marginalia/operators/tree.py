@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import ancestors, basename, depth, dirname
 from marginalia.operators.listing import named_notes
+from marginalia.operators.sorting import sort_once
 from marginalia.schema import folders_from_paths
 
 
@@ -77,14 +78,11 @@ def folder_tree(
         *[F.lit(None).cast(filed.schema[c].dataType).alias(c) for c in filed.columns[1:]],
     )
     folder = F.col("folder")
-    return (
-        filed.unionByName(empty)
-        .select(
-            folder,
-            dirname(folder).alias("parent"),
-            basename(folder).alias("folder_name"),
-            depth(folder).cast("int").alias("depth"),
-            *filed.columns[1:],
-        )
-        .orderBy(F.split("folder", "/"), F.desc("mod_time"), "note_path")
+    rows = filed.unionByName(empty).select(
+        folder,
+        dirname(folder).alias("parent"),
+        basename(folder).alias("folder_name"),
+        depth(folder).cast("int").alias("depth"),
+        *filed.columns[1:],
     )
+    return sort_once(rows, F.split("folder", "/"), F.desc("mod_time"), "note_path")
