@@ -78,6 +78,19 @@ def normalize_path(path: Column) -> Column:
     )
 
 
+def normal_constant(path: str) -> str | None:
+    """``normalize_path`` of a query parameter, so that a filter on it is a plain constant."""
+    parts: list[str] = []
+    for part in path.split("/"):
+        if part == ".." and not parts:
+            return None
+        if part == "..":
+            parts.pop()
+        elif part not in ("", "."):
+            parts.append(part)
+    return "/".join(parts)
+
+
 def rewrite_prefix(path: Column, ops: Sequence[tuple[str, str | None]] | Column) -> Column:
     """Fold ordered ``(old, new)`` folder rewrites over a path; ``new`` None deletes.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.markdown import strip_markdown
 from marginalia.functions.names import is_timestamp_name
-from marginalia.functions.paths import is_under, normalize_path
+from marginalia.functions.paths import is_under, normal_constant
 from marginalia.operators.sorting import sort_once
 
 META = ("path", "name", "tags", "mod_time", "preview")
@@ -64,5 +64,4 @@ def named_notes(notes: DataFrame) -> DataFrame:
 
 
 def _clean(path: str) -> Column:
-    # A constant: folded before the scan, so the comparison still reaches it.
-    return normalize_path(F.lit(path))
+    return F.lit(normal_constant(path)).cast("string")

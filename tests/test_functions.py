@@ -25,6 +25,7 @@ from marginalia.functions import (
     truncate,
 )
 from marginalia.functions.names import copy_parts, family, stamped_name, stamped_parts
+from marginalia.functions.paths import normal_constant
 from marginalia.functions.text import UNICODE_BLANKS
 
 
@@ -225,6 +226,7 @@ def test_normalize_path(spark):
     rng = random.Random(5)
     paths = ["/".join(rng.choice(["", ".", "..", "a", "..foo", "b c"]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
     assert apply(spark, paths, normalize_path) == [model(p) for p in paths]
+    assert [normal_constant(p) for p in paths] == [model(p) for p in paths]
 
 
 def test_rewrite_prefix(spark):
