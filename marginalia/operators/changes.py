@@ -24,7 +24,7 @@ from marginalia.operators.folder_ops import (
     resolve_run,
     rewrites,
 )
-from marginalia.operators.rounds import STATE, apply_plan
+from marginalia.operators.rounds import STATE_COLUMNS, apply_plan
 from marginalia.operators.tree import all_folders
 from marginalia.schema import CHANGES, NOTES, folders_from_paths
 from marginalia.scratch import Scratch
@@ -52,7 +52,7 @@ class _Apply:
         self.notes = notes
         self.folders = folders
         self.changes = changes
-        self.state = self.spark.createDataFrame([], STATE)
+        self.state: DataFrame | None = None  # touched notes, once there are any
         self.moves: list[tuple[str, str | None]] = []
         self.made: list[DataFrame] = []
         self.rejects: list[DataFrame] = []
@@ -119,7 +119,8 @@ class _Apply:
         moves = rewrites(applied)
         made = self.spark.createDataFrame([(p,) for p in made_folders(applied)], "path string")
         self.moves += moves
-        self.state = self.state.withColumn("path", rewrite_prefix(F.col("path"), moves))
+        if self.state is not None:
+            self.state = self.state.withColumn("path", rewrite_prefix(F.col("path"), moves))
         moved = known.select(rewrite_prefix(F.col("path"), moves).alias("path"))
         self.folder_set = self.scratch.save(
             moved.filter("path IS NOT NULL").unionByName(made).distinct()
@@ -161,12 +162,16 @@ class _Apply:
             here.withColumn("family", family(F.col("path")))
             .join(named.distinct(), "family", "left_semi")
             .drop("family")
-            .join(self.state.select("own_path"), "own_path", "left_anti")
         )
-        return self.scratch.save(self.state.unionByName(pulled))
+        if self.state is not None:
+            known = self.state.select("own_path")
+            pulled = self.state.unionByName(pulled.join(known, "own_path", "left_anti"))
+        return self.scratch.save(pulled.select(*STATE_COLUMNS))
 
     def _notes(self) -> DataFrame:
         """The new snapshot: bodies come from the old one, or from the log."""
+        if self.state is None:
+            return self._moved_only()
         own = self.state.filter("own_path IS NOT NULL").select(
             F.col("own_path").alias("path"),
             F.col("path").alias("new_path"),
@@ -224,6 +229,17 @@ class _Apply:
             }
         ).select(*NOTES.fieldNames())
 
+    def _moved_only(self) -> DataFrame:
+        """Folder changes alone rewrite paths in place; no row meets another."""
+        moved = self.notes.withColumn("path", rewrite_prefix(F.col("path"), self.moves))
+        return (
+            moved.filter("path IS NOT NULL")
+            .withColumns(
+                {"folder": dirname(F.col("path")), "name": note_name(F.col("path"))}
+            )
+            .select(*NOTES.fieldNames())
+        )
+
     def _folders(self) -> DataFrame:
         if self.folder_set is not None:
             return folders_from_paths(self.folder_set)

@@ -17,10 +17,6 @@ from marginalia.scratch import Scratch
 # A touched note. ``path`` is NULL once it is gone. ``own_path`` is the snapshot
 # row it stands for (NULL when it was made by a change); its body is that of the
 # snapshot row ``body_path``, or of the change ``body_seq`` when that is set.
-STATE = (
-    "path string, own_path string, body_path string, body_seq bigint, "
-    "tags array<string>, mod_time bigint, dirty boolean"
-)
 STATE_COLUMNS = ("path", "own_path", "body_path", "body_seq", "tags", "mod_time", "dirty")
 
 

@@ -211,3 +211,25 @@ def test_free_numbers(spark):
     for k, n in asked.items():
         free = [i for i in range(1, 1000) if i not in used.get(k, ())]
         assert [got[k, i + 1] for i in range(n)] == free[:n]
+
+
+def test_folder_changes_alone_shuffle_no_notes(spark):
+    log = [change(1, "rename_folder", "a", name="b"), change(2, "delete_folder", "c")]
+    notes, _, _ = run(spark, [("a/n.md", "1", [], 1)], [], log)
+    plan = notes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_hot_note_and_hot_name(spark):
+    """A third of a log on one note or one name stays few rounds, and comes out exact."""
+    log = []
+    for seq in range(1, 241):
+        if seq % 3 == 0:
+            log.append(change(seq, "duplicate", "hot.md", ts=1000))
+        elif seq % 3 == 1:
+            log.append(change(seq, "create", name="same", content=str(seq), ts=1000))
+        else:
+            log.append(change(seq, "update", "warm.md", content=str(seq), tags=["t"]))
+    notes = [("hot.md", "h", ["x"], 1), ("warm.md", "w", [], 1), ("hot (copy 7).md", "c", [], 1)]
+    model = check(spark, notes, [], log)
+    assert "hot (copy 81).md" in model.notes and "1970-01-01_000001-79_same.md" in model.notes
