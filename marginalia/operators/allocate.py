@@ -15,8 +15,9 @@ def ordinal_within(
 ) -> DataFrame:
     """Number rows 1, 2, ... within ``keys`` by ``order``, a unique integer column.
 
-    Values of ``order`` are cut into blocks, so no window holds more than
-    ``block`` rows of a group; the count of each block's predecessors is added on.
+    Values of ``order`` are cut into blocks of this width, so no window holds more
+    than ``block`` rows of a group; the count of each block's predecessors is
+    added on. For an order with gaps, ``block_width`` gives a wider block.
     """
     keys = list(keys)
     blocked = df.withColumn("_block", F.floor(F.col(order) / block))
@@ -38,6 +39,11 @@ def ordinal_within(
     )
 
 
+def block_width(low: int, high: int, rows: int) -> int:
+    """A block width that holds about ``BLOCK`` rows of an order that spans ``low`` to ``high``."""
+    return min(BLOCK * max(1, (high - low + 1) // max(rows, 1)), 1 << 62)
+
+
 def free_numbers(
     requests: DataFrame,
     used: DataFrame,

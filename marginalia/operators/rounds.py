@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.names import copy_name, copy_parts, stamped_name, stamped_parts
 from marginalia.functions.paths import dirname, join_path, note_name
-from marginalia.operators.allocate import free_numbers, ordinal_within
+from marginalia.operators.allocate import block_width, free_numbers, ordinal_within
 from marginalia.operators.change_plan import touches
 from marginalia.scratch import Scratch
 
@@ -39,6 +39,8 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
     illegal = plan.filter("reason IS NOT NULL").select("seq", "reason")
     out.rejects.append(illegal)
     pending = plan.filter("reason IS NULL").drop("reason")
+    low, high, rows = plan.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = block_width(low or 0, high or 0, rows)
     while True:
         alive = out.state.filter("path IS NOT NULL").select("path").withColumn("present", F.lit(True))
         pending = scratch.save(
@@ -50,7 +52,7 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
         if not actions:
             return out
         ready, blocked = _split(scratch, pending)
-        deferred = _round(scratch, ready, actions, out)
+        deferred = _round(scratch, ready, actions, out, width)
         waiting = [df for df in (blocked, deferred) if df is not None]
         if not waiting:
             return out
@@ -82,7 +84,7 @@ def _split(scratch: Scratch, pending: DataFrame) -> tuple[DataFrame, DataFrame |
 
 
 def _round(
-    scratch: Scratch, ready: DataFrame, actions: set[str], out: Outcome
+    scratch: Scratch, ready: DataFrame, actions: set[str], out: Outcome, width: int
 ) -> DataFrame | None:
     """Apply mutually independent changes to ``out``; returns those to try again."""
     state, deferred = out.state, None
@@ -96,12 +98,12 @@ def _round(
             out.made.append(made)
         state = _apply_effects(state, effects)
     if "create" in actions:
-        created = scratch.save(_created(ready.filter("action = 'create'"), out.state))
+        created = scratch.save(_created(ready.filter("action = 'create'"), out.state, width))
         out.made.append(created.select(dirname(F.col("path")).alias("path")))
         added.append(created)
     if "duplicate" in actions:
         copies, rejects, deferred = _duplicates(
-            scratch, ready.filter("action = 'duplicate'"), out.state
+            scratch, ready.filter("action = 'duplicate'"), out.state, width
         )
         out.rejects.append(rejects)
         added.append(copies)
@@ -200,7 +202,7 @@ def _apply_effects(state: DataFrame, effects: DataFrame) -> DataFrame:
     )
 
 
-def _created(creates: DataFrame, state: DataFrame) -> DataFrame:
+def _created(creates: DataFrame, state: DataFrame, width: int) -> DataFrame:
     """New notes: the first create of a free path gets it, the others a stamped name."""
     named = creates.withColumns(
         {
@@ -208,7 +210,7 @@ def _created(creates: DataFrame, state: DataFrame) -> DataFrame:
             "base": note_name(F.col("target")),
         }
     ).withColumn("bare", F.col("target"))
-    ranked = ordinal_within(named, ["bare"], "seq", "rank")
+    ranked = ordinal_within(named, ["bare"], "seq", "rank", width)
     taken = state.filter("path IS NOT NULL").select(
         F.col("path").alias("bare"), F.lit(True).alias("taken")
     )
@@ -218,7 +220,11 @@ def _created(creates: DataFrame, state: DataFrame) -> DataFrame:
 
     keys = ["into", "base", "stamp"]
     rest = ordinal_within(
-        ranked.filter(~direct).select("seq", *keys, "tags", "ts", "has_content"), keys, "seq", "ordinal"
+        ranked.filter(~direct).select("seq", *keys, "tags", "ts", "has_content"),
+        keys,
+        "seq",
+        "ordinal",
+        width,
     )
     parts = stamped_parts(note_name(F.col("path")))
     used = (
@@ -247,7 +253,7 @@ def _created(creates: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _duplicates(
-    scratch: Scratch, duplicates: DataFrame, state: DataFrame
+    scratch: Scratch, duplicates: DataFrame, state: DataFrame, width: int
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Copies under the smallest free copy numbers, rejects, and copies of copies to come."""
     missing = duplicates.filter("NOT present")
@@ -268,6 +274,7 @@ def _duplicates(
         keys,
         "seq",
         "ordinal",
+        width,
     )
     used = (
         state.filter("path IS NOT NULL")

@@ -1,6 +1,13 @@
 """Where notes come from and go to."""
 
-from marginalia.sources.files import render_notes, scan_folders, scan_notes, write_notes
+from marginalia.sources.files import (
+    refresh_notes,
+    render_notes,
+    scan_changed,
+    scan_folders,
+    scan_notes,
+    write_notes,
+)
 from marginalia.sources.ingest import as_creates, classify, ingest_gate
 from marginalia.sources.store import read_rejects, read_store, write_snapshot
 
@@ -10,7 +17,9 @@ __all__ = [
     "ingest_gate",
     "read_rejects",
     "read_store",
+    "refresh_notes",
     "render_notes",
+    "scan_changed",
     "scan_folders",
     "scan_notes",
     "write_notes",

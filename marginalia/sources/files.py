@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.frontmatter import build_front_matter
+from marginalia.operators.diff import to_parse
 from marginalia.schema import folders_from_paths, notes_from_raw
+from marginalia.scratch import Scratch
 from marginalia.sources.listing import hidden, list_tree, open_root
 
 MARKDOWN_SUFFIX = ".md"
@@ -24,17 +26,48 @@ def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     hidden names, so those come from the listing and are read beside it; no join
     carries file contents.
     """
-    listing = list_tree(spark, root).filter(
-        ~F.col("is_dir") & F.endswith("path", F.lit(MARKDOWN_SUFFIX))
-    )
+    listing = _listed(spark, root)
     empty = listing.filter("size = 0").select("path", F.lit("").alias("raw"), "mod_time", "size")
     left_out = listing.filter(hidden(F.col("path")) & (F.col("size") > 0))
-    by_hand = left_out.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(
-        _reader(root), _RAW
-    )
+    by_hand = _read_listed(spark, root, left_out)
     return notes_from_raw(_scan_visible(spark, root).unionByName(empty).unionByName(by_hand))
 
 
+def scan_changed(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """The notes that are new or changed since ``known`` was scanned; no other file is opened."""
+    return notes_from_raw(_read_listed(spark, root, to_parse(_listed(spark, root), known)))
+
+
+def refresh_notes(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """``known`` brought up to date with the folder, opening only new and changed files.
+
+    What is stale is found on paths, times and sizes; the kept bodies are only
+    filtered by it.
+    """
+    scratch = Scratch(spark, "refresh")
+    listing = scratch.save(_listed(spark, root))
+    version = ["path", "mod_time", "size"]
+    stale = scratch.save(
+        known.select(*version).join(listing.select(*version), version, "left_anti").select("path")
+    )
+    fresh = notes_from_raw(_read_listed(spark, root, to_parse(listing, known)))
+    return known.join(stale, "path", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    return list_tree(spark, root).filter(
+        ~F.col("is_dir") & F.endswith("path", F.lit(MARKDOWN_SUFFIX))
+    )
+
+
+def _read_listed(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Contents of listed files, read by executors."""
+    spread = files.select("path", "mod_time", "size").repartition(
+        spark.sparkContext.defaultParallelism, "path"
+    )
+    return spread.mapInArrow(_reader(root), _RAW)
+
+
 def _scan_visible(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")

@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import apply_changes, snapshot_diff, to_parse
-from marginalia.schema import FOLDERS, notes_from_parts
+from marginalia.schema import FOLDERS, NOTES, notes_from_parts
 from marginalia.sources import (
     as_creates,
     ingest_gate,
     read_rejects,
     read_store,
+    refresh_notes,
+    scan_changed,
     scan_folders,
     scan_notes,
     write_notes,
@@ -33,6 +35,7 @@ FILES = {
     ".hid/in.md": "below hidden",
     "_u/100%25.md": "percent",
 }
+MTIME_NS = 1_700_000_000_123_999_999
 
 
 @pytest.fixture()
@@ -42,7 +45,7 @@ def root(tmp_path):
         target = base / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(text, encoding="utf-8")
-        os.utime(target, (1_700_000_000, 1_700_000_000))
+        os.utime(target, ns=(MTIME_NS, MTIME_NS))
     (base / "void" / "inner").mkdir(parents=True)
     return str(base)
 
@@ -53,7 +56,7 @@ def test_scan_finds_every_note(spark, root):
     assert rows["root.md"].tags == ["a", "b"] and rows["root.md"].content == "body"
     assert rows["empty.md"].content == "" and rows["empty.md"].size == 0
     assert rows["dir/sub/deep.md"].folder == "dir/sub" and rows["dir/sub/deep.md"].size == 6
-    assert {r.mod_time for r in rows.values()} == {1_700_000_000_000}
+    assert {r.mod_time for r in rows.values()} == {MTIME_NS // 1_000_000}
 
 
 def test_scan_finds_every_folder(spark, root):
@@ -80,8 +83,8 @@ def test_write_then_scan(spark, root, tmp_path):
 
 
 def test_incremental_scan(spark, root):
-    seen = scan_notes(spark, root).select("path", "mod_time", "size").collect()
-    before = spark.createDataFrame(seen)
+    before = spark.createDataFrame(scan_notes(spark, root).collect(), NOTES)
+    assert scan_changed(spark, root, before).isEmpty()
     with open(f"{root}/root.md", "w", encoding="utf-8") as f:
         f.write("changed")
     with open(f"{root}/new.md", "w", encoding="utf-8") as f:
@@ -92,6 +95,12 @@ def test_incremental_scan(spark, root):
     assert status["root.md"] == "changed" and status["new.md"] == "added"
     assert status["dir/x y.md"] == "removed" and status["empty.md"] == "unchanged"
     assert {r.path for r in to_parse(after, before).collect()} == {"root.md", "new.md"}
+    assert {r.path: r.content for r in scan_changed(spark, root, before).collect()} == {
+        "root.md": "changed",
+        "new.md": "new",
+    }
+    refreshed = refresh_notes(spark, root, before)
+    assert sorted(map(str, refreshed.collect())) == sorted(map(str, after.collect()))
 
 
 def test_ingest_gate(spark, tmp_path):
