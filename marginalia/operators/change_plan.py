@@ -78,9 +78,11 @@ def plan_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def touches(pending: DataFrame) -> DataFrame:
+def touches(pending: DataFrame, actions: set[str]) -> DataFrame:
     """``(seq, resource, label)``: what each pending change depends on.
 
+    ``actions`` are those that occur, so that no others are looked for.
+
     Changes with the same label on a resource can be applied together; a change
     with another label has to wait for the earlier ones. ``pending`` says in
     ``present`` whether the note a change is about exists at this point.
@@ -89,36 +91,44 @@ def touches(pending: DataFrame) -> DataFrame:
     a created note.
     """
     action = F.col("action")
-    in_place = action == "write"
-    relocates = action.isin("rewrite", "move")
+    path, target = F.col("path"), F.col("target")
     alone = F.concat(F.lit("only:"), F.col("seq").cast("string"))
-    stamped = stamped_parts(note_name(F.col("target")))
-    child_of = join_path(dirname(F.col("target")), F.concat(stamped["base"], F.lit(".md")))
+    stamped = stamped_parts(note_name(target))
+    child_of = join_path(dirname(target), F.concat(stamped["base"], F.lit(".md")))
+    always = F.lit(True)
 
-    def when(condition: Column, kind: str, resource: Column, label: Column | str) -> Column:
+    def touch(kind: str, resource: Column, label: Column | str, condition: Column = always) -> Column:
         label = F.lit(label) if isinstance(label, str) else label
-        touch = F.struct(
-            F.concat(F.lit(kind + "|"), resource).alias("resource"), label.alias("label")
-        )
-        return F.when(condition, touch)
+        name = F.concat(F.lit(kind + "|"), resource)
+        return F.when(condition, F.struct(name.alias("resource"), label.alias("label")))
 
-    entries = F.array_compact(
-        F.array(
-            when(in_place, "path", F.col("path"), "write"),
-            when(in_place & ~F.col("present"), "family", F.col("family"), "static"),
-            when(relocates, "path", F.col("path"), alone),
-            when(relocates, "path", F.col("target"), alone),
-            when(relocates, "family", F.col("family"), "static"),
-            when(relocates, "family", F.col("target_family"), "static"),
-            when(action == "delete", "path", F.col("path"), "delete"),
-            when(action == "delete", "family", F.col("family"), "static"),
-            when(action == "create", "family", F.col("family"), "create"),
-            when(action == "create", "stamps", F.col("target"), "own"),
-            when((action == "create") & stamped["n"].isNotNull(), "stamps", child_of, "child"),
-            when(action == "duplicate", "family", F.col("family"), "duplicate"),
-            when(action == "duplicate", "path", F.col("path"), "copy"),
-        )
-    )
+    relocation = [
+        touch("path", path, alone),
+        touch("path", target, alone),
+        touch("family", F.col("family"), "static"),
+        touch("family", F.col("target_family"), "static"),
+    ]
+    touched = {
+        "write": [
+            touch("path", path, "write"),
+            touch("family", F.col("family"), "static", ~F.col("present")),
+        ],
+        "rewrite": relocation,
+        "move": relocation,
+        "delete": [touch("path", path, "delete"), touch("family", F.col("family"), "static")],
+        "create": [
+            touch("family", F.col("family"), "create"),
+            touch("stamps", target, "own"),
+            touch("stamps", child_of, "child", stamped["n"].isNotNull()),
+        ],
+        "duplicate": [
+            touch("family", F.col("family"), "duplicate"),
+            touch("path", path, "copy"),
+        ],
+    }
+    entries = F.lit(None)
+    for name in sorted(actions):
+        entries = F.when(action == name, F.array_compact(F.array(*touched[name]))).otherwise(entries)
     return pending.select("seq", F.explode(F.array_distinct(entries)).alias("touch")).select(
         "seq", "touch.resource", "touch.label"
     )

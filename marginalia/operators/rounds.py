@@ -51,7 +51,7 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
         actions = {row.action for row in pending.select("action").distinct().collect()}
         if not actions:
             return out
-        ready, blocked = _split(scratch, pending)
+        ready, blocked = _split(scratch, pending, actions)
         deferred = _round(scratch, ready, actions, out, width)
         waiting = [df for df in (blocked, deferred) if df is not None]
         if not waiting:
@@ -59,9 +59,17 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
         pending = waiting[0] if len(waiting) == 1 else waiting[0].unionByName(waiting[1])
 
 
-def _split(scratch: Scratch, pending: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+# Any number of changes of one of these kinds alone can be applied together.
+BULK_ACTIONS = ("write", "delete", "duplicate")
+
+
+def _split(
+    scratch: Scratch, pending: DataFrame, actions: set[str]
+) -> tuple[DataFrame, DataFrame | None]:
     """The changes that can be applied now, and the others (None when there are none)."""
-    touched = touches(pending)
+    if len(actions) == 1 and actions <= set(BULK_ACTIONS):
+        return pending, None
+    touched = touches(pending, actions)
     mixed = touched.groupBy("resource").agg(
         F.min("label").alias("one"), F.max("label").alias("other")
     )
