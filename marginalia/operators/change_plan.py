@@ -14,7 +14,6 @@ from marginalia.functions.names import (
     with_md,
 )
 from marginalia.functions.paths import basename, dirname, join_path, normalize_path, note_name
-from marginalia.functions.text import trim_blanks
 from marginalia.operators.folder_ops import CREATE_KIND
 
 
