@@ -120,8 +120,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[32, *range(9, 14)]] = True
+GAP = np.zeros(256, dtype=bool)
+GAP[[32, *range(9, 14)]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -136,7 +136,7 @@ _INVERSE = _powers(pow(_BASE, -1, 1 << 64), CHUNK + 1)
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in UTF-8 bytes."""
-    inside = np.concatenate(([False], ~_GAP[data], [False]))
+    inside = np.concatenate(([False], ~GAP[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.archives import archive_pages
 from marginalia.llm.common import table, text_of
+from marginalia.llm.fingerprints import fingerprint_documents
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
+from marginalia.llm.packing import pack_documents
 from marginalia.llm.sharding import shard_by_bytes
 from marginalia.llm.vector_search import scaled, top_inner_products
 
@@ -82,6 +85,12 @@ def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation MinHash fingerprints of every document and of its edited text."""
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query(
     "op5_top_inner_products",
     """
@@ -146,3 +155,37 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with how many words of each the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_archive_pages",
+    """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), best AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM best
+""",
+)
+def op9_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC archives, their conversion to WARC, and back."""
+    out = archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def word_tokenizer() -> str:
+    """Where the vocabulary file of the public word tokenizer is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_pack_documents")
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), 4096)
