@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.archives import archive_pages
 from marginalia.llm.common import table, text_of
 from marginalia.llm.fingerprints import fingerprint_documents
+from marginalia.llm.jaccard_join import near_duplicates
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.packing import pack_documents
@@ -115,6 +116,37 @@ def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+@query(
+    "op6_near_duplicates",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT r.doc_id, coalesce(max(n), 0)::INT AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+""",
+)
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 @query(
     "op8_mix_sources",
     r"""
