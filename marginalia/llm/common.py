@@ -108,7 +108,7 @@ CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -117,7 +117,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 GAP = np.zeros(256, dtype=bool)
@@ -153,7 +153,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             for cut in range(0, len(word), CHUNK):
                 piece = _BYTES[_LOWER[word[cut : cut + CHUNK]]]
                 with np.errstate(over="ignore"):
-                    value = _mixed(np.array([value]))[0] + (piece * _POWERS[: len(piece)]).sum(dtype=np.uint64)
+                    value = mixed(np.array([value]))[0] + (piece * _POWERS[: len(piece)]).sum(dtype=np.uint64)
             out[at] = value
         else:
             piece = _BYTES[_LOWER[data[first : ends[to - 1]]]]
@@ -162,7 +162,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             out[at:to] = (sums[b] - sums[a]) * _INVERSE[a]
         at = to
     lengths = (ends - starts).astype(np.uint64)
-    return _mixed(out + lengths * np.uint64(0xD6E8FEB86659FD93))
+    return mixed(out + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -173,7 +173,7 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     out = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for j in range(n):
         out = out * np.uint64(_BASE) + words[j : len(words) - n + 1 + j]
-    return _mixed(out + np.uint64(n))
+    return mixed(out + np.uint64(n))
 
 
 def strings(column) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from marginalia.llm.archives import archive_pages
 from marginalia.llm.common import table, text_of
 from marginalia.llm.fingerprints import fingerprint_documents
 from marginalia.llm.jaccard_join import near_duplicates
+from marginalia.llm.language_id import fit_languages, identify_languages, remainder
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.packing import pack_documents
@@ -92,6 +93,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+    identifier = fit_languages(docs.where("not held_out"))
+    return identify_languages(docs.drop("lang"), identifier).drop("text")
+
+
 @query(
     "op5_top_inner_products",
     """
