@@ -122,6 +122,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 GAP = np.zeros(256, dtype=bool)
 GAP[[32, *range(9, 14)]] = True
+#: Bytes that are neither letters nor digits; those of other alphabets count as letters.
+MARKS = np.array([not (i >= 128 or chr(i).isalnum()) for i in range(256)])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -134,9 +136,9 @@ _POWERS = _powers(_BASE, CHUNK + 1)
 _INVERSE = _powers(pow(_BASE, -1, 1 << 64), CHUNK + 1)
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in UTF-8 bytes."""
-    inside = np.concatenate(([False], ~GAP[data], [False]))
+def word_spans(data: np.ndarray, gap: np.ndarray = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in UTF-8 bytes; ``gap`` says which bytes are between words."""
+    inside = np.concatenate(([False], ~gap[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 
@@ -191,8 +193,11 @@ def strings(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets.astype(np.int64)
 
 
-def text_words(data: np.ndarray, offsets: np.ndarray):
-    """For each text: the hashes of its words. Works on runs of whole texts of about a chunk."""
+def text_words(data: np.ndarray, offsets: np.ndarray, letters: bool = False):
+    """For each text: the hashes of its words, or of its runs of letters and digits.
+
+    Works on runs of whole texts of about a chunk.
+    """
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
@@ -205,7 +210,7 @@ def text_words(data: np.ndarray, offsets: np.ndarray):
             spread = np.full(len(keep), 32, dtype=np.uint8)
             spread[keep] = part
             part, bounds = spread, bounds + np.arange(j - i + 1)
-        starts, ends = word_spans(part)
+        starts, ends = word_spans(part, MARKS if letters else GAP)
         hashes = span_hashes(part, starts, ends)
         cuts = np.searchsorted(starts, bounds)
         for k in range(j - i):

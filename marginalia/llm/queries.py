@@ -16,6 +16,7 @@ from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.sharding import shard_by_bytes
+from marginalia.llm.toxicity import fit_toxicity, score_toxicity, to_learn_from
 from marginalia.llm.vector_search import scaled, top_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +158,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = fit_toxicity(docs, to_learn_from(table(spark, sf_dir, "labels")))
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    return score_toxicity(docs, scorer).drop("text")
+
+
 @query(
     "op8_mix_sources",
     r"""
