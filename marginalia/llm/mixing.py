@@ -53,8 +53,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most
     level = (total * F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(so_far), F.lit(0.0))) / F.sum(
         "weight"
     ).over(onward)
-    leveled = stops.withColumn("level", level)
-    leveled = leveled.withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
+    leveled = stops.withColumn("level", level).withColumn("nth", F.row_number().over(order))
+    first = F.min(F.when(F.col("level") <= F.col("reach"), F.struct("nth", "level"))).over(everything)
+    leveled = leveled.withColumn("level", first["level"])
     target = F.least(F.col("stop"), F.coalesce(F.col("weight") * F.col("level"), F.col("stop")))
     return leveled.select("source", "source_size", target.alias("target"))
 

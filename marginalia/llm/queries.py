@@ -184,11 +184,12 @@ WITH rows AS (
   SELECT *, 2.0::DOUBLE * source_size AS stop, 2.0::DOUBLE * source_size / weight AS reach FROM weighed
 ), levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-            / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER w AS nth
   FROM reached WINDOW w AS (ORDER BY reach, source NULLS LAST)
 ), targets AS (
   SELECT source, source_size,
-         least(stop, coalesce(weight * min(CASE WHEN level <= reach THEN level END) OVER (), stop)) AS target
+         least(stop, coalesce(weight * (min(CASE WHEN level <= reach THEN {'nth': nth, 'level': level} END) OVER ()).level, stop)) AS target
   FROM levels
 ), plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
