@@ -300,12 +300,13 @@ def near_duplicate_links(docs: DataFrame, total: int, tables, width: int = WIDTH
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, key) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, key, root) for each row of ``docs`` (doc_id, text).
 
     A set is the distinct five-word shingles of the text with A-Z lower-cased; the whole sequence
     of words if there are fewer. Rows without words have n_shingles 0, key null and their own doc_id
     as component_id. ``component_id`` is the least doc_id over links, null ids left aside; rows with
-    equal sets are linked. Repeated rows are each returned. Tokens are compared by 47 or more bits
+    equal sets are linked. ``root`` names the component even where ids repeat or are null.
+    Repeated rows are each returned. Tokens are compared by 47 or more bits
     of a hash, whole sets by 64. ``docs`` should be a table scan (see ``_send``).
     """
     tables = scratch(docs.sparkSession, "near")
@@ -318,12 +319,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     nodes = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     nodes = tables.save(nodes)
     least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    found = tables.save(nodes.join(least, "root").select("key", "component"))
+    found = tables.save(nodes.join(least, "root").select("key", "component", "root"))
     return base.join(found, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         "key",
+        "root",
     )
 
 
@@ -334,7 +336,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     tables = scratch(docs.sparkSession, "near")
     marks = near_duplicates(docs, width).where("key is not null")
-    chosen = marks.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("keep"))
+    chosen = marks.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("keep"))
     chosen = tables.save(chosen.select(F.col("keep.key").alias("__mg_key"), F.col("keep.doc_id").alias("__mg_id")))
     rows = with_sets(docs, width)
     kept = rows.join(

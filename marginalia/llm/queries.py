@@ -155,7 +155,7 @@ FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 )
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")
 
 
 @query("op7_toxicity")
