@@ -27,6 +27,8 @@ CALIBRATION_PART = 4
 TERMS = 4096
 NEIGHBOURS = 15
 BLOCK = 128
+#: Blocks visited at first; each further visit takes twice as many of those that can still matter.
+FIRST_BLOCKS = 8
 #: Votes of equal texts are kept for this many different ones in a task.
 MEMORY = 20_000
 OUTPUT = ("score", "predicted", "vote", "evidence")
@@ -46,6 +48,8 @@ class Index:
     def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
         """``terms`` sorted hashes with their idf; ``examples`` (doc_id, toxic, hashes, counts), in the order of ties."""
         self.terms, self.idf = terms, idf
+        self.tops = np.zeros(1 << 16, dtype=bool)
+        self.tops[terms >> np.uint64(48)] = True
         vectors = [(doc, toxic, self.vector(t, n)) for doc, toxic, t, n in examples]
         vectors = [v for v in vectors if len(v[2][0])]
         self.doc = np.array([v[0] for v in vectors], dtype=np.int64)
@@ -61,13 +65,21 @@ class Index:
         self.most = np.zeros((len(terms), max(1, self.blocks)))
         np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
 
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights of a text; none if it has no term."""
+    def known(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that are terms."""
         if not len(self.terms):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
+            return hashes[:0], counts[:0]
+        # Looked up by the top bits first, as few words are terms.
+        hashes, counts = hashes[some := self.tops[hashes >> np.uint64(48)]], counts[some]
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        known = self.terms[at] == hashes
-        at, weight = at[known], (1 + np.log(counts[known])) * self.idf[at[known]]
+        same = self.terms[at] == hashes
+        return hashes[same], counts[same]
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and unit weights of a text; none if it has no term."""
+        hashes, counts = self.known(hashes, counts)
+        at = np.searchsorted(self.terms, hashes)
+        weight = (1 + np.log(counts)) * self.idf[at]
         return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,16 +87,23 @@ class Index:
         if not self.blocks or not len(terms):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         bound = weights @ self.most[terms]
+        order = np.argsort(-bound, kind="stable")
         found, cosine, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < least - 1e-9:
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            visited = order[at : at + step]
+            visited = visited[(bound[visited] > 0) & (bound[visited] >= least - 1e-9)]
+            if not len(visited):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                a, b = self.first[t * self.blocks + block], self.first[t * self.blocks + block + 1]
-                sums[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
+            at, step = at + step, 2 * step
+            place = terms[:, None] * self.blocks + visited
+            start = self.first[place].ravel()
+            n = self.first[place + 1].ravel() - start
+            posting = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            share = np.repeat(np.repeat(weights, len(visited)), n) * self.weight[posting]
+            sums = np.bincount(self.example[posting], weights=share, minlength=1)
             some = np.flatnonzero(sums > 0)
-            found = np.concatenate((found, some + block * BLOCK))
+            found = np.concatenate((found, some))
             cosine = np.round(np.concatenate((cosine, sums[some])), 9)
             best = np.lexsort((found, -cosine))[:k]
             found, cosine = found[best], cosine[best]
@@ -134,8 +153,7 @@ class ToxicityScorer:
     def results(self, column) -> Iterator[tuple[float, int, float | None, list[dict]]]:
         known: dict[bytes, tuple] = {}
         for hashes, counts in term_counts(column):
-            at = np.isin(hashes, self.index.terms, assume_unique=True)
-            hashes, counts = hashes[at], counts[at]
+            hashes, counts = self.index.known(hashes, counts)
             same = hashes.tobytes() + counts.tobytes()
             if same not in known:
                 if len(known) == MEMORY:
