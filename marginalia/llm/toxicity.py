@@ -21,10 +21,10 @@ from marginalia.llm.common import freed, scratch, strings, text_words
 from marginalia.llm.language_id import logistic, remainder
 
 #: Labelled examples to learn from, those with the least hashes: toxic ones, others.
-EXAMPLES = (8192, 16384)
+EXAMPLES = (2048, 4096)
 #: One example in this many calibrates the votes and is not in the index.
 CALIBRATION_PART = 4
-TERMS = 4096
+TERMS = 1024
 NEIGHBOURS = 15
 BLOCK = 128
 #: Blocks visited at first; each further visit takes twice as many of those that can still matter.
