@@ -104,7 +104,8 @@ def splitters(
 
 # ---------------------------------------------------------------- words in numpy
 
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once; the arrays for it take some 40 times as much.
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 

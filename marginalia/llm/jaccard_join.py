@@ -36,7 +36,7 @@ from marginalia.llm.graph import components
 PERCENT = 75
 WIDTH = 5
 #: Tokens that a task sends off at once, and that a counting task receives at about.
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1 << 20
 TOKEN_BITS = 40
 #: Sets, and tokens of sets, in one block of a cluster.

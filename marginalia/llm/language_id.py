@@ -26,7 +26,7 @@ CELLS = 1 << 22
 #: Texts, those with the least hashes, that calibrate the scores; one in CALIBRATION_PART is set aside for it.
 CALIBRATION = 20_000
 CALIBRATION_PART = 16
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACE_CODE = 32
 OUTPUT = ("lang_pred", "score", "accepted", "cross_entropy", "runner_up")
 

@@ -27,9 +27,9 @@ END_ID = 1
 #: Steps of the search after which the best packing so far is kept, and fillings tried for each largest piece.
 STEPS = 1_000_000
 BRANCHES = 6
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Words whose ids a Python worker keeps from one task to the next; beyond it, it starts anew.
-KNOWN = 1 << 21
+KNOWN = 1 << 20
 #: Parts words that are tokenized together.
 PART = "\x01"
 _LETTER = np.zeros(256, dtype=bool)
@@ -235,8 +235,8 @@ class Words:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
+        self.first = np.zeros(0, dtype=np.int32)
+        self.n = np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -280,7 +280,7 @@ class Words:
             raw = data.tobytes()
             self.learn(keys[new], [raw[starts[i] : ends[i]].decode() for i in where[new]])
         at = np.searchsorted(self.keys, keys)[inverse] if len(keys) else inverse
-        n, first = self.n[at], self.first[at]
+        n, first = self.n[at].astype(np.int64), self.first[at]
         upto = np.cumsum(n)
         ids = self.ids[np.repeat(first - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
         return starts, upto, ids
@@ -334,6 +334,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 i = j
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
