@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 10_000
+# Quantiles of an order that are looked at, however many rows it has.
+QUANTILES = 200
+# Where blocks begin, and how wide they are from there on.
+Blocks = Sequence[tuple[int, int]]
 
 
 def ordinal_within(
-    df: DataFrame, keys: Sequence[str], order: str, out: str, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, out: str, block: int | Blocks = BLOCK
 ) -> DataFrame:
     """Number rows 1, 2, ... within ``keys`` by ``order``, a unique integer column.
 
-    Values of ``order`` are cut into blocks of this width, so no window holds more
-    than ``block`` rows of a group; the count of each block's predecessors is
-    added on. For an order with gaps, ``block_width`` gives a wider block.
+    Values of ``order`` are cut into blocks, so no window holds more rows of a group
+    than a block has numbers; the count of each block's predecessors is added on.
+    For an order with gaps, ``order_blocks`` gives wider blocks.
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocked = df.withColumn("_block", _block_of(F.col(order), block))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -39,9 +43,34 @@ def ordinal_within(
     )
 
 
-def block_width(low: int, high: int, rows: int) -> int:
-    """A block width that holds about ``BLOCK`` rows of an order that spans ``low`` to ``high``."""
-    return min(BLOCK * max(1, (high - low + 1) // max(rows, 1)), 1 << 62)
+def _block_of(order: Column, block: int | Blocks) -> Column:
+    """A name for the block of a number; blocks sort like their numbers."""
+    if isinstance(block, int):
+        return F.call_function("div", order, F.lit(block))
+    starts = F.array(*[F.lit(start) for start, _ in block])
+    widths = F.array(*[F.lit(width) for _, width in block])
+    at = F.greatest(F.size(F.filter(starts, lambda s: s <= order)), F.lit(1))
+    return F.struct(at.alias("run"), F.call_function("div", order, F.element_at(widths, at)).alias("part"))
+
+
+def order_blocks(df: DataFrame, order: str) -> Blocks:
+    """Blocks of about ``BLOCK`` rows of ``df`` for ``ordinal_within``.
+
+    Widths follow the quantiles of ``order``, so a number far from all others makes no
+    block wider but its own. Up to ``QUANTILES`` blocks hold ``BLOCK`` rows; of more
+    rows than that, each quantile is cut into blocks by its own average gap.
+    """
+    rows = df.agg(F.count(order)).first()[0]
+    pieces = max(1, min(QUANTILES, -(-2 * rows // BLOCK)))
+    marks = [i / pieces for i in range(pieces + 1)]
+    found = df.agg(F.percentile_approx(order, marks, 100 * QUANTILES)).first()[0]
+    if not found:
+        return [(0, BLOCK)]
+    starts = sorted(set(found))
+    each = max(1, rows // pieces)
+    ends = [*starts[1:], starts[-1] + 1]
+    blocks = -(-each // BLOCK)
+    return [(start, min(1 << 62, max(1, -(-(end - start) // blocks)))) for start, end in zip(starts, ends)]
 
 
 def free_numbers(

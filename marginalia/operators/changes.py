@@ -38,7 +38,8 @@ def apply_changes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(notes, folders, rejects)`` after applying ``changes`` in the order of ``seq``.
 
-    ``seq`` is unique, like a log position. A change that cannot be applied has
+    ``seq`` is unique, like a log position; a log in which it repeats or is missing
+    is refused. A change that cannot be applied has
     no effect and is kept in ``rejects`` with a ``reason``: illegal_path,
     not_found, exists or into_itself.
     """
@@ -59,6 +60,9 @@ class _Apply:
         self.folder_set: DataFrame | None = None
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        rows, distinct = self.changes.agg(F.count("*"), F.count_distinct("seq")).first()
+        if rows != distinct:
+            raise ValueError(f"{rows} changes have {distinct} different values of seq; each needs its own")
         kind = F.col("kind")
         folder_log = self.scratch.save(
             self.changes.filter(kind.isin(*ORDERED_KINDS)).select(

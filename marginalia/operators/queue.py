@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.sorting import sort_once
+
 
 def read_changes(changes: DataFrame) -> DataFrame:
     """The queue in replay order."""
-    return changes.orderBy("ts", "key")
+    return sort_once(changes, "ts", "key", "seq")
 
 
 def coalesce_changes(changes: DataFrame) -> DataFrame:
-    """The last entry of each key: greatest ``ts``, then greatest ``seq``.
+    """The last entry of each key: greatest ``ts``, then greatest ``seq``, which is unique.
 
-    Aggregated before the shuffle, so a key with most of the entries sends one
-    entry per task.
+    The winners are found on three narrow columns, aggregated before the shuffle, so
+    a key with most of the entries sends one row per task and no body takes part.
     """
-    latest = F.max_by(F.struct(*changes.columns), F.struct("ts", "seq"))
-    return changes.groupBy("key").agg(latest.alias("entry")).select("entry.*")
+    winners = newest_entries(changes)
+    return changes.join(winners.select("seq"), "seq", "left_semi").select(*changes.columns)
+
+
+def newest_entries(changes: DataFrame) -> DataFrame:
+    """``(key, ts, seq)`` of the newest entry of each key."""
+    newest = F.max(F.struct("ts", "seq"))
+    return changes.groupBy("key").agg(newest.alias("newest")).select("key", "newest.*")
 
 
 def pending_count(changes: DataFrame) -> DataFrame:
@@ -28,14 +36,15 @@ def pending_count(changes: DataFrame) -> DataFrame:
 def replay_prefix(results: DataFrame, queue: str = "client_id") -> DataFrame:
     """Mark what a replay that stops at the first failure gets done.
 
-    ``results`` has ``ok`` per entry. Entries before the first failed one of
-    their queue are ``applied``, that one is ``failed`` and the rest are
-    ``queued``. The first failure per queue is a small aggregate, so a queue of
-    any length stays spread over tasks.
+    ``results`` has ``ok`` per entry; an unknown result is a failure. Entries are
+    replayed by ``(ts, key, seq)``. Those before the first failed one of their queue
+    are ``applied``, that one is ``failed`` and the rest are ``queued``. The first
+    failure per queue is a small aggregate, so a queue of any length stays spread
+    over tasks.
     """
-    place = F.struct("ts", "key")
+    place = F.struct("ts", "key", "seq")
     first = (
-        results.filter(~F.col("ok"))
+        results.filter(~F.coalesce(F.col("ok"), F.lit(False)))
         .groupBy(queue)
         .agg(F.min(place).alias("stop"))
     )

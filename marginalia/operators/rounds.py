@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.names import copy_name, copy_parts, stamped_name, stamped_parts
 from marginalia.functions.paths import dirname, join_path, note_name
-from marginalia.operators.allocate import block_width, free_numbers, ordinal_within
+from marginalia.operators.allocate import Blocks, free_numbers, order_blocks, ordinal_within
 from marginalia.operators.change_plan import touches
 from marginalia.scratch import Scratch
 
@@ -39,8 +39,7 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
     illegal = plan.filter("reason IS NOT NULL").select("seq", "reason")
     out.rejects.append(illegal)
     pending = plan.filter("reason IS NULL").drop("reason")
-    low, high, rows = plan.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
-    width = block_width(low or 0, high or 0, rows)
+    width = order_blocks(plan, "seq")
     while True:
         alive = out.state.filter("path IS NOT NULL").select("path").withColumn("present", F.lit(True))
         pending = scratch.save(
@@ -92,7 +91,7 @@ def _split(
 
 
 def _round(
-    scratch: Scratch, ready: DataFrame, actions: set[str], out: Outcome, width: int
+    scratch: Scratch, ready: DataFrame, actions: set[str], out: Outcome, width: Blocks
 ) -> DataFrame | None:
     """Apply mutually independent changes to ``out``; returns those to try again."""
     state, deferred = out.state, None
@@ -210,7 +209,7 @@ def _apply_effects(state: DataFrame, effects: DataFrame) -> DataFrame:
     )
 
 
-def _created(creates: DataFrame, state: DataFrame, width: int) -> DataFrame:
+def _created(creates: DataFrame, state: DataFrame, width: Blocks) -> DataFrame:
     """New notes: the first create of a free path gets it, the others a stamped name."""
     named = creates.withColumns(
         {
@@ -261,7 +260,7 @@ def _created(creates: DataFrame, state: DataFrame, width: int) -> DataFrame:
 
 
 def _duplicates(
-    scratch: Scratch, duplicates: DataFrame, state: DataFrame, width: int
+    scratch: Scratch, duplicates: DataFrame, state: DataFrame, width: Blocks
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Copies under the smallest free copy numbers, rejects, and copies of copies to come."""
     missing = duplicates.filter("NOT present")

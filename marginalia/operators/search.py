@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.listing import META, ordered
 from marginalia.operators.sorting import sort_once
 from marginalia.scratch import Scratch
 
-# One pass over the corpus answers this many queries, or this many characters of
-# query text, whichever is reached first. More queries take more passes.
-QUERIES_PER_PASS = 1_000
-CHARS_PER_PASS = 1 << 20
+# Length of the pieces by which words that contain a piece of a query are found.
+PIECE = 3
 
 
 def body_contains(q: str) -> Column:
@@ -45,103 +41,99 @@ def search_notes(
 
 
 def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every ``(query_id, q, tag)`` against every note, in one pass per group of queries.
-
-    Queries ride along as a constant array and are tested inside the scan: the
-    corpus is neither joined nor shuffled, and only matches come out. A group is
-    bounded. Further groups take further passes, each written out before the next
-    group is fetched, so any number of queries is answered in full.
+    """Every ``(query_id, q, tag)`` against every note, by joins on anchors.
+
+    An anchor is something a matching note must have: the query's tag; else its rarest
+    whole word, a word being what stands between two spaces; else each word of the
+    corpus that contains the query's longest piece, which is found through
+    three-letter pieces of the distinct words. Notes are told apart by anchors on
+    narrow rows, and only candidates are tested with the body. Any number of queries
+    takes the same few joins. A query of blanks only, or an empty one, has no anchor and
+    is tested on every note, which it mostly matches.
     """
-    groups = _groups(queries)
-    group = next(groups, None)
-    if group is None:
-        none = notes.select(F.lit(0).cast("bigint").alias("query_id"), *META)
-        return none.filter(F.lit(False))
-    out = _one_pass(notes, group)
-    group = next(groups, None)
-    if group is not None:
-        scratch = Scratch(notes.sparkSession, "search")
-        out = scratch.save(out)
-        while group is not None:
-            out = out.unionByName(scratch.save(_one_pass(notes, group)))
-            group = next(groups, None)
-    return sort_once(out, "query_id", F.desc("mod_time"), "path")
-
-
-def _groups(queries: DataFrame) -> Iterator[list[Row]]:
-    group: list[Row] = []
-    chars = 0
-    wanted = queries.select(
+    scratch = Scratch(notes.sparkSession, "search")
+    wanted = scratch.save(
+        queries.select(
+            "query_id",
+            F.lower(F.coalesce("q", F.lit(""))).alias("q"),
+            F.lower(F.coalesce("tag", F.lit(""))).alias("tag"),
+        )
+    )
+    # ``sure``: the anchor is all that the query asks for, so that no body is needed.
+    tagged = wanted.filter("tag <> ''").select(
+        F.lit("tag").alias("kind"), F.col("tag").alias("anchor"), "query_id", (F.col("q") == "").alias("sure")
+    )
+    worded = wanted.filter("tag = ''").withColumn("pieces", F.split("q", " "))
+    last = F.size("pieces") - 1
+    inner = F.array_remove(F.slice("pieces", 2, F.greatest(last - 1, F.lit(0))), "")
+    longest = F.array_max(
+        F.transform("pieces", lambda p, i: F.struct(F.length(p).alias("n"), p.alias("piece"), i.alias("place")))
+    )
+    worded = worded.select("query_id", F.array_distinct(inner).alias("inner"), longest.alias("at"), last.alias("last"))
+    whole = worded.filter(F.size("inner") > 0).select("query_id", F.explode("inner").alias("word"))
+    part = worded.filter((F.size("inner") == 0) & (F.col("at.n") > 0)).select(
         "query_id",
-        F.lower(F.coalesce("q", F.lit(""))).alias("q"),
-        F.lower(F.coalesce("tag", F.lit(""))).alias("tag"),
+        F.col("at.piece").alias("piece"),
+        # A piece before a space ends a word, one after a space begins it.
+        (F.col("at.place") < F.col("last")).alias("ends"),
+        (F.col("at.place") > 0).alias("begins"),
     )
-    for row in wanted.orderBy("query_id").toLocalIterator():
-        if group and (len(group) >= QUERIES_PER_PASS or chars + len(row.q) > CHARS_PER_PASS):
-            yield group
-            group, chars = [], 0
-        group.append(row)
-        chars += len(row.q)
-    if group:
-        yield group
-
-
-def _one_pass(notes: DataFrame, group: Sequence[Row]) -> DataFrame:
-    """Test a bounded group of queries on every note, inside the scan.
-
-    A query that has a whole word between two spaces can only match a note that
-    has this word too. Such queries are filed under their longest such word, and
-    a note is tested only on those filed under its own words; all other queries
-    are tested on every note.
-    """
-    filed: dict[str, list[Row]] = {}
-    unfiled: list[Row] = []
-    for row in group:
-        words = [word for word in row.q.split(" ")[1:-1] if word]
-        if words:
-            filed.setdefault(max(words, key=len), []).append(row)
-        else:
-            unfiled.append(row)
-    # Lower-case and split each note once, then test all its queries on that copy.
-    body = F.lower("content")
-    words = F.array_distinct(F.split(body, " ")) if filed else F.array().cast("array<string>")
-    once = F.array(
-        F.struct(
-            body.alias("body"),
-            words.alias("words"),
-            F.transform("tags", lambda t: F.lower(t)).alias("tags"),
-        )
+    free = worded.filter((F.size("inner") == 0) & (F.col("at.n") == 0))
+    free = free.select(F.lit("any").alias("kind"), F.lit("").alias("anchor"), "query_id", (F.col("last") == 0).alias("sure"))
+
+    vocabulary = scratch.save(
+        _words(notes).groupBy(F.col("anchor").alias("word")).agg(F.count("*").alias("notes"))
     )
+    rarest = F.min_by("word", F.struct(F.coalesce("notes", F.lit(0)), "word")).alias("anchor")
+    whole = whole.join(vocabulary, "word", "left").groupBy("query_id").agg(rarest)
+    grams = vocabulary.select("word", F.explode(_pieces(F.col("word"))).alias("gram"))
+    holding = part.withColumn("gram", F.substring("piece", 1, PIECE)).join(grams, "gram").filter(
+        F.contains("word", F.col("piece"))
+        & (~F.col("ends") | F.endswith("word", F.col("piece")))
+        & (~F.col("begins") | F.startswith("word", F.col("piece")))
+    )
+    sure = (~F.col("ends") & ~F.col("begins")).alias("sure")
+    by_word = whole.select("anchor", "query_id", F.lit(False).alias("sure")).unionByName(
+        holding.select(F.col("word").alias("anchor"), "query_id", sure)
+    )
+    anchors = scratch.save(
+        tagged.unionByName(by_word.withColumn("kind", F.lit("word"))).unionByName(free)
+    )
+    lowered = F.array_distinct(F.transform("tags", lambda t: F.lower(t)))
+    kinds = {
+        "word": _words(notes),
+        "tag": notes.select("path", F.explode(lowered).alias("anchor")),
+        "any": notes.select("path", F.lit("").alias("anchor")),
+    }
+    hits = None
+    for kind, has in kinds.items():
+        of_kind = anchors.filter(F.col("kind") == kind).drop("kind")
+        found = has.join(of_kind, "anchor").select("path", "query_id", "sure")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = scratch.save(hits.distinct())
+    certain = hits.filter("sure").join(notes.select(*META), "path")
+    # Each body is put into lower case once, before it meets its candidates.
+    bodies = notes.select(*META, F.lower("content").alias("body"))
+    tested = (
+        hits.filter("NOT sure").join(wanted, "query_id").join(bodies, "path")
+        .filter(F.contains("body", F.col("q")))
+    )
+    out = certain.select("query_id", *META).unionByName(tested.select("query_id", *META))
+    return sort_once(out, "query_id", F.desc("mod_time"), "path")
 
-    def hits(note: Column) -> Column:
-        wanted = _constant(unfiled)
-        if filed:
-            shared = F.array_intersect(note["words"], F.array(*[F.lit(word) for word in filed]))
-            by_word = F.map_from_arrays(
-                F.array(*[F.lit(word) for word in filed]),
-                F.array(*[_constant(rows) for rows in filed.values()]),
-            )
-            under_words = F.flatten(F.transform(shared, lambda word: F.element_at(by_word, word)))
-            wanted = F.concat(wanted, under_words)
-        matching = F.filter(
-            wanted,
-            lambda w: ((w["tag"] == "") | F.array_contains(note["tags"], w["tag"]))
-            & ((w["q"] == "") | F.contains(note["body"], w["q"])),
-        )
-        return F.transform(matching, lambda w: w["query_id"])
-
-    ids = F.transform(once, hits)[0]
-    return notes.select(F.explode(ids).alias("query_id"), *META)
-
-
-def _constant(rows: Sequence[Row]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(row.query_id).cast("bigint").alias("query_id"),
-                F.lit(row.q).alias("q"),
-                F.lit(row.tag).alias("tag"),
-            )
-            for row in rows
-        ]
-    ).cast("array<struct<query_id:bigint,q:string,tag:string>>")
+
+def _words(notes: DataFrame) -> DataFrame:
+    """``(path, anchor)``: the distinct lower-case words of each note, as spaces part them."""
+    words = F.array_distinct(F.split(F.lower("content"), " "))
+    return notes.select("path", F.explode(words).alias("anchor"))
+
+
+def _pieces(word: Column) -> Column:
+    """All distinct pieces of a word of up to PIECE letters."""
+    starts = F.sequence(F.lit(1), F.length(word))
+    each = [F.transform(starts, _cut(word, n)) for n in range(1, PIECE + 1)]
+    return F.when(F.length(word) > 0, F.array_distinct(F.concat(*each))).otherwise(F.array().cast("array<string>"))
+
+
+def _cut(word: Column, n: int):
+    return lambda i: F.substr(word, i, F.lit(n))

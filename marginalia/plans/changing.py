@@ -211,7 +211,7 @@ def creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     return change_log(
         table(spark, sf_dir, "conversations"),
-        seq=F.col("conv_id") * 1000 + turn,
+        seq=F.col("conv_id") * 1_000_000 + turn,
         kind="create",
         name=F.when(turn % 5 != 4, F.concat(F.lit("by: "), F.col("role"))),
         folder=F.concat(F.lit("chat/"), F.col("conv_id").cast("string")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import diff, queue
@@ -16,6 +16,8 @@ from marginalia.scratch import Scratch
 from marginalia.sources.ingest import MAX_BYTES, ingest_gate
 from marginalia.streaming import stream_coalesce, stream_sessions
 
+BATCHES = 4
+TIE_MS = 6 * 60 * 60 * 1000
 TTL_MS = 12 * 60 * 60 * 1000
 NOW_MS = START_MS + 29 * DAY_MS
 
@@ -28,14 +30,23 @@ def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tags(queue.read_changes(event_queue(spark, sf_dir))).select(*QUEUE_COLUMNS, "tags")
 
 
+def replay_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each entry in its client's queue, as the sorted rows come, with many ties in time."""
+    tied = event_queue(spark, sf_dir).withColumn("ts", F.floor(F.col("ts") / TIE_MS))
+    rows = queue.read_changes(tied).withColumn("place", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("client_id").orderBy("place"))
+    return rows.select("seq", "client_id", place.alias("pos"))
+
+
 def coalesce_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.coalesce_changes(event_queue(spark, sf_dir)).select(*QUEUE_COLUMNS)
 
 
 def replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replay in which some entries fail, with one queue per client."""
+    """A replay in which some entries fail, with one queue per client and many ties in time."""
     fails = (F.col("content").startswith("error")) & (F.col("seq") % 401 == 0)
     results = event_queue(spark, sf_dir).withColumn("ok", ~fails)
+    results = results.withColumn("ts", F.floor(F.col("ts") / TIE_MS))
     return queue.replay_prefix(results).select("seq", "client_id", "status")
 
 
@@ -122,7 +133,7 @@ spans AS (SELECT token, min(ts) AS start, max(ts) AS last, count(*) AS n_events,
 
 
 _SQL_SPANS = f"token, start, last, last + {TTL_MS} AS expires, n_events"
-_SQL_EXPIRY = (
+SQL_EXPIRY = (
     f"WITH {_SQL_ACTIVITY} SELECT token, max(ts) + {TTL_MS} AS expires FROM activity GROUP BY token"
 )
 
@@ -136,16 +147,30 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def streamed_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue as a stream; what each batch updated is kept and the newest counts."""
+    """The queue as a stream of several batches, out of order; of each key what its last batch said counts."""
+    return _streamed(spark, sf_dir, _parts(event_queue(spark, sf_dir)), pending_only=False)
+
+
+def streamed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with reports of applied entries mixed in: entries that were applied leave the queue."""
+    log = event_queue(spark, sf_dir)
+    reports = log.filter(F.col("seq") % 3 == 0)
+    parts = _parts(log).unionByName(_parts(reports).withColumn("applied", F.lit(True)))
+    return _streamed(spark, sf_dir, parts, pending_only=True)
+
+
+def _parts(log: DataFrame) -> DataFrame:
+    """The log with ``part``: a file of its own for each, so that later entries may well come first."""
+    part = F.pmod(F.xxhash64("seq"), F.lit(BATCHES))
+    columns = ["seq", "key", "ts"]
+    return log.select(*columns, F.lit(False).alias("applied"), part.alias("part"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, parts: DataFrame, pending_only: bool) -> DataFrame:
     scratch = Scratch(spark, "stream")
-    events = stream_of(spark, sf_dir, "events")
-    changes = events.select(
-        F.col("event_id").alias("seq"),
-        F.concat(F.lit("note_"), F.col("user_id").cast("string")).alias("key"),
-        F.concat(F.lit("client_"), (F.col("user_id") % 10).cast("string")).alias("client_id"),
-        F.concat("event_type", F.lit(" "), "props").alias("content"),
-        corpus.epoch_ms(F.col("ts")).cast("bigint").alias("ts"),
-    )
+    source = f"{scratch.root}/in"
+    parts.repartition(BATCHES, "part").drop("part").write.parquet(source)
+    changes = spark.readStream.schema(parts.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch.root}/out/batch={batch_id}")
@@ -153,8 +178,10 @@ def streamed_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_coalesce(changes).writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", f"{scratch.root}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
-    written = spark.read.parquet(f"{scratch.root}/out").drop("batch")
-    return queue.coalesce_changes(written).select(*QUEUE_COLUMNS)
+    written = spark.read.parquet(f"{scratch.root}/out")
+    last = written.groupBy("key").agg(F.max_by(F.struct("seq", "pending"), "batch").alias("last"))
+    kept = last.select("last.*").filter("pending" if pending_only else "true").select("seq")
+    return event_queue(spark, sf_dir).join(kept, "seq", "left_semi").select(*QUEUE_COLUMNS)
 
 
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +267,7 @@ checked AS (SELECT *, CASE WHEN kind = 2 THEN 'extension' WHEN length > {MAX_BYT
 
 QUERIES = {
     "read_changes": read_changes,
+    "replay_order": replay_order,
     "pending_count": lambda spark, sf: queue.pending_count(event_queue(spark, sf)),
     "coalesce_changes": coalesce_changes,
     "replay_prefix": replay_prefix,
@@ -252,16 +280,19 @@ QUERIES = {
     "ingest_accepted": ingest_accepted,
     "ingest_rejected": ingest_rejected,
     "streamed_coalesce": streamed_coalesce,
+    "streamed_pending": streamed_pending,
     "streamed_sessions": streamed_sessions,
 }
 
 ORACLES = {
     "read_changes": f"WITH {_SQL_QUEUE} SELECT * FROM queue",
+    "replay_order": f"""WITH {_SQL_QUEUE} SELECT seq, client_id,
+  CAST(row_number() OVER (PARTITION BY client_id ORDER BY ts // {TIE_MS}, key, seq) AS INT) AS pos FROM queue""",
     "pending_count": "SELECT count(*) AS pending FROM events",
     "coalesce_changes": _SQL_COALESCED,
     "replay_prefix": f"""WITH {_SQL_QUEUE}, results AS (
-  SELECT *, NOT (starts_with(content, 'error') AND seq % 401 = 0) AS ok FROM queue),
-counted AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY client_id ORDER BY ts, key
+  SELECT * REPLACE (ts // {TIE_MS} AS ts), NOT (starts_with(content, 'error') AND seq % 401 = 0) AS ok FROM queue),
+counted AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY client_id ORDER BY ts, key, seq
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed_before FROM results)
 SELECT seq, client_id, CASE WHEN failed_before > 0 THEN 'queued' WHEN ok THEN 'applied' ELSE 'failed' END AS status
 FROM counted""",
@@ -278,13 +309,14 @@ WHERE (path, mod_time, size) NOT IN (SELECT (path, mod_time, size) FROM old)""",
 valid AS (SELECT a.* FROM activity a LEFT JOIN ends e ON a.token = e.token WHERE e.ended IS NULL OR a.ts <= e.ended),
 {_sql_sessions("valid")}
 SELECT token, start, last, CASE WHEN out THEN last ELSE last + {TTL_MS} END AS expires, n_events FROM spans""",
-    "session_expiry": _SQL_EXPIRY,
-    "live_sessions": f"SELECT * FROM ({_SQL_EXPIRY}) WHERE expires >= {NOW_MS}",
+    "session_expiry": SQL_EXPIRY,
+    "live_sessions": f"SELECT * FROM ({SQL_EXPIRY}) WHERE expires >= {NOW_MS}",
     "ingest_accepted": f"""WITH {_SQL_INCOMING}
 SELECT path AS source_path, '{TARGET}/' || name || '.md' AS path, name, array_to_string(tags, '|') AS tags,
   ms AS mod_time, length AS size, md5(body) AS digest FROM checked WHERE reason IS NULL""",
     "ingest_rejected": f"WITH {_SQL_INCOMING} SELECT path, length, reason FROM checked WHERE reason IS NOT NULL",
     "streamed_coalesce": _SQL_COALESCED,
+    "streamed_pending": f"SELECT * FROM ({_SQL_COALESCED}) WHERE seq % 3 <> 0",
     "streamed_sessions": f"""WITH {_SQL_ACTIVITY}, {_sql_sessions("activity")}
 SELECT {_SQL_SPANS} FROM spans WHERE last + {TTL_MS} <= (SELECT max(ts) - 3600000 FROM activity)""",
 }

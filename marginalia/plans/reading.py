@@ -54,6 +54,30 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "path", "name", "mod_time")
 
 
+def batch_search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches as people type them: one word or part of one, two words, a tag."""
+    item, words = F.col("item_id"), F.split("text", " ")
+    one = F.when(item % 2 == 0, words[1]).otherwise(F.substring(words[1], 2, 3))
+    two = F.concat_ws(" ", words[2], words[3])
+    tag = F.concat(F.lit("Src"), corpus.text_of("item_id"))
+    each = F.array(
+        F.struct((item * 3).alias("query_id"), one.alias("q"), F.lit("").alias("tag")),
+        F.struct((item * 3 + 1).alias("query_id"), two.alias("q"), F.lit("").alias("tag")),
+        F.struct((item * 3 + 2).alias("query_id"), F.lit("").alias("q"), tag.alias("tag")),
+    )
+    queries = table(spark, sf_dir, "benchmark").select(F.explode(each).alias("q")).select("q.*")
+    return search.batch_search(notes_of(spark, sf_dir), queries).select("query_id", "path", "name", "mod_time")
+
+
+SQL_BATCH_SEARCH_SHORT = f"""WITH {corpus.NOTES}, wanted AS (
+  SELECT item_id * 3 AS query_id, CASE WHEN item_id % 2 = 0 THEN split_part(text, ' ', 2)
+         ELSE substr(split_part(text, ' ', 2), 2, 3) END AS q, '' AS tag FROM benchmark
+  UNION ALL SELECT item_id * 3 + 1, split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4), '' FROM benchmark
+  UNION ALL SELECT item_id * 3 + 2, '', 'Src' || item_id FROM benchmark)
+SELECT query_id, path, name, mod_time FROM wanted JOIN notes
+  ON (tag = '' OR list_contains(list_transform(tags, lambda t: lower(t)), lower(tag)))
+ AND (q = '' OR contains(lower(content), lower(q)))"""
+
 SQL_BATCH_SEARCH = f"""WITH {corpus.NOTES}, wanted AS (
   SELECT item_id * 2 AS query_id, text AS q,
          CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'EN' ELSE 'long' END AS tag FROM benchmark
@@ -267,14 +291,14 @@ def add_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     good = F.when(F.col("quality") == 1, " good ").otherwise("  ")
     toxic = F.when(F.col("toxic") == 1, "toxic").otherwise("Long")
-    tagged = notes.join(labels, "doc_id").withColumn(
+    tagged = notes.join(labels, "doc_id", "left").withColumn(
         "tags", add_tag(add_tag(F.col("tags"), good), toxic)
     )
     return flat_tags(tagged.select("doc_id", "tags"))
 
 
 SQL_ADD_TAGS = f"""WITH {corpus.DOCS}, labelled AS (
-  SELECT d.doc_id, tags, quality, toxic FROM docs d JOIN labels l ON d.doc_id = l.doc_id),
+  SELECT d.doc_id, tags, quality, toxic FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 good AS (SELECT doc_id, toxic, CASE WHEN quality = 1 THEN list_append(tags, 'good') ELSE tags END AS tags FROM labelled)
 SELECT doc_id, array_to_string(CASE WHEN toxic = 1 THEN list_append(tags, 'toxic')
   WHEN list_contains(tags, 'Long') THEN tags ELSE list_append(tags, 'Long') END, '|') AS tags FROM good"""
@@ -318,6 +342,7 @@ QUERIES = {
     "search_and": _search(q="DES", tag="fr"),
     "search_all": _search(),
     "batch_search": batch_search,
+    "batch_search_short": batch_search_short,
     "list_folder": lambda spark, sf: flat_tags(listing.list_notes(notes_of(spark, sf), FOLDER)),
     "list_root_oldest_first": lambda spark, sf: flat_tags(
         listing.list_notes(notes_of(spark, sf), "", "modified-asc")
@@ -363,6 +388,7 @@ ORACLES = {
     ),
     "search_all": _sql_notes("true"),
     "batch_search": SQL_BATCH_SEARCH,
+    "batch_search_short": SQL_BATCH_SEARCH_SHORT,
     "list_folder": _sql_notes(f"folder = '{FOLDER}'"),
     "list_root_oldest_first": _sql_notes("folder = ''"),
     "note_meta": _sql_notes("true"),

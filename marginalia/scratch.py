@@ -7,6 +7,7 @@ broadcast because it is known to be small.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="marginalia-")
     spark.conf.set(CHECKPOINT_DIR, folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,14 +14,15 @@ from marginalia.functions.frontmatter import build_front_matter
 from marginalia.operators.diff import to_parse
 from marginalia.schema import folders_from_paths, notes_from_raw
 from marginalia.scratch import Scratch
-from marginalia.sources.listing import hidden, list_tree, open_root
+from marginalia.sources.listing import hidden, list_tree, open_root, unless_gone
 
 MARKDOWN_SUFFIX = ".md"
 _RAW = "path string, raw string, mod_time bigint, size bigint"
 
 
 def scan_notes(spark: SparkSession, root: str) -> DataFrame:
-    """All ``.md`` files at any depth. Files that cannot be read are left out.
+    """All ``.md`` files at any depth. Files that are gone by then are left out; one that
+    cannot be read, after some tries, fails the scan, so no note is lost silently.
 
     Spark's binary reader takes the bulk. It silently drops empty files and
     hidden names, so those come from the listing and are read beside it; no join
@@ -74,7 +76,6 @@ def _scan_visible(spark: SparkSession, root: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*" + MARKDOWN_SUFFIX)
         .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
         .load(root)
     )
     prefix = _qualified(spark, root)
@@ -98,10 +99,8 @@ def _reader(root: str):
         filesystem, base = open_root(root)
         for batch in batches:
             for row in batch.to_pylist():
-                try:
-                    with filesystem.open_input_stream(f"{base}/{row['path']}") as stream:
-                        raw = stream.readall()
-                except OSError:
+                raw = unless_gone(lambda path=f"{base}/{row['path']}": _read(filesystem, path))
+                if raw is None:
                     continue
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -115,6 +114,11 @@ def _reader(root: str):
     return run
 
 
+def _read(filesystem: pafs.FileSystem, path: str) -> bytes:
+    with filesystem.open_input_stream(path) as stream:
+        return stream.readall()
+
+
 def scan_folders(spark: SparkSession, root: str) -> DataFrame:
     """Every directory below ``root``, empty ones included."""
     return folders_from_paths(list_tree(spark, root).filter("is_dir").select("path"))
@@ -157,7 +161,8 @@ def _writer(root: str):
 
 
 def _replace_file(filesystem: pafs.FileSystem, target: str, data: bytes) -> None:
-    partial = target + ".tmp"
+    # Each attempt writes a file of its own, so a second, speculative one does no harm.
+    partial = f"{target}.{uuid.uuid4().hex}.tmp"
     with filesystem.open_output_stream(partial) as stream:
         stream.write(data)
     filesystem.move(partial, target)

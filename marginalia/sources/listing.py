@@ -6,7 +6,10 @@ readers leave out (empty files, names beginning with ``.`` or ``_``) are seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import time
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -20,23 +23,47 @@ _ARROW = pa.schema(
     [("path", pa.string()), ("is_dir", pa.bool_()), ("mod_time", pa.int64()), ("size", pa.int64())]
 )
 _BATCH = 10_000
+_TRIES = 4
+_WAIT_S = 0.5
+# The names that Spark and its file systems know the same stores by.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+T = TypeVar("T")
 
 
 def open_root(root: str) -> tuple[pafs.FileSystem, str]:
-    filesystem, base = pafs.FileSystem.from_uri(root)
+    """The file system and base path of a URI as Spark takes it, or of a local path."""
+    filesystem, base = pafs.FileSystem.from_uri(_uri(root))
     return filesystem, base.rstrip("/")
 
 
+def _uri(root: str) -> str:
+    scheme, mark, rest = root.partition("://")
+    if mark:
+        return f"{_SCHEMES.get(scheme, scheme)}://{rest}"
+    return root if root.startswith("file:") else os.path.abspath(root)
+
+
+def unless_gone(read: Callable[[], T]) -> T | None:
+    """What ``read`` gives, None if its file or folder is gone. Other errors are tried again, then raised."""
+    for tried in range(1, _TRIES + 1):
+        try:
+            return read()
+        except FileNotFoundError:
+            return None
+        except OSError:
+            if tried == _TRIES:
+                raise
+            time.sleep(_WAIT_S * 2**tried)
+    return None
+
+
 def _lister(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = open_root(root)
         for batch in batches:
             for folder in batch.column("path").to_pylist():
                 selector = pafs.FileSelector(f"{base}/{folder}" if folder else base)
-                try:
-                    infos = filesystem.get_file_info(selector)
-                except OSError:
-                    continue
+                infos = unless_gone(lambda s=selector: filesystem.get_file_info(s)) or []
                 for start in range(0, len(infos), _BATCH):
                     yield _rows(infos[start : start + _BATCH], len(base) + 1)
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.schema import FOLDERS, NOTES
+from marginalia.schema import CHANGES, FOLDERS, NOTES
 
 _COMMITS = "_commits"
+_REJECTS = T.StructType([*CHANGES.fields, T.StructField("reason", T.StringType())])
 
 
 class CommitConflict(RuntimeError):
@@ -24,21 +27,37 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def last_commit(spark: SparkSession, store: str) -> dict | None:
-    """The newest commit marker, or None for a store that was never written."""
+    """The newest commit marker, or None for a store that was never written.
+
+    ``sources`` has the last batch that each stream committed.
+    """
+    for number in reversed(_numbers(spark, store)):
+        body = _marker(spark, store, number)
+        if body is not None:
+            return {"number": number, "sources": {}, **body}
+    return None
+
+
+def _numbers(spark: SparkSession, store: str) -> list[int]:
     filesystem, folder = _filesystem(spark, f"{store}/{_COMMITS}")
     if not filesystem.exists(folder):
-        return None
+        return []
     names = [status.getPath().getName() for status in filesystem.listStatus(folder)]
-    numbers = sorted(int(name) for name in names if name.isdigit())
-    if not numbers:
-        return None
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{numbers[-1]:012d}")
-    stream = filesystem.open(marker)
+    return sorted(int(name) for name in names if name.isdigit())
+
+
+def _marker(spark: SparkSession, store: str, number: int) -> dict | None:
+    """One marker; None while its writer has not finished it."""
+    filesystem, path = _filesystem(spark, f"{store}/{_COMMITS}/{number:012d}")
+    stream = filesystem.open(path)
     try:
         text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-    return {"number": numbers[-1], **json.loads(text)}
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
 
 
 def read_store(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +88,8 @@ def write_snapshot(
     it was. ``expected`` names the commit the new snapshot was computed from, so
     a concurrent commit is detected. ``cluster`` sorts by folder and path, so
     folder filters skip most of the files; the range is over both columns, so a
-    huge folder still spreads over many files.
+    huge folder still spreads over many files. A ``source`` "stream#batch" is
+    remembered for its stream through all later commits.
     """
     spark = notes.sparkSession
     commit = last_commit(spark, store)
@@ -83,29 +103,43 @@ def write_snapshot(
     folders.select(*FOLDERS.fieldNames()).write.parquet(f"{store}/{name}/folders")
     if rejects is not None:
         rejects.write.parquet(f"{store}/{name}/rejects")
-    _mark(spark, store, number + 1, {"snapshot": name, "source": source})
+    sources = dict(commit["sources"]) if commit else {}
+    stream, mark, batch = source.rpartition("#")
+    if mark and batch.isdigit():
+        sources[stream] = int(batch)
+    body = {"snapshot": name, "source": source, "sources": sources, "rejects": rejects is not None}
+    _mark(spark, store, number + 1, body)
     return number + 1
 
 
+def committed(commit: dict | None, source: str) -> bool:
+    """Whether a batch, "stream#batch", or a later one of its stream, is in the store."""
+    stream, _, batch = source.rpartition("#")
+    return bool(commit) and commit["sources"].get(stream, -1) >= int(batch)
+
+
 def _mark(spark: SparkSession, store: str, number: int, body: dict) -> None:
+    """Write a marker that must not be there yet: of two writers only one can create it."""
     filesystem, path = _filesystem(spark, f"{store}/{_COMMITS}/{number:012d}")
     filesystem.mkdirs(path.getParent())
-    partial = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        path.getParent(), f".{path.getName()}-{uuid.uuid4().hex}"
-    )
-    stream = filesystem.create(partial, False)
+    try:
+        stream = filesystem.create(path, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        raise CommitConflict(f"commit {number} was taken by another writer") from error
     stream.write(json.dumps(body).encode("utf-8"))
     stream.close()
-    if filesystem.exists(path) or not filesystem.rename(partial, path):
-        filesystem.delete(partial, False)
-        raise CommitConflict(f"commit {number} was taken by another writer")
 
 
 def read_rejects(spark: SparkSession, store: str) -> DataFrame:
     """Rejected changes of every commit of the store, with the snapshot they belong to."""
-    rejects = spark.read.option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.parquet"
-    ).parquet(f"{store}/snapshot-*/rejects")
+    markers = [_marker(spark, store, number) for number in _numbers(spark, store)]
+    paths = [f"{store}/{m['snapshot']}/rejects" for m in markers if m and m.get("rejects")]
+    if paths:
+        rejects = spark.read.schema(_REJECTS).parquet(*paths)
+    else:
+        rejects = spark.createDataFrame([], _REJECTS)
     return rejects.withColumn(
         "snapshot", F.regexp_extract(F.input_file_name(), r"/(snapshot-\d+-[0-9a-f]+)/", 1)
     )

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-
-from marginalia.operators.queue import coalesce_changes
+from pyspark.sql import functions as F
 
 
 def stream_coalesce(changes: DataFrame) -> DataFrame:
-    """The newest entry of each key so far; write it in ``update`` mode.
+    """``(key, ts, seq, pending)``: the newest entry of each key so far; write it in ``update`` mode.
 
     "Newest" is by ``(ts, seq)``, so an entry that arrives late never replaces a
-    newer one, and the result does not depend on how the stream was cut.
+    newer one, and the result does not depend on how the stream was cut. A row with
+    ``applied`` true (if there is such a column) reports the entry of its ``ts`` and
+    ``seq`` as applied: the key is pending only while it has a newer one. The state is
+    these few numbers per key; bodies stay in the log, under ``seq``.
     """
     if not changes.isStreaming:
         raise ValueError("stream_coalesce expects a streaming DataFrame")
-    return coalesce_changes(changes)
+    applied = F.coalesce(F.col("applied"), F.lit(False)) if "applied" in changes.columns else F.lit(False)
+    place = F.struct("ts", "seq")
+    latest = changes.groupBy("key").agg(
+        F.max(F.when(~applied, place)).alias("newest"), F.max(F.when(applied, place)).alias("done")
+    )
+    pending = F.col("newest").isNotNull() & (F.col("done").isNull() | (F.col("newest") > F.col("done")))
+    return latest.select("key", "newest.ts", "newest.seq", pending.alias("pending"))

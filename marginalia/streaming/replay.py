@@ -8,18 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 from marginalia.operators.changes import apply_changes
 from marginalia.operators.queue import coalesce_changes
 from marginalia.scratch import Scratch
-from marginalia.sources.store import last_commit, read_store, write_snapshot
+from marginalia.sources.store import committed, last_commit, read_store, write_snapshot
 
 
 def apply_batch(batch: DataFrame, store: str, source: str, coalesce: bool = True) -> int | None:
     """Commit one batch of changes; returns the snapshot number, or None if it is in already.
 
-    The commit names its source, so a batch that is delivered again after a
-    failure is recognised and changes nothing.
+    ``source`` is "stream#batch". Commits remember the last batch of every stream, so
+    a batch that is delivered again after a failure is recognised and changes
+    nothing, also if another stream has committed in between.
     """
     spark = batch.sparkSession
     commit = last_commit(spark, store)
-    if commit and commit["source"] == source:
+    if committed(commit, source):
         return None
     notes, folders = read_store(spark, store)
     changes = Scratch(spark, "batch").save(coalesce_changes(batch) if coalesce else batch)

@@ -20,7 +20,9 @@ def stream_sessions(
     """Closed sessions, as ``sessions`` gives them; write in ``append`` mode.
 
     ``ts`` is epoch milliseconds. A session comes out once the watermark has
-    passed its expiry. Events of a busy token are merged before the shuffle.
+    passed its expiry. Events of a busy token are merged before the shuffle, for which
+    the session's setting LOCAL_MERGE is switched on and stays so: it is read when the
+    query starts.
     """
     events.sparkSession.conf.set(LOCAL_MERGE, True)
     return (

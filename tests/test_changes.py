@@ -9,7 +9,7 @@ from log_model import Model
 from pyspark.sql import functions as F
 
 from marginalia.operators import changes as changes_module
-from marginalia.operators.allocate import free_numbers, ordinal_within
+from marginalia.operators.allocate import BLOCK, _block_of, free_numbers, order_blocks, ordinal_within
 from marginalia.operators.changes import apply_changes
 from marginalia.schema import CHANGES, notes_from_parts
 
@@ -61,23 +61,23 @@ def check(spark, notes, folders, log):
 
 
 def test_note_crud(spark):
-    notes = [("dup.md", "1", [], 1), ("n.md", "old", ["a"], 1), ("old.md", "body", ["t"], 1), ("gone.md", "x", [], 1)]
+    notes = [("pump.md", "rev 1", [], 4), ("valve.md", "shut", ["parts"], 4), ("draft.md", "hull", ["keep"], 4), ("scrap.md", "-", [], 4)]
     log = [
-        change(1, "create", name="hello", content="# Hi\nbody", tags=["x", "y"]),
-        change(2, "create", content="x"),
-        change(3, "create", name="dup", content="2"),
-        change(4, "create", name="dup", content="3", ts=3000),
-        change(5, "update", "n.md", content="new", tags=["b", "c"]),
-        change(6, "update", "old.md", content="body", tags=["t"], name="fresh"),
-        change(7, "delete", "gone.md"),
-        change(8, "delete", "never.md"),
-        change(9, "update", "never.md", content="x"),
-        change(10, "create", name="../../evil", folder="in/side"),
-        change(11, "create", name="x", folder="../out"),
-        change(12, "update", "fresh.md", content="z", name="n"),
+        change(1, "create", name="keel", content="> oak\n> 9 m", tags=["wood", "long"]),
+        change(2, "create", content="unnamed"),
+        change(3, "create", name="pump", content="rev 2"),
+        change(4, "create", name="pump", content="rev 3", ts=3000),
+        change(5, "update", "valve.md", content="open", tags=["parts", "checked"]),
+        change(6, "update", "draft.md", content="hull", tags=["keep"], name="final"),
+        change(7, "delete", "scrap.md"),
+        change(8, "delete", "ghost.md"),
+        change(9, "update", "ghost.md", content="boo"),
+        change(10, "create", name="../../up/there", folder="bay/two"),
+        change(11, "create", name="raft", folder="../sea"),
+        change(12, "update", "final.md", content="deck", name="valve"),
     ]
     model = check(spark, notes, [], log)
-    assert "1970-01-01_000003_dup.md" in model.notes and "1970-01-01_000003-2_dup.md" in model.notes
+    assert "1970-01-01_000003_pump.md" in model.notes and "1970-01-01_000003-2_pump.md" in model.notes
     assert model.rejects == {8: "not_found", 9: "not_found", 11: "illegal_path", 12: "exists"}
 
 
@@ -233,3 +233,19 @@ def test_hot_note_and_hot_name(spark):
     notes = [("hot.md", "h", ["x"], 1), ("warm.md", "w", [], 1), ("hot (copy 7).md", "c", [], 1)]
     model = check(spark, notes, [], log)
     assert "hot (copy 81).md" in model.notes and "1970-01-01_000001-79_same.md" in model.notes
+
+
+def test_a_repeated_seq_is_refused(spark):
+    log = [change(1, "create", name="a"), change(1, "create", name="b")]
+    with pytest.raises(ValueError, match="different values of seq"):
+        check(spark, [], [], log)
+
+
+def test_an_outlier_makes_no_block_wide(spark):
+    rows = spark.range(0, 30_000).select(F.lit("hot").alias("k"), F.col("id").alias("seq"))
+    rows = rows.unionByName(spark.createDataFrame([("hot", 10**15)], "k string, seq bigint"))
+    blocks = order_blocks(rows, "seq")
+    sizes = rows.groupBy(_block_of(F.col("seq"), blocks)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= BLOCK
+    got = ordinal_within(rows, ["k"], "seq", "n", blocks)
+    assert got.filter("n <> least(seq, 30000) + 1").isEmpty()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from log_model import Model
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from marginalia.operators import (
 )
 from marginalia.schema import CHANGES
 from marginalia.sources import read_rejects, read_store
-from marginalia.sources.store import last_commit
+from marginalia.sources.store import CommitConflict, _mark, last_commit
 from marginalia.streaming import apply_batch, stream_apply, stream_coalesce, stream_sessions
 from test_changes import change
 
@@ -50,10 +51,24 @@ def test_queue(spark):
 def test_replay_stops_at_first_failure(spark):
     rows = [("a", 1, "k1", True), ("a", 2, "k2", False), ("a", 3, "k3", True), ("a", 4, "k4", False), ("b", 1, "k5", True), ("b", 9, "k6", True)]
     results = spark.createDataFrame(rows, "client_id string, ts bigint, key string, ok boolean")
+    results = results.withColumn("seq", F.substring("key", 2, 1).cast("bigint"))
     got = {r.key: r.status for r in replay_prefix(results).collect()}
     assert got == {"k1": "applied", "k2": "failed", "k3": "queued", "k4": "queued", "k5": "applied", "k6": "applied"}
 
 
+def test_replay_of_ties_and_unknown_results(spark):
+    rows = [("a", 5, "k", 1, True), ("a", 5, "k", 2, False), ("a", 5, "k", 3, True), ("b", 5, "k", 4, None), ("b", 5, "j", 5, True)]
+    results = spark.createDataFrame(rows, "client_id string, ts bigint, key string, seq bigint, ok boolean")
+    got = {r.seq: r.status for r in replay_prefix(results).collect()}
+    assert got == {1: "applied", 2: "failed", 3: "queued", 4: "failed", 5: "applied"}
+
+
+def test_coalesce_aggregates_no_body(spark):
+    plan = coalesce_changes(changes(spark, random_queue(random.Random(1), 3)))._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan[plan.index("Aggregate") :]
+    assert "content" not in aggregate.split("\n")[0] and "max_by" not in plan
+
+
 def model_sessions(events, ttl):
     out = []
     for token, ts in sorted(events):
@@ -119,7 +134,7 @@ def test_streamed_queue_equals_batch(spark, tmp_path):
     latest = {}
 
     def keep(batch, _):
-        latest.update({r.key: r.seq for r in batch.collect()})
+        latest.update({r.key: r.seq for r in batch.collect() if r.pending})
 
     stream_coalesce(stream).writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", str(tmp_path / "cp")
@@ -146,6 +161,16 @@ def test_stream_replay_into_store(spark, tmp_path):
     assert [(r.seq, r.reason, r.content) for r in read_rejects(spark, store).collect()] == [(2, "not_found", "kept")]
     commit = last_commit(spark, store)
     assert commit["number"] == 2
-    # The same batch delivered again changes nothing.
+    # The same batch delivered again changes nothing, also after another stream's commit.
+    assert apply_batch(changes(spark, second), store, commit["source"]) is None
+    other = [change(9, "create", name="other", content="o", tags=[])]
+    assert apply_batch(changes(spark, other), store, "elsewhere#0") == 3
     assert apply_batch(changes(spark, second), store, commit["source"]) is None
-    assert last_commit(spark, store)["number"] == 2
+    assert apply_batch(changes(spark, other), store, "elsewhere#0") is None
+    # What an attempt without a marker left behind does not count.
+    notes.limit(0).write.parquet(f"{store}/snapshot-000000000009-dead/rejects")
+    assert read_rejects(spark, store).count() == 1
+    assert read_rejects(spark, str(tmp_path / "new")).isEmpty()
+    with pytest.raises(CommitConflict):
+        _mark(spark, store, 3, {})
+    assert last_commit(spark, store)["number"] == 3

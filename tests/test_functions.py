@@ -35,38 +35,10 @@ def apply(spark, values, fn, dtype="string"):
     return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
 
 
-def model_front_matter(raw):
-    if not raw.startswith(("---\n", "---\r\n")):
-        return [], raw
-    lines = raw.split("\n")
-    pos = len(lines[0]) + 1
-    header = []
-    for i, line in enumerate(lines[1:], start=1):
-        has_newline = i < len(lines) - 1
-        if not has_newline and line == "":
-            break
-        if line.rstrip("\r") == "---":
-            body = raw[pos + len(line) + has_newline :]
-            break
-        header.append(line)
-        pos += len(line) + has_newline
-    else:
-        return [], raw
-    if not (line.rstrip("\r") == "---"):
-        return [], raw
-    for line in header:
-        if line.startswith("tags:"):
-            value = line[5:].strip(UNICODE_BLANKS)
-            value = value.removeprefix("[").removesuffix("]")
-            tags = [t.strip(UNICODE_BLANKS).strip("\"'") for t in value.split(",")]
-            return [t for t in tags if t], body
-    return [], body
-
-
 def test_front_matter_cases(spark):
     cases = {
-        "---\ntags: [x, y]\n---\nbody": (["x", "y"], "body"),
-        "# just text": ([], "# just text"),
+        "---\ntags: [north, east]\n---\nWind 4": (["north", "east"], "Wind 4"),
+        "No header here.\n---\n": ([], "No header here.\n---\n"),
         "---\n---\nempty": ([], "empty"),
         "---\r\ntags: [\"a\", 'b']\r\n---\r\nbody": (["a", "b"], "body"),
         "---\ntags: a, b\ntags: c\n---": (["a", "b"], ""),
@@ -80,17 +52,28 @@ def test_front_matter_cases(spark):
     assert [(g.tags, g.body) for g in got] == list(cases.values())
 
 
-def test_front_matter_random(spark):
+def test_front_matter_put_together(spark):
+    """Headers built from known parts give those parts back."""
     rng = random.Random(7)
-    pieces = ["---", "\n", "\r\n", "tags:", " [", "]", "a", '"b"', ",", " ", "-", " ", "\r", "é"]
-    raws = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(800)]
-    raws += [
-        "---\n" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 10))) + "\n---\nbody"
-        for _ in range(800)
-    ]
-    got = apply(spark, raws, parse_front_matter)
-    for raw, g in zip(raws, got):
-        assert (g.tags, g.body) == model_front_matter(raw), repr(raw)
+    bodies = ["", "text", "---\nrule", "a\n\nb\n", "tags: [no]\n---\n", "\r\n"]
+    others = ["title: x", "", "tagsx: [q]", " ---", "----", "- - -", "date: 1\t"]
+    cases = []
+    for _ in range(600):
+        end = rng.choice(["\n", "\r\n"])
+        tags = ["".join(rng.choice("ab\u00e9 -#") for _ in range(4)).strip(" ") or "t" for _ in range(rng.randint(0, 4))]
+        quote = rng.choice(["", '"', "'"])
+        listed = rng.choice([",", ", ", " , "]).join(f"{quote}{t}{quote}" for t in tags)
+        line = f"tags:{rng.choice(['', ' ', '  '])}" + rng.choice([f"[{listed}]", listed])
+        before, after = ([rng.choice(others) for _ in range(rng.randint(0, 3))] for _ in range(2))
+        header = [*before, line, *after, *rng.choice([[], ["tags: [late]"]])]
+        body = rng.choice(bodies)
+        cases.append((end.join(["---", *header, "---"]) + end + body, (tags, body)))
+        unclosed = end.join(["---", *(x for x in header if x != "---")]) + end
+        cases.append((unclosed, ([], unclosed)))
+        cases.append(("x" + unclosed, ([], "x" + unclosed)))
+    got = apply(spark, [raw for raw, _ in cases], parse_front_matter)
+    for (raw, want), g in zip(cases, got):
+        assert (g.tags, g.body) == want, repr(raw)
 
 
 def test_front_matter_build(spark):

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
-from marginalia.plans import changing
+from __spark_entry__ import entry
+from marginalia.plans import ORACLES, QUERIES, changing
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -29,14 +29,14 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["path", "name", "tags", "mod_time", "preview"]
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query_matches_oracle(spark, duck, name):
-    outcome = check.compare(spark, duck, name, queries()[name], oracle_sql()[name], SF_DIR)
+    outcome = check.compare(spark, duck, name, QUERIES[name], ORACLES[name], SF_DIR)
     assert outcome.startswith("ok"), outcome

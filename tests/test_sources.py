@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import apply_changes, snapshot_diff, to_parse
 from marginalia.schema import FOLDERS, NOTES, notes_from_parts
+from marginalia.sources import listing
 from marginalia.sources import (
     as_creates,
     ingest_gate,
@@ -105,16 +106,16 @@ def test_incremental_scan(spark, root):
 
 def test_ingest_gate(spark, tmp_path):
     cases = {
-        "imported.md": b"---\ntags: [a, b]\n---\nhello body",
-        "pic.png": b"x",
-        "none": b"x",
-        "big.md": b"x" * ((1 << 20) + 1),
-        "full.md": b"x" * (1 << 20),
-        "bin.md": b"a\x00b",
-        "bad.txt": b"\xff\xfe",
-        "FOO.MD": b"upper",
-        "C:\\dir\\win.txt": b"w",
-        "a.md.txt": b"double",
+        "field-log.md": b"---\ntags: [river, survey]\n---\nLevel at dawn: 2.4 m",
+        "chart.svg": b"<svg/>",
+        "README": b"no suffix",
+        "long.md": b"z" * ((1 << 20) + 1),
+        "limit.md": b"z" * (1 << 20),
+        "zero.md": b"before\x00after",
+        "latin.txt": "caf\u00e9".encode("latin-1"),
+        "MEMO.MD": b"loud",
+        "D:\\scans\\bill.txt": b"paid",
+        "twice.md.txt": b"two suffixes",
     }
     files = spark.createDataFrame(
         [(name, 1000, len(data), bytearray(data)) for name, data in cases.items()],
@@ -123,28 +124,28 @@ def test_ingest_gate(spark, tmp_path):
     accepted, rejected = ingest_gate(files, "in")
     rows = {r.source_path: r for r in accepted.collect()}
     assert {r.path: r.reason for r in rejected.collect()} == {
-        "pic.png": "extension",
-        "none": "extension",
-        "big.md": "too_large",
-        "bin.md": "nul_byte",
-        "bad.txt": "not_utf8",
+        "chart.svg": "extension",
+        "README": "extension",
+        "long.md": "too_large",
+        "zero.md": "nul_byte",
+        "latin.txt": "not_utf8",
     }
-    assert rows["imported.md"].path == "in/imported.md" and rows["imported.md"].tags == ["a", "b"]
-    assert rows["imported.md"].content == "hello body"
-    assert rows["FOO.MD"].path == "in/FOO.md"
-    assert rows["C:\\dir\\win.txt"].path == "in/win.md"
-    assert rows["a.md.txt"].path == "in/a.md.md"
+    assert rows["field-log.md"].path == "in/field-log.md" and rows["field-log.md"].tags == ["river", "survey"]
+    assert rows["field-log.md"].content == "Level at dawn: 2.4 m"
+    assert rows["MEMO.MD"].path == "in/MEMO.md"
+    assert rows["D:\\scans\\bill.txt"].path == "in/bill.md"
+    assert rows["twice.md.txt"].path == "in/twice.md.md"
     none, all_rejected = ingest_gate(files, "../out")
     assert none.isEmpty() and all_rejected.filter("reason = 'illegal_path'").count() == 5
 
     taken = notes_from_parts(
-        spark.createDataFrame([("in/win.md", "old", [], 1)], "path string, content string, tags array<string>, mod_time bigint")
+        spark.createDataFrame([("in/bill.md", "old", [], 1)], "path string, content string, tags array<string>, mod_time bigint")
     )
     log = as_creates(accepted, F.xxhash64("source_path"))
     notes, _, rejects = apply_changes(taken, spark.createDataFrame([], FOLDERS), log)
     got = {r.path: r.content for r in notes.collect()}
-    assert got["in/win.md"] == "old" and got["in/1970-01-01_000001_win.md"] == "w"
-    assert got["in/a.md.md"] == "double" and len(got) == 6 and rejects.isEmpty()
+    assert got["in/bill.md"] == "old" and got["in/1970-01-01_000001_bill.md"] == "paid"
+    assert got["in/twice.md.md"] == "two suffixes" and len(got) == 6 and rejects.isEmpty()
 
 
 def test_store_commits(spark, tmp_path):
@@ -165,3 +166,30 @@ def test_store_commits(spark, tmp_path):
     assert [(r.seq, r.reason) for r in read_rejects(spark, store).collect()] == [(7, "not_found")]
     with pytest.raises(CommitConflict):
         write_snapshot(first, folders, store, expected=1)
+
+
+def test_errors_lose_no_note(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "_WAIT_S", 0)
+    calls = []
+
+    def flaky(times, error):
+        def read():
+            calls.append(1)
+            if len(calls) <= times:
+                raise error
+            return b"text"
+
+        return read
+
+    assert listing.unless_gone(flaky(2, OSError("slow down"))) == b"text"
+    assert listing.unless_gone(flaky(10**6, FileNotFoundError())) is None
+    with pytest.raises(PermissionError):
+        listing.unless_gone(flaky(10**6, PermissionError("no")))
+
+
+def test_roots_as_spark_writes_them(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert listing.open_root("notes")[1] == str(tmp_path / "notes")
+    assert listing.open_root(f"file://{tmp_path}/x/")[1] == f"{tmp_path}/x"
+    assert listing._uri("s3a://bucket/deep") == "s3://bucket/deep"
+    assert listing._uri("hdfs://host/deep") == "hdfs://host/deep"
