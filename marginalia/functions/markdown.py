@@ -38,9 +38,38 @@ REWRITES = (
 )
 
 
+# What a text must hold for a rewrite to change it. Looking for it costs far less than
+# the pattern, and most previews hold few of these; rewrites not listed always run.
+_NEEDS = {
+    "heading": "#",
+    "autolink": "<http",
+    "html_tag": "<",
+    "code_block": "```",
+    "image": "![",
+    "link": "](",
+    "task": "[",
+    "strong_underscore": "__",
+    "underscore": "_",
+    "quote": ">",
+    "rule": "---",
+    "newlines": "\n\n",
+}
+
+
+def _rewritten(pattern: str, replacement: str, need: str):
+    def rewrite(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(need)), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+    return rewrite
+
+
 def strip_markdown(text: Column) -> Column:
     """Plain text of a Markdown snippet. Meant for previews, which are short."""
     out = F.coalesce(text, F.lit(""))
-    for _, pattern, replacement in REWRITES:
-        out = F.regexp_replace(out, pattern, replacement)
+    for name, pattern, replacement in REWRITES:
+        if name in _NEEDS:
+            # An array of one binds the text so far, which is then computed once.
+            out = F.transform(F.array(out), _rewritten(pattern, replacement, _NEEDS[name]))[0]
+        else:
+            out = F.regexp_replace(out, pattern, replacement)
     return F.btrim(out, F.lit(RENDERED_BLANKS))

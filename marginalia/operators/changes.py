@@ -196,12 +196,13 @@ class _Apply:
             F.when(touched, F.col("new_time")).otherwise(F.col("mod_time")).alias("mod_time"),
             "size",
             "preview",
+            "header",
             F.coalesce("dirty", F.lit(False)).alias("dirty"),
         ).filter("path IS NOT NULL")
 
         live = self.state.filter("path IS NOT NULL")
         meta = ["path", "tags", "mod_time", "dirty"]
-        bodies = self.notes.select(F.col("path").alias("body_path"), "content", "size", "preview")
+        bodies = self.notes.select(F.col("path").alias("body_path"), "content", "size", "preview", "header")
         copied = live.filter(
             "own_path IS NULL AND body_seq IS NULL AND body_path IS NOT NULL"
         ).join(bodies, "body_path")
@@ -215,10 +216,11 @@ class _Apply:
             {
                 "size": F.lit(None).cast("bigint"),
                 "preview": preview(F.col("content")),
+                "header": F.lit(None).cast("string"),
                 "dirty": F.lit(True),
             }
         )
-        columns = [*meta, "content", "size", "preview"]
+        columns = [*meta, "content", "size", "preview", "header"]
         merged = (
             kept.select(*columns)
             .unionByName(copied.select(*columns))
@@ -230,6 +232,8 @@ class _Apply:
                 "folder": dirname(F.col("path")),
                 "name": note_name(F.col("path")),
                 "size": F.when(F.col("dirty"), full_size.cast("bigint")).otherwise(F.col("size")),
+                # Only a note that was written gets a header made from its tags.
+                "header": F.when(~F.col("dirty"), F.col("header")),
             }
         ).select(*NOTES.fieldNames())
 

@@ -18,10 +18,10 @@ from marginalia.functions import (
     sanitize_name,
     timestamp_name,
 )
-from marginalia.operators import listing, search, tree
+from marginalia.operators import apply_changes, listing, search, tree
 from marginalia.plans import corpus
 from marginalia.plans.corpus import flat_tags, notes_of, table
-from marginalia.schema import notes_from_raw
+from marginalia.schema import FOLDERS, notes_from_raw
 from marginalia.sources.files import render_notes
 
 FOLDER = "src1/en"
@@ -144,12 +144,42 @@ def front_matter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_notes(notes_of(spark, sf_dir))
 
 
+def verbatim_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files scanned, moved, duplicated and written again: only an update changes a header."""
+    doc = table(spark, sf_dir, "documents").select("doc_id", corpus.doc_path().alias("old"))
+    files = raw_files(spark, sf_dir).withColumnRenamed("path", "old").join(doc, "old")
+    files = files.withColumn("path", F.concat(F.lit("in/f"), F.col("doc_id").cast("string"), F.lit(".md")))
+    kind = F.when(F.col("doc_id") % 3 == 0, "move").when(F.col("doc_id") % 3 == 1, "duplicate").otherwise("update")
+    log = files.select(
+        F.col("doc_id").alias("seq"),
+        F.col("path").alias("key"),
+        F.lit(None).cast("string").alias("client_id"),
+        kind.alias("kind"),
+        "path",
+        F.lit(None).cast("string").alias("name"),
+        F.lit("out").alias("folder"),
+        F.when(kind == "update", "new").alias("content"),
+        F.when(kind == "update", F.array(F.lit("t"))).alias("tags"),
+        F.lit(corpus.START_MS).alias("ts"),
+    )
+    folders = spark.createDataFrame([], FOLDERS)
+    notes, _, _ = apply_changes(notes_from_raw(files.select("path", "raw", "mod_time", "size")), folders, log)
+    return render_notes(notes).select("path", F.md5("text").alias("digest"))
+
+
+_SQL_VERBATIM = f"""WITH raws AS (SELECT doc_id, doc_id % 3 AS kind, {_SQL_RAW} AS raw FROM documents)
+SELECT CASE kind WHEN 0 THEN 'out' ELSE 'in' END || '/f' || doc_id || '.md' AS path,
+  md5(CASE kind WHEN 2 THEN e'---\ntags: ["t"]\n---\nnew' ELSE raw END) AS digest FROM raws
+UNION ALL SELECT 'in/f' || doc_id || ' (copy).md', md5(raw) FROM raws WHERE kind = 1"""
+
+
 def export_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_notes(notes_of(spark, sf_dir), front_matter=False)
 
 
 # The rewrites of the plain-text chain in the dialect of the oracle. It has no
 # look-ahead, so an emphasis rule takes the character after it along and runs twice.
+# These patterns say the same as those of functions/markdown.py.
 _SQL_REWRITES = (
     (r"(?m)^#{1,6}\s+", ""),
     (r"<(https?://[^>\s]+)>", r"\1"),
@@ -362,6 +392,7 @@ QUERIES = {
     "notes_parsed": notes_parsed,
     "front_matter_render": front_matter_render,
     "export_bodies": export_bodies,
+    "verbatim_files": verbatim_files,
     "path_functions": path_functions,
     "sanitize_names": sanitize_names,
     "timestamp_names": timestamp_names,
@@ -415,6 +446,7 @@ ORACLES = {
     "front_matter_render": (
         f"WITH {corpus.DOCS} SELECT path, {corpus.sql_header('tags')} || content AS text FROM docs"
     ),
+    "verbatim_files": _SQL_VERBATIM,
     "export_bodies": f"WITH {corpus.DOCS} SELECT path, content AS text FROM docs",
     "path_functions": SQL_PATH_FUNCTIONS,
     "sanitize_names": SQL_SANITIZE,

@@ -20,6 +20,8 @@ NOTES = T.StructType(
         T.StructField("mod_time", T.LongType()),
         T.StructField("size", T.LongType()),
         T.StructField("preview", T.StringType()),
+        # The header as it stands in the file; NULL for one that is made from the tags.
+        T.StructField("header", T.StringType()),
     ]
 )
 
@@ -70,12 +72,14 @@ def notes_from_parts(parts: DataFrame) -> DataFrame:
         F.col("mod_time").cast("bigint").alias("mod_time"),
         size.cast("bigint").alias("size"),
         preview(content).alias("preview"),
+        F.lit(None).cast("string").alias("header"),
     )
 
 
 def notes_from_raw(files: DataFrame) -> DataFrame:
-    """Notes from ``(path, raw, mod_time, size)``: the header is split off the body."""
+    """Notes from ``(path, raw, mod_time, size)``: the header is split off the body, and kept."""
     parsed = files.withColumn("parsed", parse_front_matter(F.col("raw")))
+    header = F.substr(F.col("raw"), F.lit(1), F.length("raw") - F.length("parsed.body"))
     return parsed.select(
         "path",
         dirname(F.col("path")).alias("folder"),
@@ -85,6 +89,7 @@ def notes_from_raw(files: DataFrame) -> DataFrame:
         F.col("mod_time").cast("bigint").alias("mod_time"),
         F.col("size").cast("bigint").alias("size"),
         preview(F.col("parsed.body")).alias("preview"),
+        header.alias("header"),
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables of every ``Scratch`` made inside when the work inside is done.
+
+    For work whose results are written elsewhere, as what it returns may read those tables.
+    """
+    roots: list[str] = []
+    _SCOPES.append(roots)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(roots)
+        for root in roots:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """A run's own folder for written tables."""
 
@@ -35,6 +57,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as a plain table scan."""

@@ -9,11 +9,12 @@ from marginalia.sources.files import (
     write_notes,
 )
 from marginalia.sources.ingest import as_creates, classify, ingest_gate
-from marginalia.sources.store import read_rejects, read_store, write_snapshot
+from marginalia.sources.store import expire_snapshots, read_rejects, read_store, write_snapshot
 
 __all__ = [
     "as_creates",
     "classify",
+    "expire_snapshots",
     "ingest_gate",
     "read_rejects",
     "read_store",

@@ -125,10 +125,13 @@ def scan_folders(spark: SparkSession, root: str) -> DataFrame:
 
 
 def render_notes(notes: DataFrame, front_matter: bool = True) -> DataFrame:
-    """``(path, text)`` as it stands in a file; without the header for an export."""
+    """``(path, text)`` as it stands in a file; without the header for an export.
+
+    A header that came from a file is written as it was; others are made from the tags.
+    """
     text = F.col("content")
     if front_matter:
-        text = F.concat(build_front_matter(F.col("tags")), text)
+        text = F.concat(F.coalesce("header", build_front_matter(F.col("tags"))), text)
     return notes.select("path", text.alias("text"))
 
 

@@ -78,7 +78,7 @@ def write_snapshot(
     store: str,
     rejects: DataFrame | None = None,
     source: str = "",
-    cluster: bool = False,
+    cluster: bool = True,
     expected: int | None = None,
 ) -> int:
     """Write a whole snapshot, then make it current in one step; returns its number.
@@ -112,6 +112,20 @@ def write_snapshot(
     return number + 1
 
 
+def expire_snapshots(spark: SparkSession, store: str, keep: int = 2) -> int:
+    """Delete the notes and folders of all but the last ``keep`` commits; returns how many it went through.
+
+    Rejects and markers stay. Nobody may still be reading the expired snapshots.
+    """
+    expired = _numbers(spark, store)[:-keep] if keep else []
+    for number in expired:
+        body = _marker(spark, store, number)
+        for part in ("notes", "folders") if body else ():
+            filesystem, path = _filesystem(spark, f"{store}/{body['snapshot']}/{part}")
+            filesystem.delete(path, True)
+    return len(expired)
+
+
 def committed(commit: dict | None, source: str) -> bool:
     """Whether a batch, "stream#batch", or a later one of its stream, is in the store."""
     stream, _, batch = source.rpartition("#")

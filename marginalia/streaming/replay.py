@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators.changes import apply_changes
 from marginalia.operators.queue import coalesce_changes
-from marginalia.scratch import Scratch
+from marginalia.scratch import Scratch, scratch_scope
 from marginalia.sources.store import committed, last_commit, read_store, write_snapshot
 
 
@@ -23,10 +23,11 @@ def apply_batch(batch: DataFrame, store: str, source: str, coalesce: bool = True
     if committed(commit, source):
         return None
     notes, folders = read_store(spark, store)
-    changes = Scratch(spark, "batch").save(coalesce_changes(batch) if coalesce else batch)
-    new_notes, new_folders, rejects = apply_changes(notes, folders, changes)
     base = commit["number"] if commit else 0
-    return write_snapshot(new_notes, new_folders, store, rejects, source=source, expected=base)
+    with scratch_scope(spark):
+        changes = Scratch(spark, "batch").save(coalesce_changes(batch) if coalesce else batch)
+        new_notes, new_folders, rejects = apply_changes(notes, folders, changes)
+        return write_snapshot(new_notes, new_folders, store, rejects, source=source, expected=base)
 
 
 def stream_apply(

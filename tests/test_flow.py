@@ -18,7 +18,7 @@ from marginalia.operators import (
     sessions,
 )
 from marginalia.schema import CHANGES
-from marginalia.sources import read_rejects, read_store
+from marginalia.sources import expire_snapshots, read_rejects, read_store
 from marginalia.sources.store import CommitConflict, _mark, last_commit
 from marginalia.streaming import apply_batch, stream_apply, stream_coalesce, stream_sessions
 from test_changes import change
@@ -173,4 +173,8 @@ def test_stream_replay_into_store(spark, tmp_path):
     assert read_rejects(spark, str(tmp_path / "new")).isEmpty()
     with pytest.raises(CommitConflict):
         _mark(spark, store, 3, {})
+    # Old snapshots can go; the current one and all rejects stay.
+    assert expire_snapshots(spark, store, keep=1) == 2
+    assert {r.path for r in read_store(spark, store)[0].collect()} == {"b/n.md", "other.md"}
+    assert read_rejects(spark, store).count() == 1 and len(list((tmp_path / "store").glob("*/notes"))) == 1
     assert last_commit(spark, store)["number"] == 3
