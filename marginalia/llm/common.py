@@ -179,6 +179,19 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mixed(out + np.uint64(n))
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system, as Spark keeps Python workers for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def strings(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string column; nulls are empty."""
     import pyarrow as pa

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import scratch, shingle_hashes, strings, text_words
+from marginalia.llm.common import scratch, shingle_hashes, strings, text_words, tidy
 from marginalia.llm.graph import components
 
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
@@ -69,6 +69,7 @@ def with_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for tokens in _sets(text, width):
             n.append(len(tokens))
             keys.append(_key(tokens) if len(tokens) else None)
+        tidy()
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(keys, pa.int64())], names=["n", "key"])
 
     return docs.withColumn("__mg_set", sizes(F.col("text")))
@@ -114,8 +115,11 @@ def _send(docs: DataFrame, width: int, bucket_bits: int) -> DataFrame:
                 if size >= BATCH_TOKENS or len(held) == 1 << 16:
                     yield pa.RecordBatch.from_pylist(list(rows(part, list(held.values()), list(held))), schema)
                     held, size, part = {}, 0, part + 1
+                    tidy()
         if held:
             yield pa.RecordBatch.from_pylist(list(rows(part, list(held.values()), list(held))), schema)
+        held = {}
+        tidy()
 
     return docs.select("text").mapInArrow(run, BLOB)
 
@@ -140,6 +144,7 @@ def _counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
                 for name, kind in (("low", np.uint32), ("high", np.uint8), ("doc", np.uint16)):
                     r[name] = np.frombuffer(r[name], kind)[twice].tobytes()
                 out.append({**r, "df": own[twice].tobytes()})
+        tidy()
     return pa.Table.from_pylist(out, table.schema)
 
 
@@ -166,6 +171,7 @@ def _assembled(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             if reach > 0:
                 for name, value in zip(out, (int(node), int(n), reach, mine), strict=True):
                     out[name].append(value)
+        tidy()
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
     return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
@@ -337,11 +343,16 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     tables = scratch(docs.sparkSession, "near")
     marks = near_duplicates(docs, width).where("key is not null")
     chosen = marks.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("keep"))
-    chosen = tables.save(chosen.select(F.col("keep.key").alias("__mg_key"), F.col("keep.doc_id").alias("__mg_id")))
-    rows = with_sets(docs, width)
-    kept = rows.join(
-        chosen, (F.col("__mg_set.key") == F.col("__mg_key")) & F.col("doc_id").eqNullSafe(F.col("__mg_id")), "left"
-    ).where("__mg_set.key is null or __mg_key is not null")
-    nth = F.row_number().over(W.partitionBy("__mg_key", "doc_id").orderBy(F.xxhash64("text")))
-    single = kept.where("__mg_key is not null").withColumn("__mg_nth", nth).where("__mg_nth = 1").drop("__mg_nth")
-    return single.unionByName(kept.where("__mg_key is null")).select(*docs.columns)
+    place = ["__mg_key", "__mg_id", "__mg_none"]
+
+    def placed(rows: DataFrame, key: str, doc_id: str) -> DataFrame:
+        id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(0))
+        return rows.withColumns(dict(zip(place, (F.col(key), id_, F.col(doc_id).isNull()), strict=True)))
+
+    chosen = placed(chosen, "keep.key", "keep.doc_id").select(*place, F.lit(True).alias("__mg_keep"))
+    chosen = tables.save(chosen)
+    # Join and window agree in their keys, so texts cross the network once.
+    rows = placed(with_sets(docs, width), "__mg_set.key", "doc_id").join(chosen, place, "left")
+    nth = F.row_number().over(W.partitionBy(*place).orderBy(F.xxhash64("text")))
+    kept = rows.where("__mg_key is null or __mg_keep").withColumn("__mg_nth", nth)
+    return kept.where("__mg_key is null or __mg_nth = 1").select(*docs.columns)

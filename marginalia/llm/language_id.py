@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import freed, mixed, strings
+from marginalia.llm.common import freed, mixed, strings, tidy
 
 ORDER = 4
 UNKNOWN = "und"
@@ -112,6 +112,7 @@ def run_counts(texts: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(n), pa.string()), pa.array(runs, pa.string()), pa.array(n, pa.int64())],
                         names=["lang", "run", "n"],
                     )
+            tidy()
 
     parts = texts.select("text", "lang").mapInArrow(count, "lang string, run string, n long")
     return parts.groupBy("lang", "run").agg(F.sum("n").alias("n"))
@@ -275,6 +276,7 @@ class LanguageIdentifier:
             out["cross_entropy"] += [float(b) if k else None for b, k in zip(best, n, strict=True)]
             second = langs[order[:, 1]] if len(langs) > 1 else np.full(len(n), None)
             out["runner_up"] += [s if k else None for s, k in zip(second, n, strict=True)]
+        tidy()
         return pa.StructArray.from_arrays([pa.array(out[c], k) for c, k in zip(OUTPUT, KINDS, strict=True)], names=OUTPUT)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import GAP, partitions, scratch, span_hashes, strings
+from marginalia.llm.common import GAP, partitions, scratch, span_hashes, strings, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -334,7 +334,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 i = j
-            pa.default_memory_pool().release_unused()
+            tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")

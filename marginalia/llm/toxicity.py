@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import freed, scratch, strings, text_words
+from marginalia.llm.common import freed, scratch, strings, text_words, tidy
 from marginalia.llm.language_id import logistic, remainder
 
 #: Labelled examples to learn from, those with the least hashes: toxic ones, others.
@@ -227,7 +227,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     seen[at[known[at] == hashes]] += 1
-            pa.default_memory_pool().release_unused()
+            tidy()
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some])], names=["term", "n"])
 
@@ -296,7 +296,7 @@ def score_toxicity(docs: DataFrame, scorer: ToxicityScorer) -> DataFrame:
     @F.arrow_udf(RESULT)
     def score(column: pa.Array) -> pa.Array:
         scores, predicted, votes, evidence = zip(*shared.value.results(column), strict=True) if len(column) else ((), (), (), ())
-        pa.default_memory_pool().release_unused()
+        tidy()
         near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         columns = [pa.array(v, t) for v, t in ((scores, pa.float64()), (predicted, pa.int32()), (votes, pa.float64()), (evidence, near))]
         return pa.StructArray.from_arrays(columns, names=OUTPUT)
