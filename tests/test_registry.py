@@ -9,15 +9,12 @@ import pytest
 
 import check
 from __spark_entry__ import entry
-from marginalia.plans import ORACLES, QUERIES, changing
+from marginalia.plans import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables here")
 
-# The change engine has its own model tests; here one query stands for each kind of result.
-SLOW = set(changing.QUERIES) - {"folder_changes", "create_folders", "duplicate_notes", "move_rejects"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -36,7 +33,7 @@ def test_entry(spark):
     assert entry(spark).columns == ["path", "name", "tags", "mod_time", "preview"]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     outcome = check.compare(spark, duck, name, QUERIES[name], ORACLES[name], SF_DIR)
     assert outcome.startswith("ok"), outcome
