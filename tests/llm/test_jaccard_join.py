@@ -66,6 +66,7 @@ def test_matches_all_pairs(spark, tmp_path, monkeypatch, seed, block):
 
 
 def test_few_tokens_a_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BATCH_TOKENS", 300)
     rows = corpus(3)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     found = near_duplicates(spark.read.parquet(str(tmp_path / "docs")), width=5).drop("key", "root").collect()
