@@ -26,7 +26,6 @@ from marginalia.functions import (
 )
 from marginalia.functions.names import copy_parts, family, stamped_name, stamped_parts
 from marginalia.functions.paths import normal_constant
-from marginalia.functions.text import UNICODE_BLANKS
 
 
 def apply(spark, values, fn, dtype="string"):
