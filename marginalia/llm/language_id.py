@@ -2,26 +2,30 @@
 
 One model a language, over runs of four letters (lower-cased, anything else a space). The
 counts come from all texts to learn from; the models of all languages share sorted hash
-arrays of runs, each with one log probability a language. A text goes to the language of
-the lowest cross-entropy per character.
+arrays of runs, each with one log probability a language. The probability of a letter only
+needs runs with the same letter before it, so the arrays are cut by that letter into parts of
+bounded size, and a text's sums over the parts add up. A text goes to the language of the
+lowest cross-entropy per character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import freed, mixed, strings, tidy
+from marginalia.llm.common import freed, mixed, scratch, strings, tidy
 
 ORDER = 4
 UNKNOWN = "und"
-#: Numbers in the model's tables (runs times languages). Beyond it the rarest runs are left out.
+#: Numbers in a part of the model (runs times languages), which is what a task holds of it at a time. A single letter is not cut.
 CELLS = 1 << 22
 #: Texts, those with the least hashes, that calibrate the scores; one in CALIBRATION_PART is set aside for it.
 CALIBRATION = 20_000
@@ -146,31 +150,49 @@ class Table:
         return out
 
 
+@dataclass
+class Whole:
+    """What a part of the models takes from all runs: the languages, discounts by order (single letters first), letters (lang, run, n)."""
+
+    langs: list[str]
+    off: np.ndarray
+    letters: pd.DataFrame
+
+
+def discounts(ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    return np.clip(ones / np.maximum(1, ones + 2 * twos), 0.1, 0.9)
+
+
 class Model:
-    """Interpolated Kneser-Ney models of several languages."""
+    """Interpolated Kneser-Ney models of several languages, or the part of them for letters after some letters."""
 
-    def __init__(self, counts: pd.DataFrame):
-        """``counts`` (lang, run, n): of every run of ORDER letters."""
-        self.langs = sorted(set(counts["lang"]))
+    def __init__(self, counts: pd.DataFrame, whole: Whole | None = None, after: tuple[int, int] | None = None):
+        """``counts`` (lang, run, n): of every run of ORDER letters; of those of ``whole``, the ones whose last letter but one is in ``after``."""
+        self.after = after
+        self.langs = whole.langs if whole else sorted(set(counts["lang"]))
         size = len(self.langs)
-        lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(dtype=np.int64)
-        text = "".join(counts["run"])
-        rows = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(-1, ORDER).T.astype(np.uint64)
-        n = counts["n"].to_numpy(dtype=np.float64)
+        number = {x: i for i, x in enumerate(self.langs)}
+
+        def arrays(counts: pd.DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            text = "".join(counts["run"])
+            rows = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(-1, order).T.astype(np.uint64)
+            return rows, counts["lang"].map(number).to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.float64)
+
         #: By order, from single letters up: runs with their log probabilities, contexts with their weights.
         self.runs: list[Table] = []
         self.contexts: list[Table] = []
-        levels = [(rows, lang, n)]
+        levels = [arrays(counts, ORDER)]
         for _ in range(ORDER - 1):  # of each shorter run: the number of letters it is seen after
             rows, lang, _ = levels[-1]
             hashes = keys(rows[1:]) ^ mixed(lang.astype(np.uint64))
             _, first, kinds = np.unique(hashes, return_index=True, return_counts=True)
             levels.append((rows[1:, first], lang[first], kinds.astype(np.float64)))
+        if whole:
+            levels[-1] = arrays(whole.letters, 1)
         alphabet = len(np.unique(levels[-1][0])) + 1
         below = np.full((1, size), 1 / alphabet)
-        for rows, lang, n in reversed(levels):
-            ones, twos = (np.bincount(lang[n == c], minlength=size) for c in (1, 2))
-            off = np.clip(ones / np.maximum(1, ones + 2 * twos), 0.1, 0.9)
+        for order, (rows, lang, n) in enumerate(reversed(levels)):
+            off = whole.off[order] if whole else discounts(*(np.bincount(lang[n == c], minlength=size) for c in (1, 2)))
             context, run = keys(rows[:-1]), keys(rows)
             contexts, which = np.unique(context, return_inverse=True)
             total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
@@ -208,22 +230,78 @@ class Model:
             out[missing] = weight + self.log_probability(shorter)
         return out
 
-    def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text in each language, per letter; and the number of letters (with the spaces between)."""
+    def log_sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text in each language, over the letters of this part; and the number of all letters (with the spaces between)."""
         flat, starts = codes(data, offsets)
         n = np.diff(starts)
         out = np.zeros((len(n), len(self.langs)))
         if len(flat):
-            log = self.log_probability(histories(flat, starts))
-            some = np.flatnonzero(n)
-            out[some] = -np.add.reduceat(log, starts[:-1][some], axis=0, dtype=np.float64) / n[some, None]
+            grams, at = histories(flat, starts), starts
+            if self.after:
+                own = (grams[-2] >= self.after[0]) & (grams[-2] <= self.after[1])
+                grams, at = grams[:, own], np.concatenate(([0], np.cumsum(own)))[starts]
+            some = np.flatnonzero(np.diff(at))
+            if len(some):
+                out[some] = np.add.reduceat(self.log_probability(grams), at[:-1][some], axis=0, dtype=np.float64)
         return out, n
 
-
-def _batches(model: Model, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text in each language, per letter; and the number of letters (with the spaces between)."""
+        out, n = self.log_sums(data, offsets)
+        return -out / np.maximum(n, 1)[:, None], n
+
+
+def summary(counts: DataFrame, tables) -> Whole:
+    """``counts`` (lang, run, n) of runs of ORDER letters: of each shorter run, the letters it is seen after are counted in turn."""
+    levels = [counts]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.substring("run", 2, order).alias("run")
+        levels.append(tables.save(levels[-1].groupBy("lang", shorter).agg(F.count("*").alias("n"))))
+    few = [F.sum((F.col("n") == c).cast("long")).alias(name) for c, name in ((1, "ones"), (2, "twos"))]
+    found = [x.groupBy("lang").agg(*few).orderBy("lang").collect() for x in reversed(levels)]  # a row for each language
+    off = [discounts(*(np.array([r[c] for r in rows], dtype=np.int64) for c in ("ones", "twos"))) for rows in found]
+    # At most the letters of each language.
+    return Whole([r.lang for r in found[0]], np.array(off), levels[-1].toPandas())
+
+
+def model_parts(counts: DataFrame, tables, cells: int = CELLS) -> list[Broadcast]:
+    """Models of saved ``counts`` (lang, run, n), in parts of at most ``cells`` numbers (or one letter), made one after another."""
+    whole = summary(counts, tables)
+    before = F.substring("run", ORDER - 1, 1)
+    # At most the letters of all languages; a table has as many rows as there are different runs at most.
+    sizes = sorted((ord(r.letter), r.n) for r in counts.groupBy(before.alias("letter")).agg(F.count("*").alias("n")).collect())
+    most = max(1, cells // max(1, len(whole.langs)))
+    firsts: list[int] = []
+    size = 0
+    for letter, n in sizes:
+        if not firsts or size + n > most:
+            firsts.append(letter)
+            size = 0
+        size += n
+    if len(firsts) < 2:
+        return [counts.sparkSession.sparkContext.broadcast(Model(counts.toPandas(), whole)) for _ in firsts]
+    parts = []
+    for i, first in enumerate(firsts):
+        last = firsts[i + 1] - 1 if i + 1 < len(firsts) else 0x10FFFF
+        own = counts.where((before >= chr(first)) & ((before < chr(firsts[i + 1])) if i + 1 < len(firsts) else F.lit(True)))
+        parts.append(counts.sparkSession.sparkContext.broadcast(Model(own.toPandas(), whole, (first if i else 0, last))))
+    return parts
+
+
+def _entropies(parts: list[Broadcast], column) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropies of each text in each language, and its number of letters; of several parts, one is held at a time."""
     data, offsets = strings(column)
-    for i, j in slices(data, offsets):
-        yield model.cross_entropies(data, offsets[i : j + 1])
+    total: list[np.ndarray] = []
+    for part in parts:
+        model = part.value
+        if len(parts) > 1 and getattr(part, "_path", None):
+            vars(part).pop("_value", None)  # it is read again from its file
+        found = [model.log_sums(data, offsets[i : j + 1]) for i, j in slices(data, offsets)]
+        if not found:
+            return np.zeros((0, len(model.langs))), np.zeros(0, dtype=np.int64)
+        total = [t + f for (f, _), t in zip(found, total or [0] * len(found), strict=True)]
+    n = np.concatenate([x for _, x in found])
+    return -np.concatenate(total) / np.maximum(n, 1)[:, None], n
 
 
 def _margin(entropies: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -252,30 +330,31 @@ def logistic(x: np.ndarray, right: np.ndarray, ridge: float = 1e-2, rounds: int
 class LanguageIdentifier:
     """Models with the calibration of their scores; made by :func:`fit_languages`."""
 
-    def __init__(self, model: Model | None, weights: np.ndarray, worst: dict[str, float]):
-        self.model, self.weights, self.worst = model, weights, worst
+    def __init__(self, parts: list[Broadcast], langs: list[str], weights: np.ndarray, worst: dict[str, float]):
+        self.parts, self.langs, self.weights, self.worst = parts, langs, weights, worst
 
     def predict(self, column) -> pa.StructArray:
-        out: dict[str, list] = {c: [] for c in OUTPUT}
-        if self.model is None:
+        if not self.parts:
             n = len(column)
             return pa.StructArray.from_arrays(
                 [pa.array(v, k) for v, k in zip(([UNKNOWN] * n, [0.0] * n, [False] * n, [None] * n, [None] * n), KINDS, strict=True)], names=OUTPUT
             )
-        langs = np.array(self.model.langs, dtype=object)
-        for entropies, n in _batches(self.model, column):
-            order = np.argsort(entropies, axis=1, kind="stable")
-            best = entropies[np.arange(len(n)), order[:, 0]]
-            z = self.weights[0] + self.weights[1] * _margin(entropies, n)
-            score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
-            known = langs[order[:, 0]]
-            limit = np.array([self.worst.get(x, np.inf) for x in known])
-            out["lang_pred"] += list(np.where(n > 0, known, UNKNOWN))
-            out["score"] += score.tolist()
-            out["accepted"] += ((n > 0) & (score >= 0.5) & (best <= limit)).tolist()
-            out["cross_entropy"] += [float(b) if k else None for b, k in zip(best, n, strict=True)]
-            second = langs[order[:, 1]] if len(langs) > 1 else np.full(len(n), None)
-            out["runner_up"] += [s if k else None for s, k in zip(second, n, strict=True)]
+        langs = np.array(self.langs, dtype=object)
+        entropies, n = _entropies(self.parts, column)
+        order = np.argsort(entropies, axis=1, kind="stable")
+        best = entropies[np.arange(len(n)), order[:, 0]]
+        z = self.weights[0] + self.weights[1] * _margin(entropies, n)
+        score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+        known = langs[order[:, 0]]
+        limit = np.array([self.worst.get(x, np.inf) for x in known])
+        second = langs[order[:, 1]] if len(langs) > 1 else np.full(len(n), None)
+        out = {
+            "lang_pred": list(np.where(n > 0, known, UNKNOWN)),
+            "score": score.tolist(),
+            "accepted": ((n > 0) & (score >= 0.5) & (best <= limit)).tolist(),
+            "cross_entropy": [float(b) if k else None for b, k in zip(best, n, strict=True)],
+            "runner_up": [s if k else None for s, k in zip(second, n, strict=True)],
+        }
         tidy()
         return pa.StructArray.from_arrays([pa.array(out[c], k) for c, k in zip(OUTPUT, KINDS, strict=True)], names=OUTPUT)
 
@@ -294,40 +373,32 @@ def fit_languages(texts: DataFrame, cells: int = CELLS, calibration: int = CALIB
     spark = texts.sparkSession
     known = texts.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     aside = F.pmod(F.col("h"), F.lit(CALIBRATION_PART)) == 0
-    counts = run_counts(known.where(~aside))
-    langs = max(1, known.select("lang").distinct().count())
-    # As many rows as the tables may have; a table has as many rows as there are different runs at most.
-    counts = counts.orderBy(F.desc("n"), "lang", "run").limit(max(1, cells // langs)).toPandas()
-    if not len(counts):
-        return LanguageIdentifier(None, np.zeros(2), {})
-    model = Model(counts)
-    shared = spark.sparkContext.broadcast(model)
+    tables = scratch(spark, "languages")
+    counts = tables.save(run_counts(known.where(~aside)))
+    parts = model_parts(counts, tables, cells)
+    if not parts:
+        return LanguageIdentifier([], [], np.zeros(2), {})
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, (entropies, n) in _aligned(shared.value, batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part["h"], part["lang"], pa.array(n), pa.array(list(entropies), pa.list_(pa.float64()))],
-                    names=["h", "lang", "n", "entropies"],
-                )
+            entropies, n = _entropies(parts, batch["text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["h"], batch["lang"], pa.array(n), pa.array(list(entropies), pa.list_(pa.float64()))],
+                names=["h", "lang", "n", "entropies"],
+            )
 
     measured = known.where(aside).mapInArrow(measure, "h long, lang string, n long, entropies array<double>")
     rows = measured.where("n > 0").orderBy("h").limit(calibration).toPandas()
     if not len(rows):
-        return LanguageIdentifier(model, np.array([0.0, 1.0]), {})
+        return LanguageIdentifier(parts, langs, np.array([0.0, 1.0]), {})
     entropies, n = np.array(rows["entropies"].tolist()), rows["n"].to_numpy()
-    best = np.array(model.langs, dtype=object)[entropies.argmin(axis=1)]
+    best = np.array(langs, dtype=object)[entropies.argmin(axis=1)]
     right = best == rows["lang"].to_numpy()
     weights = logistic(_margin(entropies, n)[:, None], right)
     lowest = entropies.min(axis=1)
     worst = {x: float(lowest[own].mean() + 4 * lowest[own].std() + 1 / own.sum()) for x in set(best[right]) for own in [right & (best == x)]}
-    return LanguageIdentifier(model, weights, worst)
-
-
-def _aligned(model: Model, batch: pa.RecordBatch):
-    data, offsets = strings(batch["text"])
-    for i, j in slices(data, offsets):
-        yield batch.slice(i, j - i), model.cross_entropies(data, offsets[i : j + 1])
+    return LanguageIdentifier(parts, langs, weights, worst)
 
 
 def identify_languages(docs: DataFrame, identifier: LanguageIdentifier, text: str | Column = "text") -> DataFrame:
@@ -338,11 +409,10 @@ def identify_languages(docs: DataFrame, identifier: LanguageIdentifier, text: st
     Ties go to the language that sorts first. Columns of the output's names are replaced,
     others pass through; equal texts have equal results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)
 
     @F.arrow_udf("lang_pred string, score double, accepted boolean, cross_entropy double, runner_up string")
     def predict(column: pa.Array) -> pa.Array:
-        return shared.value.predict(column)
+        return identifier.predict(column)
 
     base = freed(docs, *OUTPUT)
     source = F.col(text) if isinstance(text, str) else text

@@ -82,3 +82,20 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in identify_languages(docs, untaught).collect()} == {"und"}
     single = fit_languages(spark.createDataFrame([(i, f"hello {i} there", "en") for i in range(40)], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in identify_languages(docs, single).collect()} == {"en", "und"}
+
+
+def test_parts_of_the_model_add_up_to_the_whole(spark):
+    """However few numbers a part may have: no run is left out, nor a language of few texts."""
+    common = [(i, sample(x, 60, i), x) for i, x in enumerate(["en", "de"] * 40)]
+    rare = [(1000 + i, sample("fr", 4, i), "fr") for i in range(12)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    held = spark.createDataFrame([(i, sample(x, 6, 7000 + i)) for i, x in enumerate(["en", "de", "fr"] * 10)] + [(99, "qqq ж 中文"), (100, "")], "doc_id long, text string")
+    whole, cut = (fit_languages(docs, **limit) for limit in ({}, {"cells": 120}))
+    assert len(whole.parts) == 1 and len(cut.parts) > 5 and whole.langs == cut.langs == ["de", "en", "fr"]
+    want, found = ({r.doc_id: r for r in identify_languages(held, m).collect()} for m in (whole, cut))
+    for i, r in want.items():
+        f = found[i]
+        assert (f.lang_pred, f.accepted, f.runner_up) == (r.lang_pred, r.accepted, r.runner_up)
+        assert f.cross_entropy == r.cross_entropy or math.isclose(f.cross_entropy, r.cross_entropy, rel_tol=1e-5)
+        assert math.isclose(f.score, r.score, rel_tol=1e-4, abs_tol=1e-9)
+    assert sum(found[i].lang_pred == "fr" for i in range(2, 30, 3)) >= 9
