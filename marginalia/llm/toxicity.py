@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import freed, scratch, strings, text_words, tidy
 from marginalia.llm.language_id import logistic, remainder
 
-#: Labelled examples to learn from, those with the least hashes: toxic ones, others.
+#: Labelled examples to learn from, different texts with the least hashes: toxic ones, others.
 EXAMPLES = (2048, 4096)
 #: One example in this many calibrates the votes and is not in the index.
 CALIBRATION_PART = 4
@@ -168,20 +168,27 @@ class ToxicityScorer:
             yield known[same]
 
 
-def labelled_examples(docs: DataFrame, labels: DataFrame, tables, most: tuple[int, int] = EXAMPLES) -> DataFrame:
-    """(doc_id, toxic, h, terms, counts) of at most ``most`` toxic and other examples, those with the least hashes of their id.
+def labelled_texts(docs: DataFrame, labels: DataFrame, tables) -> DataFrame:
+    """(h, doc_id, toxic): one row for each different labelled text of ``docs``, with its hash and least id.
 
-    ``labels`` (doc_id, toxic): an id that is labelled more than once is toxic if any label says so.
+    ``labels`` (doc_id, toxic): an id that is labelled more than once is toxic if any label says so,
+    a text if at least half of the rows that have it are.
     """
+    single = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h")).join(single, "doc_id")
+    toxic = (2 * F.sum("toxic") >= F.count("*")).cast("int").alias("toxic")
+    return tables.save(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), toxic))
+
+
+def labelled_examples(docs: DataFrame, texts: DataFrame, tables, most: tuple[int, int] = EXAMPLES) -> DataFrame:
+    """(doc_id, toxic, h, terms, counts) of at most ``most`` toxic and other ``texts`` (h, doc_id, toxic), those with the least hashes."""
     spark = docs.sparkSession
-    single = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    single = single.withColumn("h", F.xxhash64("doc_id"))
     chosen = [
         tuple(r)
         for n, is_toxic in zip(most, (F.col("toxic") == 1, F.col("toxic") != 1), strict=True)
-        for r in single.where(is_toxic).select("doc_id", "toxic", "h").orderBy("h", "doc_id").limit(n).collect()
+        for r in texts.where(is_toxic).select("doc_id", "toxic", "h").orderBy("h").limit(n).collect()
     ]
-    chosen = spark.createDataFrame(chosen, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int, h long")
+    chosen = spark.createDataFrame(chosen, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, toxic int, h long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +201,9 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, tables, most: tuple[in
             )
 
     # The sample has at most sum(most) rows.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "h", "text")
-    return tables.save(texts.mapInArrow(count, "doc_id long, toxic int, h long, terms array<long>, counts array<int>"))
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["doc_id", "h"])
+    found = found.dropDuplicates(["h"]).select("doc_id", "toxic", "h", "text")
+    return tables.save(found.mapInArrow(count, "doc_id long, toxic int, h long, terms array<long>, counts array<int>"))
 
 
 def telling_terms(examples: DataFrame, tables, most: int = TERMS) -> list[int]:
@@ -243,11 +251,12 @@ def fit_toxicity(
 ) -> ToxicityScorer:
     """Learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
-    The index holds no more than ``examples`` toxic and other examples and ``terms`` words; word
+    The index holds no more than ``examples`` toxic and other examples, each a different text, and ``terms`` words; word
     statistics cover all documents. Without toxic or other examples every score is the share of toxic ones.
     """
     tables = scratch(docs.sparkSession, "toxicity")
-    found = labelled_examples(docs, labels, tables, examples)
+    texts = labelled_texts(docs, labels, tables)
+    found = labelled_examples(docs, texts, tables, examples)
     for_index = F.pmod(F.shiftright("h", 8), F.lit(CALIBRATION_PART)) != 0
     chosen = telling_terms(found.where(for_index), tables, terms)
     hashes = np.sort(np.array(chosen, dtype=np.int64).view(np.uint64))
@@ -272,9 +281,9 @@ def fit_toxicity(
             for r in rows.itertuples()
         ]
 
-    counts = {bool(r.toxic): r.n for r in labels.where("toxic is not null").groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.countDistinct("doc_id").alias("n")).collect()}
+    counts = {bool(r.toxic): r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     taken = [min(counts.get(t, 0), m) for t, m in zip((True, False), examples, strict=True)]
-    # How many labelled rows of its kind an example stands for.
+    # How many labelled texts of its kind an example stands for.
     toxic_stands = counts.get(True, 0) / max(1, taken[0])
     other_stands = counts.get(False, 0) / max(1, taken[1])
     index = Index(hashes, idf, of(found.where(for_index)))

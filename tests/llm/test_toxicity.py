@@ -74,3 +74,19 @@ def test_odd_rows(spark):
         assert {r.predicted for r in rows if not r.text} == {0}
         assert score_toxicity(none(spark), scorer).collect() == []
     assert score_toxicity(docs, fit_toxicity(none(spark), labels)).count() == 18
+
+
+def test_copies_of_a_text_are_one_example(spark):
+    rows, labels = corpus(400)
+    copied = rows[0][1]
+    rows += [(1000 + i, copied) for i in range(600)]
+    labels += [(1000 + i, int(i % 3 > 0)) for i in range(600)]  # most votes say toxic
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id % 4 <> 1")
+    scorer = fit_toxicity(docs, learn, examples=(50, 200))
+    texts = dict(rows)
+    assert len({texts[d] for d in scorer.index.doc.tolist()}) == len(scorer.index.doc) > 30
+    assert sum(scorer.index.toxic) > 25
+    found = {r.doc_id: r for r in score_toxicity(docs, scorer).collect()}
+    held = [i for i in range(400) if i % 4 == 1 and i % 5 == 0]
+    assert sum(found[i].predicted for i in held) >= 0.9 * len(held) and found[1000].predicted == 1
