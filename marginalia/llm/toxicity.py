@@ -21,10 +21,9 @@ from marginalia.llm.common import freed, scratch, strings, text_words, tidy
 from marginalia.llm.language_id import logistic, remainder
 
 #: Labelled examples to learn from, different texts with the least hashes: toxic ones, others.
-EXAMPLES = (2048, 4096)
+EXAMPLES = (8192, 16384)
 #: One example in this many calibrates the votes and is not in the index.
 CALIBRATION_PART = 4
-TERMS = 1024
 NEIGHBOURS = 15
 BLOCK = 128
 #: Blocks visited at first; each further visit takes twice as many of those that can still matter.
@@ -46,12 +45,15 @@ class Index:
     """Unit vectors of examples, inverted: for each term its postings, block after block."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        """``terms`` sorted hashes with their idf; ``examples`` (doc_id, toxic, hashes, counts), in the order of ties."""
+        """``terms`` sorted hashes with their idf; ``examples`` (doc_id, toxic, hashes, counts).
+
+        Examples with the same heaviest terms share blocks, so that few blocks can reach a high cosine. Their order is that of ties.
+        """
         self.terms, self.idf = terms, idf
         self.tops = np.zeros(1 << 16, dtype=bool)
         self.tops[terms >> np.uint64(48)] = True
         vectors = [(doc, toxic, self.vector(t, n)) for doc, toxic, t, n in examples]
-        vectors = [v for v in vectors if len(v[2][0])]
+        vectors = sorted((v for v in vectors if len(v[2][0])), key=lambda v: v[2][0][np.argsort(-v[2][1], kind="stable")[:3]].tolist())
         self.doc = np.array([v[0] for v in vectors], dtype=np.int64)
         self.toxic = np.array([v[1] for v in vectors], dtype=np.int64)
         self.blocks = -(-len(vectors) // BLOCK)
@@ -206,8 +208,8 @@ def labelled_examples(docs: DataFrame, texts: DataFrame, tables, most: tuple[int
     return tables.save(found.mapInArrow(count, "doc_id long, toxic int, h long, terms array<long>, counts array<int>"))
 
 
-def telling_terms(examples: DataFrame, tables, most: int = TERMS) -> list[int]:
-    """Hashes of the words that tell toxic examples from others best, by chi-square, above what chance gives among all words."""
+def telling_terms(examples: DataFrame, tables) -> list[int]:
+    """Hashes of all words that tell toxic examples from others, by chi-square, above what chance gives among all words."""
     n = examples.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
     toxic, rest = n.toxic or 0, n.n - (n.toxic or 0)
     if not toxic or not rest:
@@ -219,7 +221,7 @@ def telling_terms(examples: DataFrame, tables, most: int = TERMS) -> list[int]:
     c, d = F.lit(float(toxic)) - a, F.lit(float(rest)) - b
     square = (toxic + rest) * F.pow(a * d - b * c, 2) / (F.lit(float(toxic) * rest) * F.greatest((a + b) * (c + d), F.lit(1e-9)))
     best = seen.withColumn("square", square).where((F.col("square") > limit) & (F.col("n") > 1))
-    return [r.term for r in best.orderBy(F.desc("square"), "term").limit(most).collect()]
+    return [r.term for r in best.select("term").collect()]  # no more than the sample's words
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -247,18 +249,18 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, examples: tuple[int, int] = EXAMPLES, terms: int = TERMS
+    docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, examples: tuple[int, int] = EXAMPLES
 ) -> ToxicityScorer:
     """Learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
-    The index holds no more than ``examples`` toxic and other examples, each a different text, and ``terms`` words; word
-    statistics cover all documents. Without toxic or other examples every score is the share of toxic ones.
+    The index holds no more than ``examples`` toxic and other examples, each a different text, with
+    every word that tells them apart; word statistics cover all documents. Without toxic or other examples every score is the share of toxic ones.
     """
     tables = scratch(docs.sparkSession, "toxicity")
     texts = labelled_texts(docs, labels, tables)
     found = labelled_examples(docs, texts, tables, examples)
     for_index = F.pmod(F.shiftright("h", 8), F.lit(CALIBRATION_PART)) != 0
-    chosen = telling_terms(found.where(for_index), tables, terms)
+    chosen = telling_terms(found.where(for_index), tables)
     hashes = np.sort(np.array(chosen, dtype=np.int64).view(np.uint64))
     df, n = document_frequencies(docs, hashes)
     idf = np.log(1 + n / np.maximum(1, df))

@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 from cases import none, odd_docs, prose
 
-from marginalia.llm.toxicity import Index, fit_toxicity, score_toxicity, term_counts
+from marginalia.llm.common import scratch
+from marginalia.llm.toxicity import EXAMPLES, Index, fit_toxicity, score_toxicity, telling_terms, term_counts
 
 
 def corpus(n):
@@ -90,3 +91,11 @@ def test_copies_of_a_text_are_one_example(spark):
     found = {r.doc_id: r for r in score_toxicity(docs, scorer).collect()}
     held = [i for i in range(400) if i % 4 == 1 and i % 5 == 0]
     assert sum(found[i].predicted for i in held) >= 0.9 * len(held) and found[1000].predicted == 1
+
+
+def test_no_telling_word_is_left_out(spark):
+    """More words that tell than a table of fixed size would hold."""
+    assert EXAMPLES == (8192, 16384)
+    rows = [(i, i % 2, [j for j in range(3000) if (i // 2 + j) % 2] if i % 2 else [9000 + i % 7]) for i in range(160)]
+    examples = spark.createDataFrame(rows, "doc_id long, toxic int, terms array<long>")
+    assert set(range(3000)) <= set(telling_terms(examples, scratch(spark, "telling")))
