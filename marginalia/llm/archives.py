@@ -41,8 +41,8 @@ def _url(url: str | None) -> str:
     return quote(url, safe="%:/?#[]@!$&'()*+,;=~") if url else NO_URL
 
 
-def _http(page_id, length: int) -> bytes:
-    own = "" if page_id is None or page_id != page_id else f"{ID_HEADER}: {int(page_id)}\r\n"
+def _http(page_id: str | None, length: int) -> bytes:
+    own = "" if page_id is None else f"{ID_HEADER}: {page_id}\r\n"
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {length}\r\n\r\n".encode()
 
 
@@ -88,7 +88,8 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
         if parts:
             yield pd.DataFrame({"content": [b"".join(parts)]})
 
-    plain = pages.select("page_id", "url", "html")
+    # As text, since pandas makes floats of numbers with nulls among them and rounds the large ones.
+    plain = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html")
     return plain.mapInPandas(write, "content binary")
 
 
@@ -167,8 +168,14 @@ def _header(block: bytes, name: str) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
-def _number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
+def _page_id(block: bytes) -> int | None:
+    """The page id in a record's HTTP header, a signed 64-bit number; null without one."""
+    text = _header(block, ID_HEADER)
+    if text is None:
+        return None
+    if not re.fullmatch(r"-?[0-9]{1,19}", text) or not -(1 << 63) <= int(text) < 1 << 63:
+        raise ValueError(f"{ID_HEADER} {text!r} is no signed 64-bit number")
+    return int(text)
 
 
 def _when(date: str) -> str:
@@ -187,6 +194,13 @@ def _name(path: str) -> str:
 
 # ---------------------------------------------------------------- conversion
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """``rows`` whose last number may be null; it never is a float, which would round large ones."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    out = pd.DataFrame([r[:-1] for r in rows], columns=names[:-1])
+    return out.assign(**{names[-1]: pd.array([r[-1] for r in rows], dtype="Int64")})
+
+
 NARROW = "path string, offset long, record_id string, url string, date string, digest string, payload_bytes long, ordinal long"
 
 
@@ -202,10 +216,9 @@ def arc_index(archives: DataFrame) -> DataFrame:
                     payload = block[_payload_at(block) :]
                     rows.append(
                         (path, offset, _record_id(_name(path), offset), fields["URL"], _when(fields["Archive-date"]),
-                         hashlib.sha1(payload).hexdigest(), len(payload), _number(_header(block, ID_HEADER)))
+                         hashlib.sha1(payload).hexdigest(), len(payload), _page_id(block))
                     )
-                out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in NARROW.split(", ")])
-                yield out.astype({"ordinal": "Int64"})
+                yield _frame(rows, NARROW)
 
     return archives.mapInPandas(scan, NARROW)
 
@@ -314,13 +327,12 @@ def warc_records(archives: DataFrame) -> DataFrame:
                         rows.append(
                             (path, at, head["warc-record-id"].strip("<>"), kind, head["warc-target-uri"], head["warc-date"],
                              digest.hex(), full, head.get("warc-refers-to", "").strip("<>") or None,
-                             _number(_header(block, ID_HEADER)))
+                             _page_id(block))
                         )
                     at = stop + 4 + len(block) + 4
                 if at < len(data):
                     raise ValueError(f"{path}: no WARC record at {at}")
-                out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in READ.split(", ")])
-                yield out.astype({"page_id": "Int64"})
+                yield _frame(rows, READ)
 
     return archives.mapInPandas(scan, READ)
 

@@ -56,3 +56,23 @@ def test_versions_by_header(spark, monkeypatch):
 def test_dates():
     assert _when("20240315123045") == "2024-03-15T12:30:45Z"
     assert _when("2024") == "2024-01-01T00:00:00Z"
+
+
+def test_least_and_greatest_page_ids(spark):
+    """Also next to null ids, where a float would round them."""
+    big = prose(3, 400)
+    ids = [-(1 << 63), (1 << 63) - 1, (1 << 63) - 2, 10**18, 1 - 10**18, (1 << 53) + 1, 7, None]
+    rows = [(i, "u", prose(n, 20)) for n, i in enumerate(ids)] + [(i, "u", big) for i in ids]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    found = archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows)
+    assert {r.refers_to for r in found if r.record_type == "revisit"} == {(1 << 63) - 1}
+
+
+def test_a_page_id_that_is_no_long():
+    head = b"HTTP/1.1 200 OK\r\nX-Page-Id: %s\r\n\r\n"
+    assert archives._page_id(head % b"-9223372036854775808") == -(1 << 63)
+    assert archives._page_id(b"HTTP/1.1 200 OK\r\n\r\n") is None
+    for wrong in (b"9223372036854775808", b"-9223372036854775809", b"1e5", b"", b"12345678901234567890"):
+        with pytest.raises(ValueError, match="X-Page-Id"):
+            archives._page_id(head % wrong)
