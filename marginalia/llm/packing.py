@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from marginalia.llm.common import GAP, partitions, scratch, span_hashes, strings
 
 CAPACITY = 4096
 END_ID = 1
-#: Steps of the search after which the best packing so far is kept, and fillings tried for each largest piece.
+#: Steps of the search after which the best packing so far is kept, and fillings tried in full before any is tried fewer times.
 STEPS = 1_000_000
 BRANCHES = 6
 SLICE = 2 << 20
@@ -43,19 +44,19 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that any packing needs: by total length, and with pieces over each threshold kept apart."""
     if not counts:
         return 0
-    number = np.zeros(capacity + 1, dtype=object)
-    for length, n in counts.items():
-        number[length] = n
-    lengths = np.arange(capacity + 1, dtype=object)
-    count, total = np.cumsum(number), np.cumsum(number * lengths)
-    best, half = -(-total[-1] // capacity), capacity // 2
-    for small in range(half + 1):
-        alone = count[-1] - count[capacity - small]
-        paired = count[capacity - small] - count[half]
-        room = paired * capacity - (total[capacity - small] - total[half])
-        rest = total[half] - (total[small - 1] if small else 0)
-        best = max(best, alone + paired + max(0, -(-(rest - room) // capacity)))
-    return int(best)
+    lengths = sorted(counts)
+    count, total = [0], [0]
+    for length in lengths:
+        count.append(count[-1] + counts[length])
+        total.append(total[-1] + counts[length] * length)
+    half = bisect_right(lengths, capacity // 2)
+    over = count[-1] - count[half]
+    best = max(over, -(-total[-1] // capacity))
+    for i, small in enumerate(lengths[:half]):
+        top = bisect_right(lengths, capacity - small)
+        room = (count[top] - count[half]) * capacity - (total[top] - total[half])
+        best = max(best, over + max(0, -(-(total[half] - total[i] - room) // capacity)))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[Counter, int]:
@@ -99,91 +100,138 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[Counter, int]:
     return done, steps
 
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether b's pieces can be packed into a's pieces: then a is at least as good a filling."""
-    if not b:
-        return True
-    if sum(b) > sum(a):
-        return False
-    first, rest = b[0], b[1:]
-    return any(
-        x >= first and _dominates(tuple(sorted(a[:i] + (x - first,) + a[i + 1 :], reverse=True)), rest)
-        for i, x in enumerate(a)
-        if i == 0 or a[i - 1] != x
-    )
-
-
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first: from each first piece on, the best partner, then best fit."""
-    fitting = [x for x in lengths if x <= room]  # descending
-    if not fitting:
-        return [()]
-    present = np.array(fitting[::-1])
-
-    def extended(start: tuple[int, ...]) -> tuple[int, ...]:
-        used, rest = Counter(start), room - sum(start)
-        out = list(start)
-        while rest:
-            at = int(np.searchsorted(present, rest, side="right")) - 1
-            while at >= 0 and counts[int(present[at])] <= used[int(present[at])]:
-                at -= 1
-            if at < 0:
-                break
-            x = int(present[at])
-            out.append(x)
-            used[x] += 1
-            rest -= x
-        return tuple(sorted(out, reverse=True))
-
-    found = {extended(())}
-    for first in fitting[:: max(1, len(fitting) // 64)]:
-        found.add(extended((first,)))
-        if sum(min(found, key=lambda f: room - sum(f))) == room and len(found) > most:
-            break
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if len(f) > 6 or not any(len(g) <= 6 and _dominates(g, f) for g in kept):
-            kept.append(f)
-        if len(kept) == most:
-            break
-    return kept
+def _dominated(filling: tuple[int, ...], waste: int, unused: Callable[[int, int], bool]) -> bool:
+    """Whether a piece that is left can stand in for some of the filling's pieces: then the filling need not be tried.
+
+    ``unused(least, most)`` says if a piece of such a length is left. Of long fillings only single pieces and pairs are tested.
+    """
+    some = range(1, len(filling) + 1 if len(filling) <= 6 else 3)
+    return any(unused(sum(part) + (k == 1), sum(part) + waste) for k in some for part in set(combinations(filling, k)))
+
+
+def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room``, each once, as they are asked for; None after a step that finds none.
+
+    First come those that start with one in 64 of the lengths and go on by best fit, least waste first.
+    """
+    present = sorted(x for x, n in counts.items() if n and x <= room)
+    if not present:
+        yield ()
+        return
+    used: Counter = Counter()
+
+    def largest(most: int) -> int:
+        """Place of the greatest length up to ``most`` of which a piece is left, -1 without one."""
+        at = bisect_right(present, most) - 1
+        while at >= 0 and counts[present[at]] <= used[present[at]]:
+            at -= 1
+        return at
+
+    def unused(least: int, most: int) -> bool:
+        at = largest(most)
+        return at >= 0 and present[at] >= least
+
+    starts = []
+    for first in [present[-1], *present[:: -max(1, len(present) // 64)]]:
+        out, rest = [first], room - first
+        used.clear()
+        used[first] = 1
+        while (at := largest(rest)) >= 0:
+            out.append(present[at])
+            used[present[at]] += 1
+            rest -= present[at]
+        filling = tuple(sorted(out, reverse=True))
+        if not _dominated(filling, rest, unused):
+            starts.append(filling)
+    known = set(starts)
+    yield from sorted(known, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
+
+    used.clear()
+    chosen: list[int] = []
+    rest, at = room, largest(room)
+    while True:
+        if at >= 0:  # one more piece, not longer than the last
+            chosen.append(at)
+            used[present[at]] += 1
+            rest -= present[at]
+            at = largest(min(rest, present[at]))
+            yield None
+            continue
+        filling = tuple(present[i] for i in chosen)
+        if filling not in known and not _dominated(filling, rest, unused):
+            yield filling
+        while at < 0 and chosen:  # a shorter piece in the last one's place; with none, one place further up
+            last = present[chosen.pop()]
+            used[last] -= 1
+            rest += last
+            at = largest(last - 1)
+        if at < 0:
+            return
+
+
+def _completions(left: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """(sequence, times) for the largest piece: BRANCHES fillings as often as there are pieces, then these fewer times, then the next."""
+    largest = max(left)
+    found = fillings({**left, largest: left[largest] - 1}, capacity - largest)
+    first: list[tuple[tuple[int, ...], int]] = []
+    for filling in found:
+        if filling is None:
+            yield None
+            continue
+        whole = (largest, *filling)
+        most = min(left[x] // n for x, n in Counter(whole).items())
+        yield whole, most
+        first.append((whole, most // 2))
+        if len(first) >= BRANCHES:  # from now on each at once
+            yield from _fewer(first)
+            first.clear()
+    yield from _fewer(first)
+
+
+def _fewer(sequences: list[tuple[tuple[int, ...], int]]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Half as often and so on down to once: any number of times is a sum of these."""
+    for whole, times in sequences:
+        while times:
+            yield whole, times
+            times //= 2
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Counter:
     """{filling: times}: a packing of ``counts`` pieces by length, as short as the search finds.
 
-    Branch and bound: the largest piece left is completed by each undominated filling in turn, and
-    a filling is used for as many equal sequences as there are pieces for. A branch is left when
-    the sequences so far plus the bound for the rest, which is the waste it may still make, reach
-    the incumbent. Best-fit decreasing is the first incumbent, and its way on from each node a
-    new one. The search ends when an incumbent meets the bound or after ``steps`` steps.
+    Branch and bound: the largest piece left is completed by each undominated filling in turn, a
+    filling is used for as many equal sequences as there are pieces for and then for fewer. A branch
+    is left when the sequences so far plus the bound for the rest, which is the waste it may
+    still make, reach the incumbent. Best-fit decreasing is the first incumbent, and its way on
+    from each node a new one. Fillings are made when the search comes back for them. It ends when
+    an incumbent meets the bound, when all is tried, or after ``steps`` steps.
     """
     best, _ = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
-    stack: list[tuple[dict[int, int], Counter]] = [(dict(counts), Counter())]
+    if best.total() <= bound:
+        return best
+    stack = [(dict(counts), Counter(), _completions(counts, capacity))]
     while stack and steps > 0 and best.total() > bound:
-        left, done = stack.pop()
-        if not left:
-            if done.total() < best.total():
-                best = done
+        left, done, ways = stack[-1]
+        way = next(ways, False)
+        steps -= 1
+        if way is False:
+            stack.pop()
+        if not way:
             continue
-        if done.total() + lower_bound(left, capacity) >= best.total():
+        whole, times = way
+        need = Counter(whole)
+        after = {x: m for x, n in left.items() if (m := n - times * need.get(x, 0))}
+        now = done + Counter({whole: times})
+        if now.total() + lower_bound(after, capacity) >= best.total():
+            steps -= len(after)
             continue
-        way_on, taken = best_fit(left, capacity)
-        way_on, steps = done + way_on, steps - taken - len(left)
+        way_on, taken = best_fit(after, capacity)
+        way_on, steps = now + way_on, steps - taken - len(after)
         if way_on.total() < best.total():
             best = way_on
-        lengths = sorted(left, reverse=True)
-        largest = lengths[0]
-        rest = {k: v for k, v in left.items()}
-        rest[largest] -= 1
-        for filling in reversed(fillings(rest, lengths, capacity - largest, BRANCHES)):
-            whole = (largest, *filling)
-            need = Counter(whole)
-            times = min(left[x] // n for x, n in need.items())
-            after = {x: n - times * need.get(x, 0) for x, n in left.items()}
-            stack.append(({x: n for x, n in after.items() if n}, done + Counter({whole: times})))
+        if after:
+            stack.append((after, now, _completions(after, capacity)))
     return best
 
 

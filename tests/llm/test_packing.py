@@ -7,7 +7,7 @@ import pytest
 from cases import none, odd_docs, prose
 from tokenizers import Tokenizer
 
-from marginalia.llm.packing import best_fit, bin_completion, lower_bound, pack_documents
+from marginalia.llm.packing import best_fit, bin_completion, fillings, lower_bound, pack_documents
 from marginalia.llm.queries import word_tokenizer
 
 
@@ -90,3 +90,30 @@ def test_odd_rows(spark):
     assert all(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in rows)
     check(rows, 4096)
     assert pack_documents(none(spark), word_tokenizer()).collect() == []
+
+
+def test_every_undominated_filling_comes():
+    """Whatever can be filled in is no better than some filling that comes, piece by piece or in parts."""
+    rng = random.Random(8)
+    for _ in range(60):
+        room = rng.randint(5, 40)
+        items = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        found = [f for f in fillings(dict(Counter(items)), room) if f is not None]
+        assert len(set(found)) == len(found) and all(sum(f) <= room and not Counter(f) - Counter(items) for f in found)
+
+        def fits(part, into):
+            return not part or any(x >= part[0] and fits(part[1:], into[:i] + (x - part[0],) + into[i + 1 :]) for i, x in enumerate(into))
+
+        for mask in range(1 << len(items)):
+            part = tuple(sorted((x for i, x in enumerate(items) if mask >> i & 1), reverse=True))
+            if sum(part) <= room:
+                assert any(fits(part, f) for f in found)
+
+
+def test_search_over_many_lengths():
+    """Ever so often only fillings beyond the first few, or fewer repeats, meet the optimum."""
+    rng = random.Random(3)
+    for _ in range(150):
+        items = [rng.randint(11, 50) for _ in range(rng.randint(6, 10))] * rng.randint(1, 2)
+        items = items[:11]
+        assert bin_completion(dict(Counter(items)), 100).total() == fewest(items, 100)
