@@ -365,20 +365,26 @@ KINDS = (pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.string())
 def fit_languages(texts: DataFrame, cells: int = CELLS, calibration: int = CALIBRATION) -> LanguageIdentifier:
     """Learn from all rows of ``texts`` (doc_id, text, lang) with a language.
 
-    Rows whose hash falls in one of CALIBRATION_PART parts are not counted but calibrate: of these
+    Rows whose hash falls in one of CALIBRATION_PART parts are not counted at first but calibrate: of these
     the ``calibration`` with the least hashes give the scores (a logistic fit of whether
     the best language is right to its lead in nats) and, by language, the cross-entropy four
     deviations above the mean of right texts, beyond which a prediction is not accepted.
+    Then these rows are counted too, so that the models returned know all texts and all languages.
     """
-    spark = texts.sparkSession
     known = texts.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     aside = F.pmod(F.col("h"), F.lit(CALIBRATION_PART)) == 0
-    tables = scratch(spark, "languages")
+    tables = scratch(texts.sparkSession, "languages")
     counts = tables.save(run_counts(known.where(~aside)))
     parts = model_parts(counts, tables, cells)
-    if not parts:
-        return LanguageIdentifier([], [], np.zeros(2), {})
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    every = counts.unionByName(run_counts(known.where(aside))).groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    every = tables.save(every)
+    final = model_parts(every, tables, cells)
+    if not final:
+        return LanguageIdentifier([], [], np.zeros(2), {})
+    all_langs = sorted(r.lang for r in every.select("lang").distinct().collect())
+    if not parts:
+        return LanguageIdentifier(final, all_langs, np.array([0.0, 1.0]), {})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,14 +397,14 @@ def fit_languages(texts: DataFrame, cells: int = CELLS, calibration: int = CALIB
     measured = known.where(aside).mapInArrow(measure, "h long, lang string, n long, entropies array<double>")
     rows = measured.where("n > 0").orderBy("h").limit(calibration).toPandas()
     if not len(rows):
-        return LanguageIdentifier(parts, langs, np.array([0.0, 1.0]), {})
+        return LanguageIdentifier(final, all_langs, np.array([0.0, 1.0]), {})
     entropies, n = np.array(rows["entropies"].tolist()), rows["n"].to_numpy()
     best = np.array(langs, dtype=object)[entropies.argmin(axis=1)]
     right = best == rows["lang"].to_numpy()
     weights = logistic(_margin(entropies, n)[:, None], right)
     lowest = entropies.min(axis=1)
     worst = {x: float(lowest[own].mean() + 4 * lowest[own].std() + 1 / own.sum()) for x in set(best[right]) for own in [right & (best == x)]}
-    return LanguageIdentifier(parts, langs, weights, worst)
+    return LanguageIdentifier(final, all_langs, weights, worst)
 
 
 def identify_languages(docs: DataFrame, identifier: LanguageIdentifier, text: str | Column = "text") -> DataFrame:

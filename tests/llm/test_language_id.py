@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from cases import none, odd_docs
+from pyspark.sql import functions as F
 
 from marginalia.llm.common import strings
 from marginalia.llm.language_id import Model, fit_languages, identify_languages, run_counts
@@ -99,3 +100,12 @@ def test_parts_of_the_model_add_up_to_the_whole(spark):
         assert f.cross_entropy == r.cross_entropy or math.isclose(f.cross_entropy, r.cross_entropy, rel_tol=1e-5)
         assert math.isclose(f.score, r.score, rel_tol=1e-4, abs_tol=1e-9)
     assert sum(found[i].lang_pred == "fr" for i in range(2, 30, 3)) >= 9
+
+
+def test_texts_that_calibrate_are_learnt_too(spark):
+    docs = spark.createDataFrame([(i, sample(x, 30, i), x) for i, x in enumerate(["en", "de"] * 60)], "doc_id long, text string, lang string")
+    aside = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0
+    rare = spark.createDataFrame([(1000 + i, sample("fr", 20, i), "fr") for i in range(200)], docs.schema).where(aside)
+    model = fit_languages(docs.unionByName(rare))
+    assert rare.count() > 3 and model.langs == ["de", "en", "fr"]
+    assert {r.lang_pred for r in identify_languages(rare, model).collect()} == {"fr"}
