@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.archives import archive_pages
 from marginalia.llm.common import table, text_of
+from marginalia.llm.conversation_trie import conversation_trie
 from marginalia.llm.fingerprints import fingerprint_documents
+from marginalia.llm.importance import draw, fit_importance, weigh_documents
 from marginalia.llm.jaccard_join import near_duplicates
 from marginalia.llm.language_id import fit_languages, identify_languages, remainder
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.sharding import shard_by_bytes
+from marginalia.llm.simhash import simhash_duplicates
 from marginalia.llm.toxicity import fit_toxicity, score_toxicity, to_learn_from
 from marginalia.llm.vector_search import scaled, top_inner_products
 
@@ -242,3 +245,103 @@ def word_tokenizer() -> str:
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), 4096)
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and its component of near duplicates."""
+    return simhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+#: Of a list of bytes, the unsigned CRC-32, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {}),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(
+    "op12_conversation_trie",
+    f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS nth,
+         {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+         {CRC32.format("list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)")} % 9 AS h
+  FROM turns GROUP BY conv_id
+), plan AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM sizes c LEFT JOIN sizes b ON b.conv_id = c.base
+), rebuilt AS (
+  SELECT p.conv_id, nth, turn FROM plan p JOIN turns t ON t.conv_id = p.base AND nth < taken
+  UNION ALL SELECT p.conv_id, nth - h + taken, turn FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND nth >= h
+), paths AS (
+  SELECT s.conv_id, coalesce(list(turn ORDER BY nth) FILTER (nth IS NOT NULL), []) AS path
+  FROM sizes s LEFT JOIN rebuilt r ON r.conv_id = s.conv_id GROUP BY s.conv_id
+), members AS (
+  SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM paths
+), nodes AS (
+  SELECT depth, path[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * coalesce(octet_length(encode(path[1:depth][depth].text)), 0) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM members GROUP BY depth, prefix
+), families AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+), counted AS (
+  SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.prefix[1:n.depth] = n.prefix) AS n_children
+  FROM families n
+)
+SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, count(*) FILTER (d.n_children = 0) AS n_leaves,
+       sum(d.saved)::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN counted d ON d.depth >= n.depth AND d.prefix[1:n.depth] = n.prefix GROUP BY ALL
+""",
+)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, each rebuilt on the start of its group."""
+    return conversation_trie(table(spark, sf_dir, "conversations"), group=5).drop("n_bytes")
+
+
+@query(
+    "op13_importance",
+    rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS place, doc_id, text FROM (SELECT doc_id, text FROM documents)
+), cut AS (
+  SELECT 0 AS side, place, text FROM texts UNION ALL SELECT 1, NULL, text FROM benchmark
+), words AS (
+  SELECT side, place, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM cut
+), counted AS (
+  SELECT side, place, word, count(*) AS n FROM words GROUP BY ALL
+), hashed AS (
+  SELECT word, {CRC32.format("list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)")} % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM counted)
+), runs AS (
+  SELECT side, place, bucket, n FROM counted JOIN hashed USING (word)
+), totals AS (
+  SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM runs GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (coalesce(sum(s) OVER (), 0) + 10000)::DOUBLE)
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM totals
+), weighed AS (
+  SELECT place, sum(n) AS n_features, sum(n * gain) AS weight FROM runs JOIN gains USING (bucket) WHERE side = 0 GROUP BY place
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln(((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT) + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (place)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS enough
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= enough * 10 // 100 THEN place END AS rank FROM ranked
+""",
+)
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark, and the tenth that is drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weigher = fit_importance(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return draw(weigh_documents(docs, weigher).drop("text"))
