@@ -6,6 +6,7 @@ Bodies are read once, at the end, when the new snapshot is put together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -43,12 +44,27 @@ def apply_changes(
     no effect and is kept in ``rejects`` with a ``reason``: illegal_path,
     not_found, exists or into_itself.
     """
-    return _Apply(notes, folders, changes).run()
+    return Apply(notes, folders, changes).run()
 
 
-class _Apply:
-    def __init__(self, notes: DataFrame, folders: DataFrame, changes: DataFrame):
-        self.spark = notes.sparkSession
+class Apply:
+    """A change log on its way into a snapshot.
+
+    ``near``, if given, returns the notes that can share a family with a plan's; it is asked while no folder has
+    moved. ``complete`` says that ``folders`` has all folders, those that only notes imply included.
+    """
+
+    def __init__(
+        self,
+        notes: DataFrame,
+        folders: DataFrame,
+        changes: DataFrame,
+        near: Callable[[DataFrame], DataFrame] | None = None,
+        complete: bool = False,
+    ):
+        self.spark = changes.sparkSession
+        self.near = near
+        self.complete = complete
         self.scratch = Scratch(self.spark, "apply")
         self.notes = notes
         self.folders = folders
@@ -60,6 +76,11 @@ class _Apply:
         self.folder_set: DataFrame | None = None
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        self.resolve()
+        return self.new_notes(), self.new_folders(), self.all_rejects()
+
+    def resolve(self) -> None:
+        """Decide what becomes of every change."""
         rows, distinct = self.changes.agg(F.count("*"), F.count_distinct("seq")).first()
         if rows != distinct:
             raise ValueError(f"{rows} changes have {distinct} different values of seq; each needs its own")
@@ -83,11 +104,11 @@ class _Apply:
             if not fetched:
                 break
             if self.folder_set is None:
-                known = all_folders(self.notes, self.folders).select("path")
-                self.folder_set = self.scratch.save(known)
+                known = self.folders if self.complete else all_folders(self.notes, self.folders)
+                added = _union([known.select("path"), *self.made])
+                self.folder_set = self.scratch.save(added.distinct())
             done = self._interleave([FolderOp(*row) for row in fetched], done)
         self._note_phase(self.plan if done is None else self.plan.filter(F.col("seq") > done))
-        return self._notes(), self._folders(), self._rejects()
 
     def _interleave(self, ops: list[FolderOp], done: int | None) -> int:
         """Note changes up to the last of ``ops``, each run of folder changes in its place."""
@@ -153,7 +174,8 @@ class _Apply:
     def _pull(self, plan: DataFrame) -> DataFrame:
         """The touched notes: those already in the state, and the rest of the families named."""
         named = plan.select(F.explode(F.array("family", "target_family")).alias("family"))
-        here = self.notes.select(
+        notes = self.notes if self.near is None or self.moves else self.near(plan)
+        here = notes.select(
             rewrite_prefix(F.col("path"), self.moves).alias("path"),
             F.col("path").alias("own_path"),
             F.col("path").alias("body_path"),
@@ -172,10 +194,48 @@ class _Apply:
             pulled = self.state.unionByName(pulled.join(known, "own_path", "left_anti"))
         return self.scratch.save(pulled.select(*STATE_COLUMNS))
 
-    def _notes(self) -> DataFrame:
-        """The new snapshot: bodies come from the old one, or from the log."""
+    def changed_paths(self) -> DataFrame:
+        """``(path, new_path)`` of the notes that the log changes: new ones have no path, deleted ones no new path."""
+        path, new = F.col("path"), F.col("new_path")
+        parts = []
+        if self.state is not None:
+            own = self.state.select(F.col("own_path").alias("path"), path.alias("new_path"), "dirty", "body_seq")
+            same = path.eqNullSafe(new) & ~F.col("dirty") & F.col("body_seq").isNull()
+            parts.append(own.filter(~same & (path.isNotNull() | new.isNotNull())).select("path", "new_path"))
+        if self.moves:
+            moved = self.notes.select("path", rewrite_prefix(path, self.moves).alias("new_path"))
+            moved = moved.filter(~path.eqNullSafe(new))
+            if self.state is not None:
+                known = self.state.select(F.col("own_path").alias("path"))
+                moved = moved.join(known, "path", "left_anti")
+            parts.append(moved)
+        return _union(parts) if parts else self.spark.createDataFrame([], "path string, new_path string")
+
+    def copied_paths(self) -> DataFrame:
+        """``(path)`` of the notes whose bodies are copied under other paths."""
+        if self.state is None:
+            return self.spark.createDataFrame([], "path string")
+        copies = self.state.filter("path IS NOT NULL AND own_path IS NULL AND body_seq IS NULL AND body_path IS NOT NULL")
+        return copies.select(F.col("body_path").alias("path"))
+
+    def added_folders(self) -> DataFrame | None:
+        """The folders that are not there yet; None where folder changes leave no plain addition."""
+        if self.folder_set is not None:
+            return None
+        made = _union([self.spark.createDataFrame([], "path string"), *self.made]).distinct()
+        made = made.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+        known = self.folders if self.complete else all_folders(self.notes, self.folders)
+        return folders_from_paths(made.join(known.select("path"), "path", "left_anti"))
+
+    def new_notes(self, old: DataFrame | None = None, originals: DataFrame | None = None) -> DataFrame:
+        """The new snapshot: bodies come from the old one, or from the log.
+
+        ``old`` are the notes to start from if not all of them, and ``originals`` those that have the copied bodies.
+        """
+        old = self.notes if old is None else old
+        originals = self.notes if originals is None else originals
         if self.state is None:
-            return self._moved_only()
+            return self._moved_only(old)
         own = self.state.filter("own_path IS NOT NULL").select(
             F.col("own_path").alias("path"),
             F.col("path").alias("new_path"),
@@ -186,7 +246,7 @@ class _Apply:
             F.lit(True).alias("touched"),
         )
         touched = F.col("touched").isNotNull()
-        kept = self.notes.join(own, "path", "left").filter("body_seq IS NULL")
+        kept = old.join(own, "path", "left").filter("body_seq IS NULL")
         kept = kept.select(
             F.when(touched, F.col("new_path"))
             .otherwise(rewrite_prefix(F.col("path"), self.moves))
@@ -202,7 +262,7 @@ class _Apply:
 
         live = self.state.filter("path IS NOT NULL")
         meta = ["path", "tags", "mod_time", "dirty"]
-        bodies = self.notes.select(F.col("path").alias("body_path"), "content", "size", "preview", "header")
+        bodies = originals.select(F.col("path").alias("body_path"), "content", "size", "preview", "header")
         copied = live.filter(
             "own_path IS NULL AND body_seq IS NULL AND body_path IS NOT NULL"
         ).join(bodies, "body_path")
@@ -237,9 +297,9 @@ class _Apply:
             }
         ).select(*NOTES.fieldNames())
 
-    def _moved_only(self) -> DataFrame:
+    def _moved_only(self, old: DataFrame) -> DataFrame:
         """Folder changes alone rewrite paths in place; no row meets another."""
-        moved = self.notes.withColumn("path", rewrite_prefix(F.col("path"), self.moves))
+        moved = old.withColumn("path", rewrite_prefix(F.col("path"), self.moves))
         return (
             moved.filter("path IS NOT NULL")
             .withColumns(
@@ -248,13 +308,13 @@ class _Apply:
             .select(*NOTES.fieldNames())
         )
 
-    def _folders(self) -> DataFrame:
+    def new_folders(self) -> DataFrame:
         if self.folder_set is not None:
             return folders_from_paths(self.folder_set)
         made = _union([self.folders.select("path"), *self.made])
         return all_folders(self.notes, made)
 
-    def _rejects(self) -> DataFrame:
+    def all_rejects(self) -> DataFrame:
         reasons = _union(self.rejects)
         columns = CHANGES.fieldNames()
         if reasons is None:

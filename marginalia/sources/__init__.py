@@ -1,5 +1,6 @@
 """Where notes come from and go to."""
 
+from marginalia.sources.commits import commit_changes
 from marginalia.sources.files import (
     refresh_notes,
     render_notes,
@@ -9,13 +10,26 @@ from marginalia.sources.files import (
     write_notes,
 )
 from marginalia.sources.ingest import as_creates, classify, ingest_gate
-from marginalia.sources.store import expire_snapshots, read_rejects, read_store, write_snapshot
+from marginalia.sources.store import (
+    CommitConflict,
+    expire_snapshots,
+    read_folder,
+    read_note,
+    read_rejects,
+    read_store,
+    write_buckets,
+    write_snapshot,
+)
 
 __all__ = [
+    "CommitConflict",
     "as_creates",
     "classify",
+    "commit_changes",
     "expire_snapshots",
     "ingest_gate",
+    "read_folder",
+    "read_note",
     "read_rejects",
     "read_store",
     "refresh_notes",
@@ -23,6 +37,7 @@ __all__ = [
     "scan_changed",
     "scan_folders",
     "scan_notes",
+    "write_buckets",
     "write_notes",
     "write_snapshot",
 ]

@@ -5,29 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.operators.changes import apply_changes
 from marginalia.operators.queue import coalesce_changes
 from marginalia.scratch import Scratch, scratch_scope
-from marginalia.sources.store import committed, last_commit, read_store, write_snapshot
+from marginalia.sources.commits import commit_changes
 
 
 def apply_batch(batch: DataFrame, store: str, source: str, coalesce: bool = True) -> int | None:
-    """Commit one batch of changes; returns the snapshot number, or None if it is in already.
+    """Commit one batch of changes; returns the snapshot number, or None if it is in already or empty.
 
     ``source`` is "stream#batch". Commits remember the last batch of every stream, so
     a batch that is delivered again after a failure is recognised and changes
     nothing, also if another stream has committed in between.
     """
     spark = batch.sparkSession
-    commit = last_commit(spark, store)
-    if committed(commit, source):
-        return None
-    notes, folders = read_store(spark, store)
-    base = commit["number"] if commit else 0
     with scratch_scope(spark):
-        changes = Scratch(spark, "batch").save(coalesce_changes(batch) if coalesce else batch)
-        new_notes, new_folders, rejects = apply_changes(notes, folders, changes)
-        return write_snapshot(new_notes, new_folders, store, rejects, source=source, expected=base)
+        changes = Scratch(spark, "batch").save(batch)
+        if changes.isEmpty():
+            return None
+        return commit_changes(spark, store, coalesce_changes(changes) if coalesce else changes, source)
 
 
 def stream_apply(
@@ -39,14 +34,12 @@ def stream_apply(
 ) -> StreamingQuery:
     """Start replaying ``changes`` into ``store``.
 
-    Every batch writes a whole snapshot, so batches should be large: by default
-    the query takes all that is waiting and stops. Changes that are rejected
-    stay readable in the snapshot's rejects.
+    A batch writes the buckets it changes; by default the query takes all that is waiting
+    and stops. Changes that are rejected stay readable in the snapshot's rejects.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            apply_batch(batch, store, f"{checkpoint}#{batch_id}", coalesce)
+        apply_batch(batch, store, f"{checkpoint}#{batch_id}", coalesce)
 
     return (
         changes.writeStream.foreachBatch(handle)
