@@ -8,17 +8,14 @@ until every cut is within tolerance. Then the rows move once, straight to their
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import freed, partitions, scratch, splitters, text_of
 
-#: A group of equal texts above this part of a shard is placed on its own, so that the cuts
-#: between the others stay within tolerance. There are at most n_shards / HEAVY of these.
-HEAVY = 1 / 1024
+#: How far from its target, in parts of a shard, a cut may be left.
+TOLERANCE = 1 / 1024
 OUTPUT = ("size", "shard", "slot")
 
 
@@ -30,9 +27,10 @@ def text_size(text: Column) -> Column:
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """All rows of ``docs`` with ``size``, ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Law: the shards' bytes are as near to equal as the cuts' tolerance (1/1024 of a shard)
-    and the largest single row allow. Equal texts share a shard, unless their group alone
-    would overfill every shard: then its rows are dealt by doc_id, which keeps the law.
+    Law: the bytes before each cut between two shards are as near to their equal part as a tolerance of
+    1/1024 of a shard allows, or else the group of equal texts that lies across it, as a cut goes to
+    the nearer of its sides. Equal texts share a shard; only the rows of a group that is larger than a
+    shard are sorted by text and doc_id instead, which keeps the law.
 
     Null texts count as empty ones. Rows that agree in text and doc_id can't be told apart and
     stay together. Columns named size, shard or slot are replaced, any others pass through.
@@ -47,46 +45,20 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
     # The whole job of the counting rounds: one row for each text, not for each copy.
     groups = tables.save(rows.groupBy(whole.alias("key")).agg(F.sum("size").alias("weight")))
-    total = groups.agg(F.sum("weight")).first()[0] or 0
-    share = total / n_shards
-    heavy = groups.where(F.col("weight") > max(1.0, share * HEAVY)).collect()  # at most n_shards / HEAVY
-    loads = [(0, s) for s in range(n_shards)]
-    heapq.heapify(loads)
-    placed: dict[int, int] = {}
-    dealt: list[int] = []
-    for key, weight in sorted(((r.key, r.weight) for r in heavy), key=lambda g: (-g[1], g[0])):
-        load, shard = loads[0]
-        if load + weight <= share:
-            heapq.heapreplace(loads, (load + weight, shard))
-            placed[key] = shard
-        else:
-            dealt.append(key)
-
-    # The others fill what is left of each shard, in the order of their keys.
-    listed = spark.createDataFrame(
-        [(k, s) for k, s in placed.items()] + [(k, None) for k in dealt], "__mg_text long, __mg_shard int"
-    )
-    light = groups.join(listed, F.col("key") == F.col("__mg_text"), "left_anti")
-    if dealt:
-        loose = rows.withColumn("__mg_text", whole).where(F.col("__mg_text").isin(dealt))
-        light = light.unionByName(loose.groupBy(single.alias("key")).agg(F.sum("size").alias("weight")))
-    light = tables.save(light)
-    fills = {shard: max(0.0, share - load) for load, shard in loads}
-    targets, sum_ = [], 0.0
-    for shard in range(n_shards - 1):
-        sum_ += fills[shard]
-        targets.append(sum_)
-    cuts = splitters(light, targets, max(1.0, share * HEAVY))
+    share = (groups.agg(F.sum("weight")).first()[0] or 0) / n_shards
+    large = [r.key for r in groups.where(F.col("weight") > share).collect()]  # fewer than n_shards
+    key = whole
+    if large:
+        key = F.when(whole.isin(large), single).otherwise(whole)
+        loose = rows.where(whole.isin(large)).groupBy(single.alias("key")).agg(F.sum("size").alias("weight"))
+        groups = tables.save(groups.where(~F.col("key").isin(large)).unionByName(loose))
+    targets = [share * i for i in range(1, n_shards)]
+    cuts = splitters(groups, targets, max(1.0, share * TOLERANCE))
 
-    keyed = rows.withColumn("__mg_key", whole)
-    # The list of heavy groups is bounded by n_shards / HEAVY rows.
-    keyed = keyed.join(F.broadcast(listed), F.col("__mg_key") == F.col("__mg_text"), "left")
-    if dealt:
-        keyed = keyed.withColumn("__mg_key", F.when(F.col("__mg_key").isin(dealt), single).otherwise(F.col("__mg_key")))
     passed = F.lit(0)
     for cut in cuts:
         passed = passed + (F.col("__mg_key") >= F.lit(cut)).cast("int")
-    keyed = keyed.withColumn("shard", F.coalesce("__mg_shard", passed)).drop("__mg_text", "__mg_shard")
+    keyed = rows.withColumn("__mg_key", key).withColumn("shard", passed)
     keyed = keyed.withColumn("__mg_bin", F.pmod(F.xxhash64("__mg_key", "doc_id"), F.lit(n_slots)).cast("int"))
 
     # A shard's rows are numbered in bins, each after those of the bins before it.

@@ -2,6 +2,8 @@ from collections import Counter, defaultdict
 
 from cases import none, odd_docs, prose
 
+from pyspark.sql import functions as F
+
 from marginalia.llm.common import splitters
 from marginalia.llm.sharding import shard_by_bytes
 
@@ -36,6 +38,28 @@ def test_a_group_above_a_share_is_dealt(spark):
     assert max(loads) - min(loads) < 0.03 * sum(loads) / 8
 
 
+def test_groups_that_fit_stay_whole(spark):
+    """Many groups of middle size, each well below a shard: none is split, and each cut is the nearest there is."""
+    texts = [prose(i, 30 + 3 * (i % 40)) for i in range(40) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shard_by_bytes(docs, 8).collect()
+    loads = check(rows, 8)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r.text].add(r.shard)
+    assert len(shards) == 40 and all(len(s) == 1 for s in shards.values())
+    largest = max(10 * (len(t) + 1) for t in texts)
+    for i in range(1, 8):
+        assert abs(sum(loads[:i]) - i * sum(loads) / 8) <= largest / 2 + 1
+    # A brute-force histogram sort over the same order.
+    order = {r.text: r.key for r in docs.select("text", F.xxhash64("text").alias("key")).collect()}
+    groups = sorted({(order[t], 10 * (len(t) + 1)) for t in texts})
+    sums = [sum(w for _, w in groups[:i]) for i in range(len(groups) + 1)]
+    for i in range(1, 8):
+        target = i * sum(loads) / 8
+        assert abs(sum(loads[:i]) - target) <= max(sum(loads) / 8 / 1024, min(abs(s - target) for s in sums)) + 1
+
+
 def test_reruns_agree(spark):
     docs = odd_docs(spark, clashing=False).where("doc_id is not null and doc_id <> 2")
     first, second = (sorted(map(tuple, shard_by_bytes(docs.repartition(n), 3).collect()), key=repr) for n in (1, 5))
