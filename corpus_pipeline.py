@@ -1,13 +1,20 @@
 """The corpus pipeline: filter, deduplicate, mix and pack documents, stage by stage.
 
 Every stage works on all that the one before kept, and is written and read again in between.
+
+Null and empty texts have no words to judge them by, so they are not toxic, have no lines to cut and are
+near duplicates of nothing; the mix takes them or not by their hash like any other, and packing
+gives them an end id alone. Rows that repeat are documents of their own until near copies go; of
+those the least doc_id stays, null first, and of one doc_id the least text hash. Extra columns are left
+out, and an empty table passes through as one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm.common import scratch, table
+from marginalia.llm.common import WORD, scratch, table
 from marginalia.llm.jaccard_join import one_of_each
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, repeated
@@ -26,8 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat earlier three-line windows."""
-    return dedup_lines(docs.select(*COLUMNS)).select(*COLUMNS)
+    """All documents, without lines that repeat earlier three-line windows.
+
+    A document that has lost all its words to earlier ones is a repeat as a whole and goes; one
+    that had none before stays.
+    """
+    kept = dedup_lines(docs.select(*COLUMNS))
+    return kept.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
