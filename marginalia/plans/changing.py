@@ -206,13 +206,55 @@ FROM events e LEFT JOIN docs d ON d.doc_id = e.user_id
 WHERE event_id % 10 = 3 OR d.doc_id IS NULL"""
 
 
-def creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def renaming_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of all labelled notes; good ones get a new name, which is another note's for some."""
+    doc, good = F.col("doc_id"), F.col("quality") == 1
+    name = F.concat(F.when(doc % 6 == 0, "taken_").otherwise("new_"), doc.cast("string"))
+    return change_log(
+        labelled(spark, sf_dir),
+        seq=doc,
+        kind="update",
+        path=F.col("path"),
+        name=F.when(good, name),
+        content=F.when(doc % 2 == 0, F.concat(F.lit("updated "), doc.cast("string"))),
+        tags=F.array(F.lit("updated")),
+        ts=F.lit(START_MS) + doc,
+    )
+
+
+def with_taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, with the names that a sixth of the updates ask for already there."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 6 = 0")
+    path = corpus.doc_path()
+    name = F.concat(F.lit("taken_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    taken = docs.select(
+        F.concat(F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1))), name).alias("path"),
+        F.lit("taken").alias("content"),
+        F.array().cast("array<string>").alias("tags"),
+        F.lit(START_MS).alias("mod_time"),
+    )
+    return notes_of(spark, sf_dir).unionByName(notes_from_parts(taken))
+
+
+_SQL_INTO = f"CASE WHEN contains(path, '/') THEN {corpus.sql_folder('path')} || '/' ELSE '' END"
+_SQL_RENAMING = f"""WITH {corpus.DOCS}, asked AS (
+  SELECT d.*, l.quality, l.doc_id IS NOT NULL AND NOT (quality = 1 AND d.doc_id % 6 = 0) AS done
+  FROM docs d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+result AS (SELECT CASE WHEN done AND quality = 1 THEN {_SQL_INTO} || 'new_' || doc_id || '.md' ELSE path END AS path,
+    CASE WHEN done AND doc_id % 2 = 0 THEN 'updated ' || doc_id ELSE content END AS content,
+    CASE WHEN done THEN ['updated'] ELSE tags END AS tags,
+    CASE WHEN done THEN {START_MS} + doc_id ELSE mod_time END AS mod_time FROM asked
+  UNION ALL SELECT {_SQL_INTO} || 'taken_' || doc_id || '.md', 'taken', CAST([] AS VARCHAR[]), {START_MS}
+    FROM docs WHERE doc_id % 6 = 0) """
+
+
+def creates(spark: SparkSession, sf_dir: str, kind: str = "create") -> DataFrame:
     """A note per conversation turn, named by role, so most names are taken; some have none."""
     turn = F.col("turn")
     return change_log(
         table(spark, sf_dir, "conversations"),
         seq=F.col("conv_id") * 1_000_000 + turn,
-        kind="create",
+        kind=kind,
         name=F.when(turn % 5 != 4, F.concat(F.lit("by: "), F.col("role"))),
         folder=F.concat(F.lit("chat/"), F.col("conv_id").cast("string")),
         content=F.col("text"),
@@ -221,6 +263,11 @@ def creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pathless_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same notes by saves that name no path yet."""
+    return creates(spark, sf_dir, "save")
+
+
 _SQL_STAMP = f"strftime(make_timestamp(({START_MS} + conv_id * 1000) * 1000), '%Y-%m-%d_%H%M%S')"
 _SQL_CREATES = f"""WITH {corpus.DOCS}, asked AS (
   SELECT *, {_SQL_STAMP} AS stamp,
@@ -363,7 +410,10 @@ QUERIES = {
     "create_folders": folders_after(folders_from_pages),
     "apply_updates": applied(updates),
     "update_rejects": rejects_of(updates),
+    "update_renames": applied(renaming_updates, with_taken_names),
+    "update_rename_rejects": rejects_of(renaming_updates, with_taken_names),
     "create_notes": applied(creates),
+    "save_new_notes": applied(pathless_saves),
     "delete_notes": applied(deletes),
     "delete_rejects": rejects_of(deletes),
     "move_notes": applied(moves, with_occupied),
@@ -394,7 +444,11 @@ WHERE EXISTS (SELECT 1 FROM documents)""",
     "create_folders": SQL_FOLDERS_CREATED,
     "apply_updates": _SQL_UPDATES + sql_shown("result"),
     "update_rejects": _SQL_UPDATE_REJECTS,
+    "update_renames": _SQL_RENAMING + sql_shown("result"),
+    "update_rename_rejects": f"""WITH {corpus.DOCS} SELECT d.doc_id AS seq, 'update' AS kind, path, 'exists' AS reason
+FROM docs d JOIN labels l ON l.doc_id = d.doc_id WHERE quality = 1 AND d.doc_id % 6 = 0""",
     "create_notes": _SQL_CREATES + sql_shown("result"),
+    "save_new_notes": _SQL_CREATES + sql_shown("result"),
     "delete_notes": _SQL_DELETES + sql_shown("result"),
     "delete_rejects": _SQL_DELETE_REJECTS,
     "move_notes": _SQL_MOVES + sql_shown("result"),

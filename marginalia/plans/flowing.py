@@ -13,7 +13,9 @@ from marginalia.plans import corpus
 from marginalia.plans.corpus import DAY_MS, START_MS, event_queue, flat_tags, table
 
 from marginalia.scratch import Scratch
-from marginalia.sources.ingest import MAX_BYTES, ingest_gate
+from marginalia.operators.changes import apply_changes
+from marginalia.schema import FOLDERS, notes_from_parts
+from marginalia.sources.ingest import MAX_BYTES, as_creates, ingest_gate
 from marginalia.streaming import stream_coalesce, stream_sessions
 
 BATCHES = 4
@@ -250,6 +252,21 @@ def ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected
 
 
+def ingest_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted files as new notes of the folder; a fifth of the names that documents want are taken."""
+    accepted, _ = ingest_gate(incoming_files(spark, sf_dir), TARGET)
+    doc = F.col("doc_id")
+    taken = table(spark, sf_dir, "documents").filter(doc % 5 == 0).select(
+        F.concat(F.lit(f"{TARGET}/"), doc.cast("string"), F.lit(".md")).alias("path"),
+        F.lit("taken").alias("content"),
+        F.array().cast("array<string>").alias("tags"),
+        F.lit(START_MS).alias("mod_time"),
+    )
+    seq = F.col("mod_time") - START_MS + F.when(F.col("source_path").startswith("drop"), F.lit(1 << 40)).otherwise(0)
+    notes, _, _ = apply_changes(notes_from_parts(taken), spark.createDataFrame([], FOLDERS), as_creates(accepted, seq))
+    return flat_tags(notes).select("path", "tags", "mod_time", F.md5("content").alias("digest"))
+
+
 _SQL_INCOMING = f"""incoming AS (
   SELECT 'drop\\Page: ' || page_id || CASE page_id % 6 WHEN 1 THEN '.Txt' WHEN 2 THEN '.html' WHEN 3 THEN '.MD' ELSE '.md' END AS path,
     'Page_ ' || page_id AS name, page_id % 6 AS kind, {START_MS} + page_id AS ms,
@@ -279,6 +296,7 @@ QUERIES = {
     "live_sessions": live_sessions,
     "ingest_accepted": ingest_accepted,
     "ingest_rejected": ingest_rejected,
+    "ingest_committed": ingest_committed,
     "streamed_coalesce": streamed_coalesce,
     "streamed_pending": streamed_pending,
     "streamed_sessions": streamed_sessions,
@@ -314,6 +332,15 @@ SELECT token, start, last, CASE WHEN out THEN last ELSE last + {TTL_MS} END AS e
     "ingest_accepted": f"""WITH {_SQL_INCOMING}
 SELECT path AS source_path, '{TARGET}/' || name || '.md' AS path, name, array_to_string(tags, '|') AS tags,
   ms AS mod_time, length AS size, md5(body) AS digest FROM checked WHERE reason IS NULL""",
+    "ingest_committed": f"""WITH {_SQL_INCOMING}, taken AS (
+  SELECT '{TARGET}/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 5 = 0),
+asked AS (SELECT *, strftime(make_timestamp(ms * 1000), '%Y-%m-%d_%H%M%S') AS stamp,
+    row_number() OVER (PARTITION BY name ORDER BY starts_with(path, 'drop'), ms) = 1
+      AND '{TARGET}/' || name || '.md' NOT IN (SELECT path FROM taken) AS direct FROM checked WHERE reason IS NULL),
+named AS (SELECT *, row_number() OVER (PARTITION BY direct, name, stamp ORDER BY starts_with(path, 'drop'), ms) AS r FROM asked)
+SELECT path, '' AS tags, {START_MS} AS mod_time, md5('taken') AS digest FROM taken
+UNION ALL SELECT '{TARGET}/' || CASE WHEN direct THEN '' WHEN r = 1 THEN stamp || '_' ELSE stamp || '-' || r || '_' END || name || '.md',
+  array_to_string(tags, '|'), ms, md5(body) FROM named""",
     "ingest_rejected": f"WITH {_SQL_INCOMING} SELECT path, length, reason FROM checked WHERE reason IS NOT NULL",
     "streamed_coalesce": _SQL_COALESCED,
     "streamed_pending": f"SELECT * FROM ({_SQL_COALESCED}) WHERE seq % 3 <> 0",

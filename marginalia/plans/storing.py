@@ -11,18 +11,28 @@ from marginalia.plans import corpus
 from marginalia.plans.corpus import START_MS, event_queue, flat_tags, notes_of, table
 from marginalia.plans.flowing import NOW_MS, SQL_EXPIRY, session_expiry
 from marginalia.plans.reading import SQL_FOLDERS
+from marginalia.plans.changing import change_log
 from marginalia.schema import CHANGES, notes_from_parts
 from marginalia.scratch import Scratch
-from marginalia.sources import read_store, refresh_notes, scan_changed, scan_folders, scan_notes, write_notes, write_snapshot
+from marginalia.sources import (
+    commit_changes,
+    read_store,
+    refresh_notes,
+    scan_changed,
+    scan_folders,
+    scan_notes,
+    write_notes,
+    write_snapshot,
+)
 from marginalia.streaming import apply_batch, stream_apply
 
 FOLDER = "src1/en"
 
 
 def short_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A note per labelled document, in folders by source; every ninth has no text."""
+    """A note per document, in folders by source; every ninth has no text."""
     doc = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return notes_from_parts(
         docs.select(
             F.concat("source", F.lit("/"), "lang", F.lit("/n "), doc.cast("string"), F.lit(".md")).alias("path"),
@@ -37,7 +47,7 @@ def short_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_SHORT = """short AS (SELECT d.doc_id, source || '/' || lang || '/n ' || d.doc_id || '.md' AS path,
   CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE text END AS content,
   CASE WHEN d.doc_id % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE [lang, 'q\\"uote'] END AS tags, source, lang
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+  FROM documents d)"""
 
 
 def _digests(notes: DataFrame) -> DataFrame:
@@ -98,6 +108,37 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tags(read).select("path", "name", "tags", "mod_time", "size", F.md5("content").alias("digest"))
 
 
+def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two logs committed one after the other to a store of all documents: updates and deletes, then new notes."""
+    store = f"{Scratch(spark, 'store').root}/store"
+    notes, doc = notes_of(spark, sf_dir), F.col("doc_id")
+    write_snapshot(notes, corpus.explicit_folders(spark, sf_dir), store)
+    docs = table(spark, sf_dir, "documents")
+    edits = change_log(
+        docs.filter(doc % 50 < 2),
+        seq=doc,
+        kind=F.when(doc % 50 == 0, "update").otherwise("delete"),
+        path=corpus.doc_path(),
+        content=F.concat(F.lit("edited "), doc.cast("string")),
+        tags=F.array(F.lit("edited")),
+        ts=F.lit(START_MS),
+    )
+    commit_changes(spark, store, edits, source="edits#1")
+    made = change_log(
+        table(spark, sf_dir, "conversations"),
+        seq=F.col("conv_id") * 1_000_000 + F.col("turn"),
+        kind="create",
+        name=F.concat(F.lit("turn "), F.col("turn").cast("string")),
+        folder=F.concat(F.lit("talk/"), F.col("conv_id").cast("string")),
+        content=F.col("text"),
+        tags=F.array("role"),
+        ts=F.lit(START_MS) + F.col("conv_id"),
+    )
+    commit_changes(spark, store, made, source="made#1")
+    read, _ = read_store(spark, store)
+    return flat_tags(read).select("path", "name", "tags", "mod_time", "size", F.md5("content").alias("digest"))
+
+
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue streamed into a store; a batch that comes again changes nothing."""
     scratch = Scratch(spark, "replay")
@@ -160,6 +201,7 @@ QUERIES = {
     "files_changed": files_changed,
     "files_refreshed": files_refreshed,
     "store_round_trip": store_round_trip,
+    "store_commits": store_commits,
     "stream_replay": stream_replay,
     "sessions_at_load": sessions_at_load,
     "newest_first_order": _folder_order("modified-desc"),
@@ -176,6 +218,13 @@ UNION SELECT DISTINCT source || '/' || lang, source, lang, 1::INT FROM short""",
     "files_refreshed": f"WITH {_SQL_GROWN} SELECT {_SQL_DIGESTS} FROM grown",
     "store_round_trip": f"""WITH {corpus.NOTES} SELECT path, name, array_to_string(tags, '|') AS tags, mod_time, size,
   md5(content) AS digest FROM notes""",
+    "store_commits": f"""WITH {corpus.DOCS}, result AS (
+  SELECT path, CASE WHEN doc_id % 50 = 0 THEN 'edited ' || doc_id ELSE content END AS content,
+    CASE WHEN doc_id % 50 = 0 THEN ['edited'] ELSE tags END AS tags,
+    CASE WHEN doc_id % 50 = 0 THEN {START_MS} ELSE mod_time END AS mod_time FROM docs WHERE doc_id % 50 <> 1
+  UNION ALL SELECT 'talk/' || conv_id || '/turn ' || turn || '.md', text, [role], {START_MS} + conv_id FROM conversations)
+SELECT path, {corpus.sql_name("path")} AS name, array_to_string(tags, '|') AS tags, mod_time,
+  {corpus.sql_size("tags", "content")} AS size, md5(content) AS digest FROM result""",
     "stream_replay": """SELECT 'events/note_' || user_id || '.md' AS path, event_type || ' ' || props AS content,
   event_type AS tags, epoch_us(ts) // 1000 AS mod_time FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) = 1""",
