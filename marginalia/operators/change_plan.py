@@ -22,7 +22,7 @@ def plan_changes(changes: DataFrame) -> DataFrame:
 
     ``action`` is create, write (in place), rewrite (a write that also changes the
     path), delete, move, duplicate or create_folder. ``target`` is where a write
-    or a move leaves the note, or where a create wants it. A ``save`` without a
+    or a move leaves the note, or where a create wants it; ``body_seq`` is the change that has the body. A ``save`` without a
     path is a create; with one it is a write that also renames when it has a name
     and moves when it has a folder, all or nothing.
     """
@@ -67,6 +67,7 @@ def plan_changes(changes: DataFrame) -> DataFrame:
         timestamp_name(ts).alias("stamp"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
         F.col("content").isNotNull().alias("has_content"),
+        F.when(F.col("content").isNotNull(), F.col("seq")).alias("body_seq"),
         "ts",
         F.when(illegal, "illegal_path").alias("reason"),
     ).withColumns(

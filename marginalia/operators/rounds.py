@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.names import copy_name, copy_parts, stamped_name, stamped_parts
 from marginalia.functions.paths import dirname, join_path, note_name
 from marginalia.operators.allocate import Blocks, free_numbers, order_blocks, ordinal_within
+from marginalia.operators.chains import fold_chains
 from marginalia.operators.change_plan import touches
 from marginalia.scratch import Scratch
 
@@ -32,8 +33,9 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
 
     Each round takes every change that no earlier unfinished one stands in the
     way of. Changes to unrelated notes, repeated writes to one note, creates of
-    one name and copies of one note all go in one round, so the number of rounds
-    follows the longest chain of changes that really depend on each other.
+    one name and copies of one note all go in one round, and chains of changes to one note
+    are folded into one (``fold_chains``), so the number of rounds follows the longest chain of changes
+    that really decide about each other.
     """
     out = Outcome(state)
     illegal = plan.filter("reason IS NOT NULL").select("seq", "reason")
@@ -50,6 +52,10 @@ def apply_plan(scratch: Scratch, plan: DataFrame, state: DataFrame) -> Outcome:
         actions = {row.action for row in pending.select("action").distinct().collect()}
         if not actions:
             return out
+        pending, made = fold_chains(scratch, pending, out.state, actions)
+        if made is not None:
+            out.made.append(made)
+            actions = {row.action for row in pending.select("action").distinct().collect()}
         ready, blocked = _split(scratch, pending, actions)
         deferred = _round(scratch, ready, actions, out, width)
         waiting = [df for df in (blocked, deferred) if df is not None]
@@ -149,7 +155,7 @@ def _static_effects(
             "path",
             *_effect(
                 new_path=F.col("target"),
-                content_seq=F.when(writing & F.col("has_content"), F.col("seq")),
+                content_seq=F.when(writing, F.col("body_seq")),
                 tags=F.when(writing, F.col("tags")),
                 mod_time=F.when(writing, F.col("ts")),
                 made=F.col("path") != F.col("target"),
@@ -174,7 +180,7 @@ def _effect(new_path=None, content_seq=None, tags=None, mod_time=None, made=None
 def _writes(writes: DataFrame) -> DataFrame:
     """Writes in place, folded per note: the last tags, and the last body that was given."""
     folded = writes.groupBy("path").agg(
-        F.max(F.when(F.col("has_content"), F.col("seq"))).alias("content_seq"),
+        F.max("body_seq").alias("content_seq"),
         F.max_by(F.struct("tags", "ts"), "seq").alias("last"),
     )
     return folded.select(

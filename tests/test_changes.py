@@ -249,3 +249,72 @@ def test_an_outlier_makes_no_block_wide(spark):
     assert sizes.agg(F.max("count")).first()[0] <= BLOCK
     got = ordinal_within(rows, ["k"], "seq", "n", blocks)
     assert got.filter("n <> least(seq, 30000) + 1").isEmpty()
+
+
+def chain(note, steps, start=0):
+    """A note that is renamed, written and moved along, over paths of its own."""
+    log, path = [], f"{note}.md"
+    for i in range(steps):
+        seq = start + 2 * i
+        if i % 3 == 2:
+            log.append(change(seq, "move", path, folder=f"{note}/{i}"))
+            path = f"{note}/{i}/" + path.rpartition("/")[2]
+        else:
+            log.append(change(seq, "update", path, name=f"{note}_{i}", content=f"c{seq}" if i % 2 else None, tags=[f"t{i}"]))
+            path = (path.rpartition("/")[0] + "/" if "/" in path else "") + f"{note}_{i}.md"
+        log.append(change(seq + 1, "update", path, content=None if i % 4 else f"w{seq}", tags=[f"u{i}"]))
+    return log
+
+
+def jobs(spark, name, work):
+    """How many Spark jobs some work takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_long_chains_take_few_rounds(spark):
+    notes = [("n.md", "body", ["a"], 1)]
+    counts, rows = [], []
+    for steps in (4, 64):
+        model = Model(notes)
+        model.apply(chain("n", steps))
+        counts.append(jobs(spark, f"chain{steps}", lambda steps=steps: rows.extend(run(spark, notes, [], chain("n", steps))[0].collect())))
+        row = rows.pop()
+        assert not rows and model.notes == {row.path: (row.content, list(row.tags), row.mod_time)}
+    # 16 times as long: four more doublings, each a write, a check and their stages.
+    assert counts[1] <= counts[0] + 4 * 6
+
+
+def test_chains_end_where_they_are_not_clear(spark):
+    """Chains of many kinds side by side: deleted at the end, blocked, missing, met by others, turning back."""
+    notes = [(f"{n}.md", n, [], 1) for n in "abcdfg"] + [("b/2/taken.md", "t", [], 1), ("e_1.md", "e", [], 1)]
+    log = chain("a", 7) + [change(90, "delete", chain("a", 7)[-1]["path"])]
+    log += chain("b", 5, 100) + [change(190, "update", chain("b", 5)[-1]["path"], name="taken", tags=[])]
+    log += [change(191, "update", "b/2/b_4.md", name="free", content="after", tags=["z"])]
+    log += chain("missing", 4, 200)
+    log += chain("c", 4, 300) + [change(400, "move", "d.md", folder="c/2"), change(401, "update", "c/2/d.md", name="c_3", tags=["clash"])]
+    log += chain("f", 4, 500) + [change(520, "create", name="f_1"), change(521, "duplicate", "f_0.md")]
+    log += [change(600 + i, "update", f"g{'_x' if i % 2 else ''}.md", name="g" if i % 2 else "g_x", content=f"v{i}", tags=[]) for i in range(6)]
+    log += [change(700, "update", "e.md", name="e_1", tags=[]), change(701, "update", "e_1.md", name="e", tags=[]), change(702, "update", "e.md", name="e_2", tags=[])]
+    model = check(spark, notes, [], log)
+    assert "b/2/free.md" in model.notes and model.rejects[190] == "exists"
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_random_chains(spark, seed):
+    rng = random.Random(seed)
+    log, seq, notes = [], 0, []
+    for w in range(80):
+        notes += [(f"w{w}/{n}.md", n, [], 1) for n in "pq" if rng.random() < 0.6]
+        for _ in range(rng.randint(1, 9)):
+            seq += 1
+            path = f"w{w}/{rng.choice('pqrstu')}.md"
+            kind = rng.choice(["update", "update", "update", "move", "delete", "save"])
+            log.append(change(seq, kind, path, name=rng.choice([*"pqrstuvw", None]) if kind in ("update", "save") else None,
+                              folder=rng.choice([f"w{w}", f"w{w}/s"]) if kind in ("move", "save") else None,
+                              content=rng.choice([None, f"c{seq}"]), tags=[f"t{seq}"]))
+    check(spark, notes, [], log)
