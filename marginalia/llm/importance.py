@@ -104,10 +104,14 @@ def find_head(texts: DataFrame, width: int, head: int = HEAD) -> tuple[Words, Pa
         )
 
     counted = texts.select("text").mapInArrow(count, "words array<binary>, n long").groupBy("words").agg(F.sum("n").alias("n"))
-    top = [
-        [tuple(map(bytes, r.words)) for r in counted.where(F.size("words") == size).orderBy(F.desc("n"), "words").limit(head).collect()]
-        for size in range(1, min(width, 2) + 1)
-    ]
+    counted = scratch(texts.sparkSession, "head").save(counted.withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    top = []
+    for size in range(1, min(width, 2) + 1):
+        rows = counted.where(F.size("words") == size)
+        # All of the highest levels of frequency that fit; a level is a few hundred at most.
+        levels = sorted(((r.level, r.n) for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+        fit = [level for i, (level, _) in enumerate(levels) if sum(n for _, n in levels[: i + 1]) <= head]
+        top.append([tuple(map(bytes, r.words)) for r in rows.where(F.col("level") >= fit[-1]).collect()] if fit else [])
     words = Words({x[0]: zlib.crc32(x[0]) for x in top[0]})
     pairs = Pairs({x: zlib.crc32(b" ".join(x)) for x in top[1]} if width > 1 else {})
     return words, pairs
