@@ -152,6 +152,28 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tags(notes).select("path", "content", "tags", "mod_time")
 
 
+def stream_replay_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of one note a user, streamed in three batches by time; a client's first failed one holds back the rest."""
+    scratch = Scratch(spark, "holds")
+    store, source, checkpoint = (f"{scratch.root}/{name}" for name in ("store", "in", "checkpoint"))
+    path = F.concat(F.lit("events/"), "key", F.lit(".md"))
+    queue = event_queue(spark, sf_dir)
+    users = queue.select(path.alias("path")).distinct()
+    blank = users.select("path", F.lit("").alias("content"), F.array().cast("array<string>").alias("tags"), F.lit(0).alias("mod_time"))
+    write_snapshot(notes_from_parts(blank), spark.createDataFrame([], "path string"), store)
+    lost = F.col("content").startswith("error") & (F.col("seq") % 97 == 0)
+    log = queue.withColumns({"kind": F.lit("update"), "path": F.when(lost, "events/lost.md").otherwise(path), "name": F.lit(None).cast("string")})
+    log = Scratch(spark, "log").save(log)
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.lit(2), F.floor((F.col("ts") - first) * 3 / F.greatest(F.lit(1), F.lit(last - first)))).cast("int")
+    for i in range(3):
+        log.filter(part == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source).select(*CHANGES.fieldNames())
+    stream_apply(stream, store, checkpoint, coalesce=False, hold=True).awaitTermination()
+    notes, _ = read_store(spark, store)
+    return flat_tags(notes).select("path", "content", "tags", "mod_time")
+
+
 def sessions_at_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live_sessions(session_expiry(spark, sf_dir), NOW_MS, at_load=True)
 
@@ -203,6 +225,7 @@ QUERIES = {
     "store_round_trip": store_round_trip,
     "store_commits": store_commits,
     "stream_replay": stream_replay,
+    "stream_replay_holds": stream_replay_holds,
     "sessions_at_load": sessions_at_load,
     "newest_first_order": _folder_order("modified-desc"),
     "oldest_first_order": _folder_order("modified-asc"),
@@ -228,6 +251,14 @@ SELECT path, {corpus.sql_name("path")} AS name, array_to_string(tags, '|') AS ta
     "stream_replay": """SELECT 'events/note_' || user_id || '.md' AS path, event_type || ' ' || props AS content,
   event_type AS tags, epoch_us(ts) // 1000 AS mod_time FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) = 1""",
+    "stream_replay_holds": """WITH queue AS (
+  SELECT event_id AS seq, user_id, user_id % 10 AS client, 'note_' || user_id AS key, event_type || ' ' || props AS content,
+    event_type AS tags, epoch_us(ts) // 1000 AS ts FROM events),
+cut AS (SELECT *, least(2, floor((ts - min(ts) OVER ()) * 3 / greatest(1, max(ts) OVER () - min(ts) OVER ()))) AS part,
+    count(*) FILTER (starts_with(content, 'error') AND seq % 97 = 0) OVER (PARTITION BY client ORDER BY ts, key, seq) AS failed FROM queue),
+last AS (SELECT user_id, arg_max({'content': content, 'tags': tags, 'ts': ts}, (part, seq)) AS l FROM cut WHERE failed = 0 GROUP BY user_id)
+SELECT 'events/note_' || u.user_id || '.md' AS path, coalesce(l.content, '') AS content, coalesce(l.tags, '') AS tags,
+  coalesce(l.ts, 0) AS mod_time FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN last ON last.user_id = u.user_id""",
     "sessions_at_load": f"SELECT * FROM ({SQL_EXPIRY}) WHERE expires > {NOW_MS}",
     "newest_first_order": _sql_order("DESC"),
     "oldest_first_order": _sql_order("ASC"),

@@ -15,6 +15,7 @@ from marginalia.sources.store import (
     expire_snapshots,
     read_folder,
     read_note,
+    read_queue,
     read_rejects,
     read_store,
     write_buckets,
@@ -30,6 +31,7 @@ __all__ = [
     "ingest_gate",
     "read_folder",
     "read_note",
+    "read_queue",
     "read_rejects",
     "read_store",
     "refresh_notes",

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import dirname
-from marginalia.operators.changes import Apply, apply_changes
-from marginalia.schema import FOLDERS, NOTES
+from marginalia.operators.changes import Apply
+from marginalia.operators.queue import coalesce_changes, replay_prefix
+from marginalia.schema import CHANGES, FOLDERS, NOTES
 from marginalia.scratch import Scratch, scratch_scope
 from marginalia.sources.store import (
     CommitConflict,
@@ -16,6 +17,7 @@ from marginalia.sources.store import (
     layout_of,
     read_buckets,
     read_folders,
+    read_table,
     write_buckets,
     write_snapshot,
 )
@@ -29,13 +31,26 @@ def _buckets(paths: DataFrame, bucket: Column) -> set[int]:
     return {row.bucket for row in paths.select(bucket.alias("bucket")).distinct().collect()}
 
 
-def commit_changes(spark: SparkSession, store: str, changes: DataFrame, source: str = "", retries: int = RETRIES) -> int | None:
+def commit_changes(
+    spark: SparkSession,
+    store: str,
+    changes: DataFrame,
+    source: str = "",
+    retries: int = RETRIES,
+    hold: bool = False,
+    coalesce: bool = False,
+) -> int | None:
     """Apply a change log to a store and commit the outcome; returns its number, None if ``source`` is in already.
 
     Deciding reads the buckets of the folders that the log names, narrow columns only; after folder
     changes, the paths of all notes. Then the buckets with changed notes are written anew, and no other is read
     or written. If another writer has changed any of these buckets meanwhile the log is worked out again on
     top of that commit, ``retries`` times; disjoint commits don't stand in each other's way.
+
+    With ``hold``, a client's changes end at its first one, by ``(ts, key, seq)``, that can't be applied: that
+    one and all behind it stay in the store's queue (``read_queue``) and are tried again with the next
+    log; the rejects then have the ones that failed. ``coalesce`` keeps the last change of
+    each key, those in the queue included.
     """
     while True:
         commit = last_commit(spark, store)
@@ -43,21 +58,43 @@ def commit_changes(spark: SparkSession, store: str, changes: DataFrame, source:
             return None
         try:
             with scratch_scope(spark):
-                return _commit(spark, store, commit, changes, source)
+                return _commit(spark, store, commit, changes, source, hold, coalesce)
         except CommitConflict:
             if not retries:
                 raise
             retries -= 1
 
 
-def _commit(spark: SparkSession, store: str, commit: dict | None, changes: DataFrame, source: str) -> int:
+def _held_back(scratch: Scratch, changes: DataFrame, resolve) -> tuple[Apply, DataFrame, DataFrame]:
+    """``(log, queue, failed)``: what can be applied when every client stops at its first failure.
+
+    Leaving changes out can make others fail that built on them, so the rest is resolved again until nothing
+    fails; each round leaves out more, and one more is enough unless clients build on each other.
+    """
+    active, failed = changes, scratch.spark.createDataFrame([], "seq bigint, reason string")
+    while True:
+        log = resolve(active)
+        bad = scratch.save(log.all_rejects().select("seq", "reason"))
+        if bad.isEmpty():
+            break
+        results = active.join(bad.select("seq", F.lit(False).alias("ok")), "seq", "left")
+        results = results.withColumns({"ok": F.coalesce("ok", F.lit(True)), "_queue": F.coalesce("client_id", F.lit(""))})
+        marked = scratch.save(replay_prefix(results, "_queue").select(*CHANGES.fieldNames(), "status"))
+        failed = failed.unionByName(bad.join(marked.filter("status = 'failed'").select("seq"), "seq", "left_semi"))
+        active = scratch.save(marked.filter("status = 'applied'").drop("status"))
+    queue = changes.join(active.select("seq"), "seq", "left_anti")
+    return log, queue, changes.join(failed, "seq").select(*CHANGES.fieldNames(), "reason")
+
+
+def _commit(
+    spark: SparkSession, store: str, commit: dict | None, changes: DataFrame, source: str, hold: bool, coalesce: bool
+) -> int:
     scratch = Scratch(spark, "commit")
-    changes = scratch.save(changes)
-    if commit is None:
-        empty = spark.createDataFrame([], NOTES), spark.createDataFrame([], FOLDERS)
-        notes, folders, rejects = apply_changes(*empty, changes)
-        return write_snapshot(scratch.save(notes), folders, store, rejects, source=source, expected=0)
-    layout, read = layout_of(commit), set()
+    changes = changes.select(*CHANGES.fieldNames())
+    if hold:
+        changes = changes.unionByName(read_table(spark, store, commit, "queue", CHANGES))
+    changes = scratch.save(coalesce_changes(changes) if coalesce else changes)
+    layout, read = layout_of(commit) if commit else None, set()
 
     def near(plan: DataFrame) -> DataFrame:
         """The notes of the folders that a plan names: families never cross folders."""
@@ -67,9 +104,25 @@ def _commit(spark: SparkSession, store: str, commit: dict | None, changes: DataF
         read.update(found)
         return read_buckets(spark, store, commit, found)
 
-    whole = read_buckets(spark, store, commit)
-    log = Apply(whole, read_folders(spark, store, commit), changes, near=near, complete=True)
-    log.resolve()
+    if commit:
+        before = read_buckets(spark, store, commit), read_folders(spark, store, commit)
+    else:
+        before = spark.createDataFrame([], NOTES), spark.createDataFrame([], FOLDERS)
+
+    def resolve(some: DataFrame) -> Apply:
+        log = Apply(*before, some, near=near if commit else None, complete=True)
+        log.resolve()
+        return log
+
+    if hold:
+        log, queue, rejects = _held_back(scratch, changes, resolve)
+        tables = {"queue": queue}
+    else:
+        log, tables = resolve(changes), None
+        rejects = log.all_rejects()
+    if not commit:
+        notes = scratch.save(log.new_notes())
+        return write_snapshot(notes, log.new_folders(), store, rejects, source=source, expected=0, tables=tables)
     if log.moves:
         read.update(b for buckets in commit["notes"].values() for b in buckets)
     paths = scratch.save(log.changed_paths())
@@ -90,6 +143,7 @@ def _commit(spark: SparkSession, store: str, commit: dict | None, changes: DataF
         read=read | copied,
         new_folders=added,
         all_new_folders=None if log.folder_set is None else log.new_folders(),
-        rejects=log.all_rejects(),
+        rejects=rejects,
         source=source,
+        tables=tables,
     )

@@ -154,6 +154,17 @@ def read_note(spark: SparkSession, store: str, path: str) -> DataFrame:
     return read_buckets(spark, store, commit, [bucket]).filter(F.col("path") == path)
 
 
+def read_table(spark: SparkSession, store: str, commit: dict | None, name: str, schema: T.StructType) -> DataFrame:
+    """A table that commits carry besides notes and folders; empty if none has written it."""
+    holder = (commit or {}).get("tables", {}).get(name)
+    return spark.read.schema(schema).parquet(f"{store}/{holder}/{name}") if holder else spark.createDataFrame([], schema)
+
+
+def read_queue(spark: SparkSession, store: str) -> DataFrame:
+    """The changes that wait behind a failed one of their client, and those failed ones."""
+    return read_table(spark, store, last_commit(spark, store), "queue", CHANGES)
+
+
 def read_rejects(spark: SparkSession, store: str) -> DataFrame:
     """Rejected changes of every commit of the store, with the snapshot they belong to."""
     markers = [_marker(spark, store, number) for number in _numbers(spark, store)]
@@ -202,6 +213,7 @@ def write_snapshot(
     cluster: bool = True,
     expected: int | None = None,
     buckets: int | None = None,
+    tables: dict[str, DataFrame] | None = None,
 ) -> int:
     """Write a whole snapshot, then make it current in one step; returns its number.
 
@@ -223,8 +235,11 @@ def write_snapshot(
     all_folders(notes, folders).write.parquet(f"{store}/{name}/folders")
     if rejects is not None:
         rejects.write.parquet(f"{store}/{name}/rejects")
+    for key, table in (tables or {}).items():
+        table.write.parquet(f"{store}/{name}/{key}")
     body = {
         "snapshot": name,
+        "tables": {**(commit or {}).get("tables", {}), **dict.fromkeys(tables or {}, name)},
         "source": source,
         "sources": _with_source(commit, source),
         "rejects": rejects is not None,
@@ -248,6 +263,7 @@ def write_buckets(
     all_new_folders: DataFrame | None = None,
     rejects: DataFrame | None = None,
     source: str = "",
+    tables: dict[str, DataFrame] | None = None,
     before_mark: Callable[[], None] | None = None,
 ) -> int:
     """Commit ``notes`` as the whole content of the ``changed`` buckets on top of commit ``base``.
@@ -256,7 +272,8 @@ def write_buckets(
     changed ones. If others have committed since ``base``, the commit goes on top of theirs when
     they changed none of these buckets, and is a ``CommitConflict`` otherwise. ``new_folders`` are added to
     the folder table; ``all_new_folders`` replace it, and such a commit goes on top of no other.
-    ``before_mark`` is called when all is written.
+    ``tables`` are named tables that the commit carries; a commit that replaces one goes on top of no other that
+    has done so. ``before_mark`` is called when all is written.
     """
     changed, name = sorted(set(changed)), f"snapshot-{base['number'] + 1:012d}-{uuid.uuid4().hex}"
     written = _write_notes(notes, layout_of(base), f"{store}/{name}") if changed else []
@@ -273,6 +290,8 @@ def write_buckets(
         table.write.parquet(f"{store}/{name}/folders")
     if rejects is not None:
         rejects.write.parquet(f"{store}/{name}/rejects")
+    for key, carried in (tables or {}).items():
+        carried.write.parquet(f"{store}/{name}/{key}")
     if before_mark:
         before_mark()
     mine, last = {*changed, *read}, CommitConflict("")
@@ -281,10 +300,13 @@ def write_buckets(
         if committed(top, source):
             raise CommitConflict(f"{source} was committed by another writer")
         _check_disjoint(spark, store, base["number"], top["number"], mine, replaces)
+        if any(top.get("tables", {}).get(key) != base.get("tables", {}).get(key) for key in tables or {}):
+            raise CommitConflict("another writer has replaced a table that this commit replaces")
         others = [part for part in top["folders"] if part not in base["folders"]]
         kept = {d: [b for b in buckets if b not in set(changed)] for d, buckets in top["notes"].items()}
         body = {
             "snapshot": name,
+            "tables": {**top.get("tables", {}), **dict.fromkeys(tables or {}, name)},
             "source": source,
             "sources": _with_source(top, source),
             "rejects": rejects is not None,
@@ -324,7 +346,8 @@ def expire_snapshots(spark: SparkSession, store: str, keep: int = 2) -> int:
 
     def held(some: list[dict | None]) -> set[str]:
         notes = {f"{d}/notes/{_BUCKET}={b}" for m in some if m for d, buckets in m["notes"].items() for b in buckets}
-        return notes | {f"{part}/folders" for m in some if m for part in m["folders"]}
+        carried = {f"{d}/{key}" for m in some if m for key, d in m.get("tables", {}).items()}
+        return notes | carried | {f"{part}/folders" for m in some if m for part in m["folders"]}
 
     for part in sorted(held(bodies[:cut]) - held(bodies[cut:])):
         filesystem, path = _filesystem(spark, f"{store}/{part}")

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.operators.queue import coalesce_changes
 from marginalia.scratch import Scratch, scratch_scope
 from marginalia.sources.commits import commit_changes
 
 
-def apply_batch(batch: DataFrame, store: str, source: str, coalesce: bool = True) -> int | None:
+def apply_batch(
+    batch: DataFrame, store: str, source: str, coalesce: bool = True, hold: bool = False
+) -> int | None:
     """Commit one batch of changes; returns the snapshot number, or None if it is in already or empty.
 
     ``source`` is "stream#batch". Commits remember the last batch of every stream, so
     a batch that is delivered again after a failure is recognised and changes
-    nothing, also if another stream has committed in between.
+    nothing, also if another stream has committed in between. With ``hold``, changes behind
+    a client's first failed one wait in the store's queue (``commit_changes``).
     """
     spark = batch.sparkSession
     with scratch_scope(spark):
         changes = Scratch(spark, "batch").save(batch)
         if changes.isEmpty():
             return None
-        return commit_changes(spark, store, coalesce_changes(changes) if coalesce else changes, source)
+        return commit_changes(spark, store, changes, source, hold=hold, coalesce=coalesce)
 
 
 def stream_apply(
@@ -31,6 +33,7 @@ def stream_apply(
     checkpoint: str,
     trigger: dict | None = None,
     coalesce: bool = True,
+    hold: bool = False,
 ) -> StreamingQuery:
     """Start replaying ``changes`` into ``store``.
 
@@ -39,7 +42,7 @@ def stream_apply(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, store, f"{checkpoint}#{batch_id}", coalesce)
+        apply_batch(batch, store, f"{checkpoint}#{batch_id}", coalesce, hold)
 
     return (
         changes.writeStream.foreachBatch(handle)

@@ -18,6 +18,7 @@ from marginalia.sources import (
     expire_snapshots,
     read_folder,
     read_note,
+    read_queue,
     read_rejects,
     read_store,
     write_buckets,
@@ -209,3 +210,22 @@ def test_many_added_folder_tables_become_one(spark, tmp_path, monkeypatch):
         model.apply(log)
     holds(spark, store, model)
     assert len(last_commit(spark, store)["folders"]) == 2
+
+
+def test_a_failed_change_holds_back_its_client(spark, tmp_path):
+    store = made(spark, tmp_path, [("n.md", "0", [], 1), ("m.md", "0", [], 1)], buckets=4)
+
+    def batch(number, *log):
+        rows = [dict(change(seq, "update", path, content=f"{client}{seq}", tags=[]), client_id=client) for seq, client, path in log if path]
+        rows += [dict(change(seq, "create", name="missing", content="made"), client_id=client) for seq, client, path in log if not path]
+        commit_changes(spark, store, changes(spark, rows), source=f"s#{number}", hold=True)
+        waiting = {r.seq for r in read_queue(spark, store).collect()}
+        return waiting, {r.path: r.content for r in read_store(spark, store)[0].collect()}
+
+    assert batch(0, (1, "A", "n.md"), (2, "A", "missing.md"), (3, "A", "n.md"), (4, "B", "m.md"), (5, None, "gone.md")) == (
+        {2, 3, 5}, {"n.md": "A1", "m.md": "B4"})
+    # What A waits for comes, but only after what A said, so it is tried again with the next log.
+    assert batch(1, (6, "B", None), (7, "A", "n.md"), (8, None, "m.md"))[0] == {2, 3, 5, 7, 8}
+    waiting, notes = batch(2, (9, "A", "m.md"))
+    assert waiting == {5, 8} and notes == {"n.md": "A7", "m.md": "A9", "missing.md": "A2"}
+    assert sorted((r.seq, r.reason) for r in read_rejects(spark, store).collect()) == [(2, "not_found")] * 2 + [(5, "not_found")] * 3
