@@ -278,6 +278,7 @@ _SQL_SAFE = (
     "ELSE regexp_extract(bare, '[^/]*$') END, "
     "'[\\x00-\\x1F\\x7F/\\\\:*?\"<>|]', '_', 'g'), 200), ' .')"
 )
+# The reserved names at its end.
 SQL_SANITIZE = f"""WITH named AS (
   SELECT 'page ' || page_id AS origin, CASE WHEN page_id % 5 = 0
     THEN 'dir\\lpt' || page_id % 10 || '.x' ELSE url END AS raw_name FROM pages
