@@ -9,8 +9,12 @@ from marginalia.operators.listing import META, ordered
 from marginalia.operators.sorting import sort_once
 from marginalia.scratch import Scratch
 
-# Length of the pieces by which words that contain a piece of a query are found.
+# Greatest length of the grams by which words that contain a piece of a query are found.
 PIECE = 3
+# Letters of a word that are cut into grams at a time.
+STRETCH = 1 << 14
+# The columns by which a word is known.
+IDS = ["w1", "w2"]
 
 
 def body_contains(q: str) -> Column:
@@ -45,11 +49,11 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
 
     An anchor is something a matching note must have: the query's tag; else its rarest
     whole word, a word being what stands between two spaces; else each word of the
-    corpus that contains the query's longest piece, which is found through
-    three-letter pieces of the distinct words. Notes are told apart by anchors on
-    narrow rows, and only candidates are tested with the body. Any number of queries
-    takes the same few joins. A query of blanks only, or an empty one, has no anchor and
-    is tested on every note, which it mostly matches.
+    corpus that contains the query's longest piece. Those words are found through the
+    piece's rarest gram of up to three letters. Words are known by their 128-bit hashes, so joins carry no text, and a text without spaces, which is one
+    long word, costs its length. Only candidates are tested with the body. Any number of
+    queries takes the same few joins. A query of blanks only, or an empty one, has no anchor
+    and is tested on every note, which it mostly matches.
     """
     scratch = Scratch(notes.sparkSession, "search")
     wanted = scratch.save(
@@ -60,9 +64,7 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
         )
     )
     # ``sure``: the anchor is all that the query asks for, so that no body is needed.
-    tagged = wanted.filter("tag <> ''").select(
-        F.lit("tag").alias("kind"), F.col("tag").alias("anchor"), "query_id", (F.col("q") == "").alias("sure")
-    )
+    tagged = wanted.filter("tag <> ''").select(F.col("tag").alias("anchor"), "query_id", (F.col("q") == "").alias("sure"))
     worded = wanted.filter("tag = ''").withColumn("pieces", F.split("q", " "))
     last = F.size("pieces") - 1
     inner = F.array_remove(F.slice("pieces", 2, F.greatest(last - 1, F.lit(0))), "")
@@ -79,38 +81,26 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
         (F.col("at.place") > 0).alias("begins"),
     )
     free = worded.filter((F.size("inner") == 0) & (F.col("at.n") == 0))
-    free = free.select(F.lit("any").alias("kind"), F.lit("").alias("anchor"), "query_id", (F.col("last") == 0).alias("sure"))
-
-    vocabulary = scratch.save(
-        _words(notes).groupBy(F.col("anchor").alias("word")).agg(F.count("*").alias("notes"))
-    )
-    rarest = F.min_by("word", F.struct(F.coalesce("notes", F.lit(0)), "word")).alias("anchor")
-    whole = whole.join(vocabulary, "word", "left").groupBy("query_id").agg(rarest)
-    grams = vocabulary.select("word", F.explode(_pieces(F.col("word"))).alias("gram"))
-    holding = part.withColumn("gram", F.substring("piece", 1, PIECE)).join(grams, "gram").filter(
-        F.contains("word", F.col("piece"))
-        & (~F.col("ends") | F.endswith("word", F.col("piece")))
-        & (~F.col("begins") | F.startswith("word", F.col("piece")))
-    )
-    sure = (~F.col("ends") & ~F.col("begins")).alias("sure")
-    by_word = whole.select("anchor", "query_id", F.lit(False).alias("sure")).unionByName(
-        holding.select(F.col("word").alias("anchor"), "query_id", sure)
-    )
-    anchors = scratch.save(
-        tagged.unionByName(by_word.withColumn("kind", F.lit("word"))).unionByName(free)
-    )
+    free = free.select(F.lit("").alias("anchor"), "query_id", (F.col("last") == 0).alias("sure"))
+
+    words = _words(notes)  # parted twice, which costs less than to write all words and read them
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("notes")).select(*_ids("word"), "word", "notes")
+    vocabulary = scratch.save(vocabulary)
+    counted = whole.select("query_id", *_ids("word")).join(vocabulary.select(*IDS, "notes"), IDS, "left")
+    rarest = counted.groupBy("query_id").agg(F.min(F.struct(F.coalesce("notes", F.lit(0)).alias("notes"), *IDS)).alias("at"))
+    by_word = rarest.select("at.w1", "at.w2", "query_id", F.lit(False).alias("sure"))
+    by_piece = _holding(scratch, part, vocabulary)
+    anchors = scratch.save(by_word.unionByName(by_piece))
     lowered = F.array_distinct(F.transform("tags", lambda t: F.lower(t)))
-    kinds = {
-        "word": _words(notes),
-        "tag": notes.select("path", F.explode(lowered).alias("anchor")),
-        "any": notes.select("path", F.lit("").alias("anchor")),
-    }
-    hits = None
-    for kind, has in kinds.items():
-        of_kind = anchors.filter(F.col("kind") == kind).drop("kind")
-        found = has.join(of_kind, "anchor").select("path", "query_id", "sure")
-        hits = found if hits is None else hits.unionByName(found)
-    hits = scratch.save(hits.distinct())
+    found = [
+        words.select("path", *_ids("word")).join(anchors, IDS),
+        notes.select("path", F.explode(lowered).alias("anchor")).join(tagged, "anchor"),
+        notes.select("path", F.lit("").alias("anchor")).join(free, "anchor"),
+    ]
+    hits = found[0].select("path", "query_id", "sure").distinct()
+    for others in found[1:]:
+        hits = hits.unionByName(others.select("path", "query_id", "sure"))
+    hits = scratch.save(hits)
     certain = hits.filter("sure").join(notes.select(*META), "path")
     # Each body is put into lower case once, before it meets its candidates.
     bodies = notes.select(*META, F.lower("content").alias("body"))
@@ -122,18 +112,52 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
     return sort_once(out, "query_id", F.desc("mod_time"), "path")
 
 
+def _holding(scratch: Scratch, part: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(w1, w2, query_id, sure)``: the words that hold each query's piece where it asks for it."""
+    asked = scratch.save(part)
+    lengths = [row.n for row in asked.select(F.least(F.length("piece"), F.lit(PIECE)).alias("n")).distinct().collect()]
+    piece = F.col("piece")
+    sought = asked.select(
+        "query_id", F.explode(F.when(F.length(piece) > PIECE, _grams(piece, PIECE)).otherwise(F.array(piece))).alias("gram")
+    )
+    sought = scratch.save(sought)
+    # Long words are cut into stretches that overlap by less than a gram, to bound what is held at once.
+    starts = F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)), F.lit(STRETCH))
+    stretches = vocabulary.select(*IDS, "word", F.explode(starts).alias("start"))
+    stretch = F.substr("word", F.col("start"), F.lit(STRETCH + PIECE - 1))
+    cuts = F.concat(F.array().cast("array<string>"), *[_grams(stretch, n) for n in sorted(lengths)])
+    grams = stretches.select(*IDS, F.explode(cuts).alias("gram"))
+    held = scratch.save(grams.join(sought.select("gram").distinct(), "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("words"))
+    fewest = F.min(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram"))
+    rarest = sought.join(counts, "gram", "left").groupBy("query_id").agg(fewest["gram"].alias("gram"))
+    candidates = held.join(rarest, "gram").select("query_id", *IDS).distinct()
+    fits = (
+        F.contains("word", F.col("piece"))
+        & (~F.col("ends") | F.endswith("word", F.col("piece")))
+        & (~F.col("begins") | F.startswith("word", F.col("piece")))
+    )
+    tested = candidates.join(asked, "query_id").join(vocabulary.select(*IDS, "word"), IDS).filter(fits)
+    return tested.select(*IDS, "query_id", (~F.col("ends") & ~F.col("begins")).alias("sure"))
+
+
+def _ids(word: str) -> list[Column]:
+    """The 128 bits by which a word is known."""
+    return [F.xxhash64(word).alias("w1"), F.xxhash64(F.lit(1), word).alias("w2")]
+
+
 def _words(notes: DataFrame) -> DataFrame:
-    """``(path, anchor)``: the distinct lower-case words of each note, as spaces part them."""
+    """``(path, word)``: the distinct lower-case words of each note, as spaces part them."""
     words = F.array_distinct(F.split(F.lower("content"), " "))
-    return notes.select("path", F.explode(words).alias("anchor"))
+    return notes.select("path", F.explode(words).alias("word"))
 
 
-def _pieces(word: Column) -> Column:
-    """All distinct pieces of a word of up to PIECE letters."""
-    starts = F.sequence(F.lit(1), F.length(word))
-    each = [F.transform(starts, _cut(word, n)) for n in range(1, PIECE + 1)]
-    return F.when(F.length(word) > 0, F.array_distinct(F.concat(*each))).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, n: int) -> Column:
+    """All distinct pieces of ``n`` letters of ``text``; null stands for none."""
 
+    def cut(letters: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(letters) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
 
-def _cut(word: Column, n: int):
-    return lambda i: F.substr(word, i, F.lit(n))
+    # An array of one binds the letters, which are then parted once and not for every piece.
+    return F.array_distinct(F.transform(F.array(F.split(text, "")), cut)[0])
