@@ -16,7 +16,7 @@ from marginalia.scratch import Scratch
 from marginalia.operators.changes import apply_changes
 from marginalia.schema import FOLDERS, notes_from_parts
 from marginalia.sources.ingest import MAX_BYTES, as_creates, ingest_gate
-from marginalia.streaming import stream_coalesce, stream_sessions
+from marginalia.streaming import stream_coalesce, stream_sessions, stream_sessions_logout
 
 BATCHES = 4
 TIE_MS = 6 * 60 * 60 * 1000
@@ -135,6 +135,11 @@ spans AS (SELECT token, min(ts) AS start, max(ts) AS last, count(*) AS n_events,
 
 
 _SQL_SPANS = f"token, start, last, last + {TTL_MS} AS expires, n_events"
+SQL_LOGOUT = f"""WITH {_SQL_ACTIVITY}, ends AS (
+  SELECT token, min(ts) AS ended FROM activity WHERE leaves GROUP BY token),
+valid AS (SELECT a.* FROM activity a LEFT JOIN ends e ON a.token = e.token WHERE e.ended IS NULL OR a.ts <= e.ended),
+{_sql_sessions("valid")}
+SELECT token, start, last, CASE WHEN out THEN last ELSE last + {TTL_MS} END AS expires, n_events FROM spans"""
 SQL_EXPIRY = (
     f"WITH {_SQL_ACTIVITY} SELECT token, max(ts) + {TTL_MS} AS expires FROM activity GROUP BY token"
 )
@@ -200,6 +205,24 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(closed.schema).parquet(f"{scratch.root}/out")
 
 
+def streamed_sessions_logout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with logouts, as the events drop in by time: a run of the stream for each drop, from where the last one ended."""
+    scratch = Scratch(spark, "stream")
+    source, out = f"{scratch.root}/in", f"{scratch.root}/out"
+    events = activity(spark, sf_dir)
+    first, last = events.agg(F.coalesce(F.min("ts"), F.lit(0)), F.coalesce(F.max("ts"), F.lit(0))).first()
+    drop = F.floor((F.col("ts") - first) * BATCHES / (last - first + 1))
+    events = scratch.save(events.withColumn("drop", drop))
+    for drop in range(BATCHES):
+        events.filter(F.col("drop") == drop).drop("drop").write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(events.drop("drop").schema).parquet(source)
+        closed = stream_sessions_logout(arriving, F.col("leaves"), ttl_ms=TTL_MS)
+        closed.writeStream.outputMode("append").format("parquet").option(
+            "checkpointLocation", f"{scratch.root}/checkpoint"
+        ).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(out)
+
+
 # ---- incoming files ----
 
 TARGET = "in/box"
@@ -300,6 +323,7 @@ QUERIES = {
     "streamed_coalesce": streamed_coalesce,
     "streamed_pending": streamed_pending,
     "streamed_sessions": streamed_sessions,
+    "streamed_sessions_logout": streamed_sessions_logout,
 }
 
 ORACLES = {
@@ -322,11 +346,7 @@ FROM old FULL JOIN new ON old.path = new.path""",
     "incremental_files": f"""WITH {_SQL_SNAPSHOTS} SELECT path, mod_time, size FROM new
 WHERE (path, mod_time, size) NOT IN (SELECT (path, mod_time, size) FROM old)""",
     "sessions_ttl": f"WITH {_SQL_ACTIVITY}, {_sql_sessions('activity')} SELECT {_SQL_SPANS} FROM spans",
-    "sessions_logout": f"""WITH {_SQL_ACTIVITY}, ends AS (
-  SELECT token, min(ts) AS ended FROM activity WHERE leaves GROUP BY token),
-valid AS (SELECT a.* FROM activity a LEFT JOIN ends e ON a.token = e.token WHERE e.ended IS NULL OR a.ts <= e.ended),
-{_sql_sessions("valid")}
-SELECT token, start, last, CASE WHEN out THEN last ELSE last + {TTL_MS} END AS expires, n_events FROM spans""",
+    "sessions_logout": SQL_LOGOUT,
     "session_expiry": SQL_EXPIRY,
     "live_sessions": f"SELECT * FROM ({SQL_EXPIRY}) WHERE expires >= {NOW_MS}",
     "ingest_accepted": f"""WITH {_SQL_INCOMING}
@@ -346,4 +366,6 @@ UNION ALL SELECT '{TARGET}/' || CASE WHEN direct THEN '' WHEN r = 1 THEN stamp |
     "streamed_pending": f"SELECT * FROM ({_SQL_COALESCED}) WHERE seq % 3 <> 0",
     "streamed_sessions": f"""WITH {_SQL_ACTIVITY}, {_sql_sessions("activity")}
 SELECT {_SQL_SPANS} FROM spans WHERE last + {TTL_MS} <= (SELECT max(ts) - 3600000 FROM activity)""",
+    "streamed_sessions_logout": f"""SELECT * FROM ({SQL_LOGOUT})
+WHERE expires <= (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""",
 }

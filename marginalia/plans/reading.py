@@ -69,6 +69,22 @@ def batch_search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch_search(notes_of(spark, sf_dir), queries).select("query_id", "path", "name", "mod_time")
 
 
+def batch_search_unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of passages in texts that have lost their spaces, as in scripts without them or in encoded data."""
+    notes = notes_of(spark, sf_dir).withColumn("content", F.replace("content", F.lit(" "), F.lit("")))
+    passage = F.replace("text", F.lit(" "), F.lit(""))
+    length = F.when(F.col("item_id") % 5 == 0, 2).otherwise(F.col("item_id") % 7 + 6).cast("int")
+    queries = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.substr(passage, F.lit(3), length).alias("q"), F.lit("").alias("tag")
+    )
+    return search.batch_search(notes, queries).select("query_id", "path", "name", "mod_time")
+
+
+SQL_BATCH_SEARCH_UNSPACED = f"""WITH {corpus.NOTES}, wanted AS (
+  SELECT item_id AS query_id,
+    substr(replace(text, ' ', ''), 3, CASE WHEN item_id % 5 = 0 THEN 2 ELSE item_id % 7 + 6 END) AS q FROM benchmark)
+SELECT query_id, path, name, mod_time FROM wanted JOIN notes ON contains(replace(lower(content), ' ', ''), lower(q))"""
+
 SQL_BATCH_SEARCH_SHORT = f"""WITH {corpus.NOTES}, wanted AS (
   SELECT item_id * 3 AS query_id, CASE WHEN item_id % 2 = 0 THEN split_part(text, ' ', 2)
          ELSE substr(split_part(text, ' ', 2), 2, 3) END AS q, '' AS tag FROM benchmark
@@ -374,6 +390,7 @@ QUERIES = {
     "search_all": _search(),
     "batch_search": batch_search,
     "batch_search_short": batch_search_short,
+    "batch_search_unspaced": batch_search_unspaced,
     "list_folder": lambda spark, sf: flat_tags(listing.list_notes(notes_of(spark, sf), FOLDER)),
     "list_root_oldest_first": lambda spark, sf: flat_tags(
         listing.list_notes(notes_of(spark, sf), "", "modified-asc")
@@ -421,6 +438,7 @@ ORACLES = {
     "search_all": _sql_notes("true"),
     "batch_search": SQL_BATCH_SEARCH,
     "batch_search_short": SQL_BATCH_SEARCH_SHORT,
+    "batch_search_unspaced": SQL_BATCH_SEARCH_UNSPACED,
     "list_folder": _sql_notes(f"folder = '{FOLDER}'"),
     "list_root_oldest_first": _sql_notes("folder = ''"),
     "note_meta": _sql_notes("true"),

@@ -2,6 +2,6 @@
 
 from marginalia.streaming.queue import stream_coalesce
 from marginalia.streaming.replay import apply_batch, stream_apply
-from marginalia.streaming.sessions import stream_sessions
+from marginalia.streaming.sessions import stream_sessions, stream_sessions_logout
 
-__all__ = ["apply_batch", "stream_apply", "stream_coalesce", "stream_sessions"]
+__all__ = ["apply_batch", "stream_apply", "stream_coalesce", "stream_sessions", "stream_sessions_logout"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from marginalia.operators.sessions import SESSION_TTL_MS
 
@@ -35,3 +39,79 @@ def stream_sessions(
             "token", "start", "last", (F.col("last") + ttl_ms).alias("expires"), "n_events"
         )
     )
+
+
+SESSION = "token string, start bigint, last bigint, expires bigint, n_events bigint"
+# The open session (nulls: none), whether the token is logged out, and activity the watermark has not passed.
+STATE = "start bigint, last bigint, n bigint, ended boolean, at array<bigint>, counts array<bigint>, outs array<bigint>"
+
+
+def stream_sessions_logout(
+    events: DataFrame,
+    logout: Column,
+    token: str = "token",
+    ts: str = "ts",
+    ttl_ms: int = SESSION_TTL_MS,
+    watermark: str = "1 hour",
+) -> DataFrame:
+    """Closed sessions, as ``sessions`` gives them with ``logout``; write in ``append`` mode.
+
+    A session comes out once the watermark has passed its expiry, or the logout that ends it. What a
+    token does after its first logout is refused, also when it arrived before it: activity waits in
+    the state until the watermark has passed it and is then taken in order of time. A state holds the open
+    session and one entry for each distinct time that waits; of a token that logged out only that it
+    did, for good. Equal times of a busy token are counted together before the shuffle.
+    Events without token or time take no part, a null ``logout`` is none.
+    """
+    activity = events.select(
+        F.col(token).cast("string").alias("token"),
+        F.col(ts).cast("bigint").alias("ts"),
+        F.coalesce(logout, F.lit(False)).cast("bigint").alias("out"),
+    ).dropna()
+    counted = activity.mapInPandas(_counted, "token string, ts bigint, out bigint, n bigint")
+    timed = counted.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", watermark)
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n, ended, *lists = state.get if state.exists else (None, None, None, False, [], [], [])
+        waiting = {at: (count, out) for at, count, out in zip(*lists, strict=True)}
+        for part in parts:
+            for at, count, out in zip(part["ts"].tolist(), part["n"].tolist(), part["out"].tolist(), strict=True):
+                before = waiting.get(at, (0, 0))
+                waiting[at] = (before[0] + count, max(before[1], out))
+        passed = state.getCurrentWatermarkMs()
+        closed = []
+        for at in sorted(at for at in waiting if at <= passed):
+            count, out = waiting.pop(at)
+            if ended:
+                continue
+            if start is not None and at - last > ttl_ms:
+                closed.append((key[0], start, last, last + ttl_ms, n))
+                start = None
+            start, n = (at, count) if start is None else (start, n + count)
+            last = at
+            if out:
+                closed.append((key[0], start, last, at, n))
+                start, ended = None, True
+        if start is not None and last + ttl_ms <= passed:
+            closed.append((key[0], start, last, last + ttl_ms, n))
+            start = None
+        if start is None:
+            last = n = None
+        if ended:
+            waiting.clear()
+        if start is None and not ended and not waiting:
+            state.remove()
+        else:
+            ats = sorted(waiting)
+            state.update((start, last, n, ended, ats, [waiting[at][0] for at in ats], [waiting[at][1] for at in ats]))
+            due = ats[:1] + ([last + ttl_ms] if start is not None else [])
+            if due:
+                state.setTimeoutTimestamp(max(min(due) - 1, passed))  # comes up once the watermark is beyond it
+        yield pd.DataFrame(closed, columns=["token", "start", "last", "expires", "n_events"])
+
+    return timed.groupBy("token").applyInPandasWithState(follow, SESSION, STATE, "append", "EventTimeTimeout")
+
+
+def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield part.groupby(["token", "ts", "out"], as_index=False).size().rename(columns={"size": "n"})
