@@ -20,7 +20,7 @@ from marginalia.operators import (
 from marginalia.schema import CHANGES
 from marginalia.sources import expire_snapshots, read_rejects, read_store
 from marginalia.sources.store import CommitConflict, _mark, last_commit
-from marginalia.streaming import apply_batch, stream_apply, stream_coalesce, stream_sessions
+from marginalia.streaming import apply_batch, stream_apply, stream_coalesce, stream_sessions, stream_sessions_logout
 from test_changes import change
 
 COLUMNS = CHANGES.fieldNames()
@@ -125,6 +125,29 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select("token", "start", "last", "expires", "n_events").collect())) == want
 
 
+def test_streamed_logout_equals_batch(spark, tmp_path):
+    """Out of order over several batches; a logout that arrives late also refuses what came before it."""
+    rng = random.Random(11)
+    rows = [(f"t{rng.randint(0, 9)}", rng.randint(0, 3_000_000), rng.random() < 0.04) for _ in range(300)]
+    rows += [("t1", 5, None), (None, 7, True), ("t2", None, True), ("hot", 9, False)] + [("hot", 9, False)] * 50
+    rng.shuffle(rows)
+    schema, ttl = "token string, ts bigint, leaves boolean", 200_000
+    source = str(tmp_path / "in")
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        closed = stream_sessions_logout(stream, F.col("leaves"), ttl_ms=ttl)
+        if part == 2:
+            spark.createDataFrame([("z", 10**9, False)], schema).write.mode("append").parquet(source)
+        closed.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp")
+        ).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(closed.schema).parquet(str(tmp_path / "out"))
+    batch = sessions(spark.createDataFrame(rows, schema).dropna(subset=["token", "ts"]), ttl_ms=ttl, logout=F.col("leaves"))
+    columns = ["token", "start", "last", "expires", "n_events"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+
+
 def test_streamed_queue_equals_batch(spark, tmp_path):
     log = random_queue(random.Random(3), 60)
     source = str(tmp_path / "in")

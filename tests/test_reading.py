@@ -107,6 +107,19 @@ def test_batch_search_is_brute_force(spark):
     assert batch_search(table, asked.filter("false")).isEmpty()
 
 
+def test_batch_search_in_text_without_spaces(spark):
+    """One long word costs its length: its grams are cut in stretches, and a piece across two of them is found."""
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefgh é文".replace(" ", "")) for _ in range(200_000))
+    across = body[(1 << 14) - 3 : (1 << 14) + 4]
+    table = notes(spark, ("long.md", body, [], 1), ("short.md", "a " + body[70_000:70_012], [], 2), ("none.md", "", [], 3))
+    asked = [(1, across, ""), (2, body[70_002:70_011], ""), (3, body[-4:], ""), (4, "zz", ""), (5, body[-1], ""), (6, "文é", "")]
+    bodies = {"long.md": body, "short.md": "a " + body[70_000:70_012], "none.md": ""}
+    want = sorted((q, path) for q, text, _ in asked for path, content in bodies.items() if text in content)
+    got = batch_search(table, spark.createDataFrame(asked, QUERIES)).collect()
+    assert sorted((r.query_id, r.path) for r in got) == want
+
+
 def test_folder_tree(spark):
     table = notes(
         spark,
