@@ -77,14 +77,11 @@ def top_inner_products(
             F.min("vec_id").alias("first"),
             F.sort_array(F.collect_list("vec_id")).alias("members"),
             F.min_by("vector", "vec_id").alias("vector"),
-        ).withColumnRenamed("k1", "class")
-    )
-    asked = tables.save(
-        queries.where(sound)
-        .select(F.col("vec_id").alias("query_id"), *key)
-        .distinct()
-        .select("query_id", F.col("k1").alias("query"))
+        ).withColumn("class", F.monotonically_increasing_id())
     )
+    # Classes are told apart by 128 bits and numbered once, in the written table.
+    named = queries.where(sound).select(F.col("vec_id").alias("query_id"), *key).distinct()
+    asked = tables.save(named.join(classes.select("k1", "k2", F.col("class").alias("query")), ["k1", "k2"]).select("query_id", "query"))
     sizes = classes.select("class", "vector", F.size("vector").alias("n"))
 
     # The grid: for each component its least value and the width of a cell.

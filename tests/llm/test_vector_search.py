@@ -45,3 +45,23 @@ def test_odd_rows(spark):
 def test_scaled(spark, value):
     df = spark.createDataFrame([([0.5, -0.01, 1.0],), ([0.5, value],), (None,), ([],)], "e array<float>")
     assert [r[0] for r in df.select(scaled(F.col("e"))).collect()] == [[32, -1, 64], None, None, []]
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = [(i, [i % 7, 3 - i % 5, i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    clashing = ["class", "k1", "k2", "n", "qb", "cb", "cells", "nth", "query", "query_id", "score", "first", "members", "lower", "upper"]
+    more = df.select("*", *[F.lit("x").alias(name) for name in clashing])
+    got = top_inner_products(more, more.where("vec_id % 20 = 0"), 5).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5)
+
+
+def test_vectors_that_share_64_bits_are_told_apart(spark, monkeypatch):
+    rows = [(i, [i % 11, i % 13]) for i in range(80)]
+    plain = F.xxhash64
+
+    def clashing(*columns):
+        return F.lit(7).cast("long") if len(columns) == 1 and str(columns[0]) == "vector" else plain(*columns)
+
+    monkeypatch.setattr(vector_search.F, "xxhash64", clashing)
+    assert found(spark, rows, 5) == brute(rows, 5)
