@@ -16,7 +16,7 @@ from marginalia.scratch import Scratch
 from marginalia.operators.changes import apply_changes
 from marginalia.schema import FOLDERS, notes_from_parts
 from marginalia.sources.ingest import MAX_BYTES, as_creates, ingest_gate
-from marginalia.streaming import stream_coalesce, stream_sessions, stream_sessions_logout
+from marginalia.streaming import stream_coalesce, stream_pending, stream_sessions, stream_sessions_logout
 
 BATCHES = 4
 TIE_MS = 6 * 60 * 60 * 1000
@@ -166,6 +166,14 @@ def streamed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, parts, pending_only=True)
 
 
+def streamed_pending_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the queue whose state forgets applied entries after a while."""
+    log = event_queue(spark, sf_dir)
+    reports = log.filter(F.col("seq") % 3 == 0)
+    parts = _parts(log).unionByName(_parts(reports).withColumn("applied", F.lit(True)))
+    return _streamed(spark, sf_dir, parts, pending_only=True, follow=stream_pending)
+
+
 def _parts(log: DataFrame) -> DataFrame:
     """The log with ``part``: a file of its own for each, so that later entries may well come first."""
     part = F.pmod(F.xxhash64("seq"), F.lit(BATCHES))
@@ -173,7 +181,7 @@ def _parts(log: DataFrame) -> DataFrame:
     return log.select(*columns, F.lit(False).alias("applied"), part.alias("part"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, parts: DataFrame, pending_only: bool) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, parts: DataFrame, pending_only: bool, follow=stream_coalesce) -> DataFrame:
     scratch = Scratch(spark, "stream")
     source = f"{scratch.root}/in"
     parts.repartition(BATCHES, "part").drop("part").write.parquet(source)
@@ -182,7 +190,7 @@ def _streamed(spark: SparkSession, sf_dir: str, parts: DataFrame, pending_only:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch.root}/out/batch={batch_id}")
 
-    stream_coalesce(changes).writeStream.outputMode("update").foreachBatch(keep).option(
+    follow(changes).writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", f"{scratch.root}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
     written = spark.read.parquet(f"{scratch.root}/out")
@@ -322,6 +330,7 @@ QUERIES = {
     "ingest_committed": ingest_committed,
     "streamed_coalesce": streamed_coalesce,
     "streamed_pending": streamed_pending,
+    "streamed_pending_ends": streamed_pending_ends,
     "streamed_sessions": streamed_sessions,
     "streamed_sessions_logout": streamed_sessions_logout,
 }
@@ -364,6 +373,7 @@ UNION ALL SELECT '{TARGET}/' || CASE WHEN direct THEN '' WHEN r = 1 THEN stamp |
     "ingest_rejected": f"WITH {_SQL_INCOMING} SELECT path, length, reason FROM checked WHERE reason IS NOT NULL",
     "streamed_coalesce": _SQL_COALESCED,
     "streamed_pending": f"SELECT * FROM ({_SQL_COALESCED}) WHERE seq % 3 <> 0",
+    "streamed_pending_ends": f"SELECT * FROM ({_SQL_COALESCED}) WHERE seq % 3 <> 0",
     "streamed_sessions": f"""WITH {_SQL_ACTIVITY}, {_sql_sessions("activity")}
 SELECT {_SQL_SPANS} FROM spans WHERE last + {TTL_MS} <= (SELECT max(ts) - 3600000 FROM activity)""",
     "streamed_sessions_logout": f"""SELECT * FROM ({SQL_LOGOUT})

@@ -16,15 +16,17 @@ from marginalia.schema import CHANGES, notes_from_parts
 from marginalia.scratch import Scratch
 from marginalia.sources import (
     commit_changes,
+    read_rejects,
     read_store,
     refresh_notes,
     scan_changed,
     scan_folders,
     scan_notes,
+    write_files,
     write_notes,
     write_snapshot,
 )
-from marginalia.streaming import apply_batch, stream_apply
+from marginalia.streaming import apply_batch, ingest_batch, stream_apply, stream_ingest
 
 FOLDER = "src1/en"
 
@@ -152,6 +154,54 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tags(notes).select("path", "content", "tags", "mod_time")
 
 
+DROPS = 3
+INBOX = "in/box"
+
+
+def dropped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as files, in drops: some named as earlier ones, some that the gate refuses."""
+    doc, page = F.col("doc_id"), F.col("page_id")
+    docs = table(spark, sf_dir, "documents")
+    header = F.when(doc % 4 == 0, "").otherwise(F.concat(F.lit("---\ntags: ["), "lang", F.lit("]\n---\n")))
+    files = docs.select(
+        (doc % DROPS).cast("int").alias("drop"),
+        F.concat("source", F.lit("/d"), doc.cast("string"), F.when(doc % 2 == 0, ".txt").otherwise(".md")).alias("path"),
+        F.concat(header, "text", F.lit("\n"), doc.cast("string")).cast("binary").alias("content"),
+    )
+    again = files.filter((F.col("drop") == 0) & F.endswith("path", F.lit("5.md"))).select(
+        F.lit(DROPS - 1).alias("drop"), F.concat(F.lit("again/"), "path").alias("path"), "content"
+    )
+    ending = F.when(page % 3 == 1, F.unhex(F.lit("00"))).when(page % 3 == 2, F.unhex(F.lit("FF41"))).otherwise(F.unhex(F.lit("")))
+    pages = table(spark, sf_dir, "pages").select(
+        (page % DROPS).cast("int").alias("drop"),
+        F.concat(F.lit("web/p"), page.cast("string"), F.when(page % 3 == 0, ".html").otherwise(".md")).alias("path"),
+        F.concat(F.col("html").cast("binary"), ending).alias("content"),
+    )
+    return files.unionByName(again).unionByName(pages)
+
+
+def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and refusals after several drops of files, the first of which is delivered again.
+
+    A name that was taken shows as ``T_`` and the name, as its time stamp is that of the file.
+    """
+    scratch = Scratch(spark, "drops")
+    store, inbox, checkpoint = (f"{scratch.root}/{name}" for name in ("store", "in", "checkpoint"))
+    files = scratch.save(dropped_files(spark, sf_dir))
+    for drop in range(DROPS):
+        write_files(files.filter(F.col("drop") == drop), f"{inbox}/{drop}")
+        stream_ingest(spark, inbox, store, checkpoint, INBOX).awaitTermination()
+    first = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{inbox}/0")
+    ingest_batch(first, store, f"{checkpoint}#0", INBOX)
+    notes, _ = read_store(spark, store)
+    path = F.regexp_replace("path", r"\d{4}-\d\d-\d\d_\d{6}(-\d+)?_", "T_")
+    kept = flat_tags(notes).select(path.alias("path"), "tags", F.md5("content").alias("digest"), F.lit("").alias("reason"))
+    refused = read_rejects(spark, store).select(
+        F.regexp_extract("path", r"/in/\d+/(.*)$", 1).alias("path"), F.lit("").alias("tags"), F.lit("").alias("digest"), "reason"
+    )
+    return kept.unionByName(refused)
+
+
 def stream_replay_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of one note a user, streamed in three batches by time; a client's first failed one holds back the rest."""
     scratch = Scratch(spark, "holds")
@@ -226,6 +276,7 @@ QUERIES = {
     "store_commits": store_commits,
     "stream_replay": stream_replay,
     "stream_replay_holds": stream_replay_holds,
+    "streamed_ingest": streamed_ingest,
     "sessions_at_load": sessions_at_load,
     "newest_first_order": _folder_order("modified-desc"),
     "oldest_first_order": _folder_order("modified-asc"),
@@ -259,6 +310,12 @@ cut AS (SELECT *, least(2, floor((ts - min(ts) OVER ()) * 3 / greatest(1, max(ts
 last AS (SELECT user_id, arg_max({'content': content, 'tags': tags, 'ts': ts}, (part, seq)) AS l FROM cut WHERE failed = 0 GROUP BY user_id)
 SELECT 'events/note_' || u.user_id || '.md' AS path, coalesce(l.content, '') AS content, coalesce(l.tags, '') AS tags,
   coalesce(l.ts, 0) AS mod_time FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN last ON last.user_id = u.user_id""",
+    "streamed_ingest": f"""WITH files AS (SELECT doc_id, 'd' || doc_id AS name, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS tags,
+    md5(text || chr(10) || doc_id) AS digest FROM documents)
+SELECT '{INBOX}/' || name || '.md' AS path, tags, digest, '' AS reason FROM files
+UNION ALL SELECT '{INBOX}/T_' || name || '.md', tags, digest, '' FROM files WHERE doc_id % {DROPS} = 0 AND doc_id % 10 = 5
+UNION ALL SELECT 'web/p' || page_id || CASE WHEN page_id % 3 = 0 THEN '.html' ELSE '.md' END, '', '',
+  CASE page_id % 3 WHEN 0 THEN 'extension' WHEN 1 THEN 'nul_byte' ELSE 'not_utf8' END FROM pages""",
     "sessions_at_load": f"SELECT * FROM ({SQL_EXPIRY}) WHERE expires > {NOW_MS}",
     "newest_first_order": _sql_order("DESC"),
     "oldest_first_order": _sql_order("ASC"),

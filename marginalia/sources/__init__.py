@@ -7,6 +7,7 @@ from marginalia.sources.files import (
     scan_changed,
     scan_folders,
     scan_notes,
+    write_files,
     write_notes,
 )
 from marginalia.sources.ingest import as_creates, classify, ingest_gate
@@ -40,6 +41,7 @@ __all__ = [
     "scan_folders",
     "scan_notes",
     "write_buckets",
+    "write_files",
     "write_notes",
     "write_snapshot",
 ]

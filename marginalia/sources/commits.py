@@ -39,6 +39,7 @@ def commit_changes(
     retries: int = RETRIES,
     hold: bool = False,
     coalesce: bool = False,
+    refused: DataFrame | None = None,
 ) -> int | None:
     """Apply a change log to a store and commit the outcome; returns its number, None if ``source`` is in already.
 
@@ -50,7 +51,8 @@ def commit_changes(
     With ``hold``, a client's changes end at its first one, by ``(ts, key, seq)``, that can't be applied: that
     one and all behind it stay in the store's queue (``read_queue``) and are tried again with the next
     log; the rejects then have the ones that failed. ``coalesce`` keeps the last change of
-    each key, those in the queue included.
+    each key, those in the queue included. ``refused`` are changes, with a ``reason``, that were turned away
+    before; the commit only keeps them among its rejects.
     """
     while True:
         commit = last_commit(spark, store)
@@ -58,7 +60,7 @@ def commit_changes(
             return None
         try:
             with scratch_scope(spark):
-                return _commit(spark, store, commit, changes, source, hold, coalesce)
+                return _commit(spark, store, commit, changes, source, hold, coalesce, refused)
         except CommitConflict:
             if not retries:
                 raise
@@ -87,7 +89,14 @@ def _held_back(scratch: Scratch, changes: DataFrame, resolve) -> tuple[Apply, Da
 
 
 def _commit(
-    spark: SparkSession, store: str, commit: dict | None, changes: DataFrame, source: str, hold: bool, coalesce: bool
+    spark: SparkSession,
+    store: str,
+    commit: dict | None,
+    changes: DataFrame,
+    source: str,
+    hold: bool,
+    coalesce: bool,
+    refused: DataFrame | None,
 ) -> int:
     scratch = Scratch(spark, "commit")
     changes = changes.select(*CHANGES.fieldNames())
@@ -120,6 +129,8 @@ def _commit(
     else:
         log, tables = resolve(changes), None
         rejects = log.all_rejects()
+    if refused is not None:
+        rejects = rejects.select(*CHANGES.fieldNames(), "reason").unionByName(refused)
     if not commit:
         notes = scratch.save(log.new_notes())
         return write_snapshot(notes, log.new_folders(), store, rejects, source=source, expected=0, tables=tables)

@@ -140,7 +140,13 @@ def write_notes(notes: DataFrame, root: str, front_matter: bool = True) -> int:
 
     Executors write their own notes. A retried task writes the same files again.
     """
-    written = render_notes(notes, front_matter).mapInArrow(_writer(root), "written bigint")
+    rendered = render_notes(notes, front_matter)
+    return write_files(rendered.select("path", F.col("text").cast("binary").alias("content")), root)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``(path, content)``, bytes as they are, as files below ``root``; returns the number written."""
+    written = files.select("path", "content").mapInArrow(_writer(root), "written bigint")
     return written.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
 
 
@@ -149,15 +155,15 @@ def _writer(root: str):
         filesystem, base = open_root(root)
         made: set[str] = set()
         for batch in batches:
-            for path, text in zip(
-                batch.column("path").to_pylist(), batch.column("text").to_pylist()
+            for path, content in zip(
+                batch.column("path").to_pylist(), batch.column("content").to_pylist()
             ):
                 target = f"{base}/{path}"
                 folder = target.rpartition("/")[0]
                 if folder not in made:
                     filesystem.create_dir(folder, recursive=True)
                     made.add(folder)
-                _replace_file(filesystem, target, text.encode("utf-8"))
+                _replace_file(filesystem, target, content)
             yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
 
     return run

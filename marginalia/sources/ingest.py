@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.frontmatter import parse_front_matter
 from marginalia.functions.names import name_or_timestamp, sanitize_name
 from marginalia.functions.paths import basename, join_path, normalize_path
+from marginalia.schema import CHANGES
 
 # What the gate lets in.
 ACCEPTED_EXTENSIONS = (".md", ".txt")
@@ -80,3 +81,15 @@ def as_creates(accepted: DataFrame, seq: Column) -> DataFrame:
         "tags",
         F.col("mod_time").alias("ts"),
     )
+
+
+def as_rejects(rejected: DataFrame) -> DataFrame:
+    """Rejected files as ``create`` changes that were refused, without their contents, as a store keeps rejects."""
+    blank = [F.lit(None).cast(field.dataType).alias(field.name) for field in CHANGES.fields]
+    named = {
+        "key": F.concat(F.lit("file::"), F.col("path")),
+        "kind": F.lit("create"),
+        "path": F.col("path"),
+    }
+    columns = [named[f.name].alias(f.name) if f.name in named else b for f, b in zip(CHANGES.fields, blank, strict=True)]
+    return rejected.select(*columns, "reason")

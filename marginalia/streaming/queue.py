@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
+
+#: How long the state remembers that a key's newest entry was applied: a week.
+KEEP_MS = 7 * 24 * 3600 * 1000
+_PLACES = "ts bigint, seq bigint, done_ts bigint, done_seq bigint"
+_QUEUE = "key string, ts bigint, seq bigint, pending boolean"
 
 
 def stream_coalesce(changes: DataFrame) -> DataFrame:
@@ -24,3 +33,49 @@ def stream_coalesce(changes: DataFrame) -> DataFrame:
     )
     pending = F.col("newest").isNotNull() & (F.col("done").isNull() | (F.col("newest") > F.col("done")))
     return latest.select("key", "newest.ts", "newest.seq", pending.alias("pending"))
+
+
+def stream_pending(changes: DataFrame, keep_ms: int = KEEP_MS, clock_skew: str = "1 hour") -> DataFrame:
+    """``stream_coalesce`` with a state that ends: what is pending, and for a while what was applied.
+
+    ``changes`` has the column ``applied``. A key whose newest entry is reported as applied comes out once
+    more, not pending, and leaves the state ``keep_ms`` and ``clock_skew`` of running time later, with a batch that
+    comes then; so does a report whose entry has not come by then. An entry is never refused for being late: one
+    that comes after its key has left is taken as new. ``clock_skew`` is how far the driver's clock may go back. The newest entry and report of a key go to its state, found in each task before the
+    shuffle, so a busy key sends a row or two for each Arrow batch. Rows without key, ``ts`` or ``seq`` take no part.
+    """
+    if not changes.isStreaming:
+        raise ValueError("stream_pending expects a streaming DataFrame")
+    applied = F.coalesce("applied", F.lit(False)).alias("applied")
+    rows = changes.select("key", F.col("ts").cast("bigint"), F.col("seq").cast("bigint"), applied).dropna()
+    newest = rows.mapInPandas(_newest, "key string, ts bigint, seq bigint, applied boolean")
+    # The watermark goes by arrival and not by ``ts``, so that late entries are not behind it.
+    arrived = newest.withColumn("at", F.current_timestamp()).withWatermark("at", clock_skew)
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ts, seq, done_ts, done_seq = state.get if state.exists else (None, None, None, None)
+        entry = None if seq is None else (ts, seq)
+        done = None if done_seq is None else (done_ts, done_seq)
+        for part in parts:
+            columns = (part[name].tolist() for name in ("ts", "seq", "applied"))
+            for ts, seq, applied in zip(*columns, strict=True):
+                if applied:
+                    done = max(done or (ts, seq), (ts, seq))
+                else:
+                    entry = max(entry or (ts, seq), (ts, seq))
+        pending = entry is not None and (done is None or entry > done)
+        state.update((*(entry or (None, None)), *(done or (None, None))))
+        if not pending:
+            state.setTimeoutTimestamp(max(state.getCurrentProcessingTimeMs() + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if entry is not None:
+            yield pd.DataFrame({"key": [key[0]], "ts": [entry[0]], "seq": [entry[1]], "pending": [pending]})
+
+    return arrived.groupBy("key").applyInPandasWithState(follow, _QUEUE, _PLACES, "update", "EventTimeTimeout")
+
+
+def _newest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield part.sort_values(["ts", "seq"]).groupby(["key", "applied"], as_index=False).tail(1)

@@ -20,7 +20,16 @@ from marginalia.operators import (
 from marginalia.schema import CHANGES
 from marginalia.sources import expire_snapshots, read_rejects, read_store
 from marginalia.sources.store import CommitConflict, _mark, last_commit
-from marginalia.streaming import apply_batch, stream_apply, stream_coalesce, stream_sessions, stream_sessions_logout
+from marginalia.streaming import (
+    apply_batch,
+    ingest_batch,
+    stream_apply,
+    stream_coalesce,
+    stream_ingest,
+    stream_pending,
+    stream_sessions,
+    stream_sessions_logout,
+)
 from test_changes import change
 
 COLUMNS = CHANGES.fieldNames()
@@ -202,3 +211,61 @@ def test_stream_replay_into_store(spark, tmp_path):
     # Two notes, so two buckets: one of the last commit, one that it shares with an older one.
     assert read_rejects(spark, store).count() == 1 and len(list((tmp_path / "store").glob("*/notes/bucket=*"))) == 2
     assert last_commit(spark, store)["number"] == 3
+
+
+def test_applied_keys_leave_the_state(spark, tmp_path):
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    schema = "key string, ts bigint, seq bigint, applied boolean"
+    big, seen = 1 << 60, {}
+
+    def keep(batch, batch_id):
+        seen.update({r.key: (r.seq, r.pending) for r in batch.collect()})
+
+    def drop(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).parquet(source)
+        waiting = stream_pending(arriving, keep_ms=0, clock_skew="0 seconds")
+        query = waiting.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+        return {r.key.key for r in spark.read.format("statestore").load(checkpoint).select("key").collect()}
+
+    first = [("a", 1, 1, False), ("a", 5, big + 1, None), ("b", 1, 2, False), ("c", 9, 7, True), (None, 1, 9, False)]
+    assert "a" in drop(*first, ("d", 1, None, False))
+    assert seen == {"a": (big + 1, True), "b": (2, True)}
+    drop(("a", 5, big, True), ("b", 1, 2, True))  # the report of an earlier entry of a leaves the newest pending
+    assert seen == {"a": (big + 1, True), "b": (2, False)}
+    drop(("e", 1, 3, False))
+    left = drop(("e", 2, 4, False))
+    assert left == {"a", "e"}
+    drop(("b", 0, 5, False))  # late, but its key has left: a new entry
+    assert seen == {"a": (big + 1, True), "b": (5, True), "e": (4, True)}
+
+
+def test_files_that_drop_in(spark, tmp_path):
+    drop, store, checkpoint = tmp_path / "drop", str(tmp_path / "store"), str(tmp_path / "checkpoint")
+
+    def put(name, content):
+        path = drop / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content)
+
+    def take():
+        stream_ingest(spark, str(drop), store, checkpoint, "in").awaitTermination()
+
+    put("a.md", b"---\ntags: [x]\n---\none")
+    put("b.exe", b"two")
+    put("sub/c.txt", b"\xff\x00")
+    take()
+    put("sub/a.txt", b"again")
+    put("empty.md", b"")
+    put(".part.md", b"not ready")
+    take()
+    take()
+    files = spark.read.format("binaryFile").load(f"{drop}/a.md")
+    assert ingest_batch(files, store, f"{checkpoint}#0", "in") is None
+    notes = {r.content: r for r in read_store(spark, store)[0].collect()}
+    assert set(notes) == {"one", "again"}
+    assert (notes["one"].path, notes["one"].tags) == ("in/a.md", ["x"])
+    assert notes["again"].path.endswith("_a.md") and notes["again"].folder == "in"
+    rejects = {r.path.rpartition("/")[2]: r.reason for r in read_rejects(spark, store).collect()}
+    assert rejects == {"b.exe": "extension", "c.txt": "not_utf8"}
