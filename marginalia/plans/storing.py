@@ -18,6 +18,7 @@ from marginalia.sources import (
     commit_changes,
     read_rejects,
     read_store,
+    read_tagged,
     refresh_notes,
     scan_changed,
     scan_folders,
@@ -141,6 +142,24 @@ def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tags(read).select("path", "name", "tags", "mod_time", "size", F.md5("content").alias("digest"))
 
 
+def store_search_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag search through a store's tag index, after a commit that has given some notes other tags."""
+    store = f"{Scratch(spark, 'store').root}/store"
+    write_snapshot(notes_of(spark, sf_dir), corpus.explicit_folders(spark, sf_dir), store)
+    doc = F.col("doc_id")
+    edits = change_log(
+        table(spark, sf_dir, "documents").filter(doc % 50 < 2),
+        seq=doc,
+        kind=F.when(doc % 50 == 0, "update").otherwise("delete"),
+        path=corpus.doc_path(),
+        content=F.concat(F.lit("edited "), doc.cast("string")),
+        tags=F.array(F.when(doc % 100 == 0, "Fr").otherwise("edited")),
+        ts=F.lit(START_MS),
+    )
+    commit_changes(spark, store, edits, source="edits#1")
+    return flat_tags(read_tagged(spark, store, "FR")).select("path", "tags", "mod_time", F.md5("content").alias("digest"))
+
+
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue streamed into a store; a batch that comes again changes nothing."""
     scratch = Scratch(spark, "replay")
@@ -274,6 +293,7 @@ QUERIES = {
     "files_refreshed": files_refreshed,
     "store_round_trip": store_round_trip,
     "store_commits": store_commits,
+    "store_search_tag": store_search_tag,
     "stream_replay": stream_replay,
     "stream_replay_holds": stream_replay_holds,
     "streamed_ingest": streamed_ingest,
@@ -299,6 +319,12 @@ UNION SELECT DISTINCT source || '/' || lang, source, lang, 1::INT FROM short""",
   UNION ALL SELECT 'talk/' || conv_id || '/turn ' || turn || '.md', text, [role], {START_MS} + conv_id FROM conversations)
 SELECT path, {corpus.sql_name("path")} AS name, array_to_string(tags, '|') AS tags, mod_time,
   {corpus.sql_size("tags", "content")} AS size, md5(content) AS digest FROM result""",
+    "store_search_tag": f"""WITH {corpus.DOCS}, result AS (
+  SELECT path, CASE WHEN doc_id % 50 = 0 THEN 'edited ' || doc_id ELSE content END AS content,
+    CASE WHEN doc_id % 100 = 0 THEN ['Fr'] WHEN doc_id % 50 = 0 THEN ['edited'] ELSE tags END AS tags,
+    CASE WHEN doc_id % 50 = 0 THEN {START_MS} ELSE mod_time END AS mod_time FROM docs WHERE doc_id % 50 <> 1)
+SELECT path, array_to_string(tags, '|') AS tags, mod_time, md5(content) AS digest FROM result
+WHERE list_contains(list_transform(tags, lambda t: lower(t)), 'fr')""",
     "stream_replay": """SELECT 'events/note_' || user_id || '.md' AS path, event_type || ' ' || props AS content,
   event_type AS tags, epoch_us(ts) // 1000 AS mod_time FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) = 1""",

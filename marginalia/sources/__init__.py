@@ -19,6 +19,7 @@ from marginalia.sources.store import (
     read_queue,
     read_rejects,
     read_store,
+    read_tagged,
     write_buckets,
     write_snapshot,
 )
@@ -35,6 +36,7 @@ __all__ = [
     "read_queue",
     "read_rejects",
     "read_store",
+    "read_tagged",
     "refresh_notes",
     "render_notes",
     "scan_changed",

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.operators.search import has_tag
 from marginalia.operators.tree import all_folders
 from marginalia.schema import CHANGES, FOLDERS, NOTES
 from marginalia.sources.buckets import Layout, plan_layout
@@ -24,6 +25,9 @@ from marginalia.sources.buckets import Layout, plan_layout
 _COMMITS = "_commits"
 _REJECTS = T.StructType([*CHANGES.fields, T.StructField("reason", T.StringType())])
 _BUCKET = "bucket"
+_TAG_INDEX = "tags"
+_TAGS = f"tag string, {_BUCKET} int, path string"
+_PLACED = f"path string, tags array<string>, {_BUCKET} int"
 #: How often a commit looks again after another writer was faster, and how long it waits in between.
 ATTEMPTS = 20
 _WAIT_S = 0.1
@@ -154,6 +158,26 @@ def read_note(spark: SparkSession, store: str, path: str) -> DataFrame:
     return read_buckets(spark, store, commit, [bucket]).filter(F.col("path") == path)
 
 
+def read_tagged(spark: SparkSession, store: str, tag: str) -> DataFrame:
+    """The notes of the current snapshot that carry a tag, in any case; only buckets that hold some are opened.
+
+    Which those are is read from the tag index: each commit's own (tag, path) table, clustered by tag, of
+    which the rows of buckets that later commits have written anew no longer count.
+    """
+    commit = last_commit(spark, store)
+    if commit is None:
+        return spark.createDataFrame([], NOTES)
+    wanted, found = F.lower(F.lit(tag)), set()
+    for holder, buckets in commit["notes"].items():
+        if holder not in commit.get("tagged", []):  # a commit of before there was an index
+            found.update(buckets)
+            continue
+        index = spark.read.schema(_TAGS).parquet(f"{store}/{holder}/{_TAG_INDEX}")
+        hits = index.filter(F.col("tag") == wanted).select(_BUCKET).distinct()
+        found.update({row.bucket for row in hits.collect()} & set(buckets))
+    return read_buckets(spark, store, commit, found).filter(has_tag(tag))
+
+
 def read_table(spark: SparkSession, store: str, commit: dict | None, name: str, schema: T.StructType) -> DataFrame:
     """A table that commits carry besides notes and folders; empty if none has written it."""
     holder = (commit or {}).get("tables", {}).get(name)
@@ -196,6 +220,17 @@ def _write_notes(notes: DataFrame, layout: Layout, base: str) -> list[int]:
     return sorted(int(name.partition("=")[2]) for name in names if name.startswith(f"{_BUCKET}="))
 
 
+def _write_tags(spark: SparkSession, written: list[int], base: str) -> bool:
+    """The tag index of the notes just written; only paths and tags are read again."""
+    if not written:
+        return False
+    notes = spark.read.schema(_PLACED).parquet(f"{base}/notes")
+    tags = notes.select(F.explode(F.array_distinct(F.transform("tags", lambda t: F.lower(t)))).alias("tag"), _BUCKET, "path")
+    order = ["tag", _BUCKET, "path"]
+    tags.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{base}/{_TAG_INDEX}")
+    return True
+
+
 def _with_source(commit: dict | None, source: str) -> dict[str, int]:
     sources = dict(commit["sources"]) if commit else {}
     stream, mark, batch = source.rpartition("#")
@@ -232,6 +267,7 @@ def write_snapshot(
     name = f"snapshot-{number + 1:012d}-{uuid.uuid4().hex}"
     layout = plan_layout(notes, buckets)
     written = _write_notes(notes, layout, f"{store}/{name}")
+    tagged = _write_tags(spark, written, f"{store}/{name}")
     all_folders(notes, folders).write.parquet(f"{store}/{name}/folders")
     if rejects is not None:
         rejects.write.parquet(f"{store}/{name}/rejects")
@@ -245,6 +281,7 @@ def write_snapshot(
         "rejects": rejects is not None,
         "layout": {"buckets": layout.buckets, "hot": layout.hot},
         "notes": {name: written},
+        "tagged": [name] if tagged else [],
         "folders": [name],
         "changed": None,  # everything
     }
@@ -279,6 +316,7 @@ def write_buckets(
     written = _write_notes(notes, layout_of(base), f"{store}/{name}") if changed else []
     if not set(written) <= set(changed):
         raise ValueError("notes lie in buckets that are not among the changed ones")
+    tagged = _write_tags(spark, written, f"{store}/{name}")
     replaces = all_new_folders is not None
     parts = base["folders"]
     if new_folders is not None and len(parts) >= FOLDER_PARTS:
@@ -304,6 +342,8 @@ def write_buckets(
             raise CommitConflict("another writer has replaced a table that this commit replaces")
         others = [part for part in top["folders"] if part not in base["folders"]]
         kept = {d: [b for b in buckets if b not in set(changed)] for d, buckets in top["notes"].items()}
+        held = {d: buckets for d, buckets in {**kept, name: written}.items() if buckets}
+        indexed = {*top.get("tagged", []), *([name] if tagged else [])}
         body = {
             "snapshot": name,
             "tables": {**top.get("tables", {}), **dict.fromkeys(tables or {}, name)},
@@ -311,7 +351,8 @@ def write_buckets(
             "sources": _with_source(top, source),
             "rejects": rejects is not None,
             "layout": top["layout"],
-            "notes": {d: buckets for d, buckets in {**kept, name: written}.items() if buckets},
+            "notes": held,
+            "tagged": sorted(indexed & held.keys()),
             "folders": [name] if replaces else [*parts, *others, *([name] if table is not None else [])],
             "changed": None if replaces else changed,
         }
@@ -347,7 +388,8 @@ def expire_snapshots(spark: SparkSession, store: str, keep: int = 2) -> int:
     def held(some: list[dict | None]) -> set[str]:
         notes = {f"{d}/notes/{_BUCKET}={b}" for m in some if m for d, buckets in m["notes"].items() for b in buckets}
         carried = {f"{d}/{key}" for m in some if m for key, d in m.get("tables", {}).items()}
-        return notes | carried | {f"{part}/folders" for m in some if m for part in m["folders"]}
+        indexes = {f"{d}/{_TAG_INDEX}" for m in some if m for d in m.get("tagged", [])}
+        return notes | indexes | carried | {f"{part}/folders" for m in some if m for part in m["folders"]}
 
     for part in sorted(held(bodies[:cut]) - held(bodies[cut:])):
         filesystem, path = _filesystem(spark, f"{store}/{part}")

@@ -21,12 +21,13 @@ from marginalia.sources import (
     read_queue,
     read_rejects,
     read_store,
+    read_tagged,
     write_buckets,
     write_snapshot,
 )
 from marginalia.sources import store as store_module
 from marginalia.sources.buckets import plan_layout
-from marginalia.sources.store import last_commit, layout_of, read_buckets
+from marginalia.sources.store import _mark, last_commit, layout_of, read_buckets
 
 FOLDERS = ["", "a", "a/b", "c", "d e", "f/g/h"]
 
@@ -229,3 +230,27 @@ def test_a_failed_change_holds_back_its_client(spark, tmp_path):
     waiting, notes = batch(2, (9, "A", "m.md"))
     assert waiting == {5, 8} and notes == {"n.md": "A7", "m.md": "A9", "missing.md": "A2"}
     assert sorted((r.seq, r.reason) for r in read_rejects(spark, store).collect()) == [(2, "not_found")] * 2 + [(5, "not_found")] * 3
+
+
+def test_a_tag_search_opens_the_buckets_that_hold_it(spark, tmp_path):
+    rows = [(path, text, ["Rare", "t"] if path.endswith("/n2.md") else tags, at) for path, text, tags, at in corpus(300)]
+    store = made(spark, tmp_path, rows)
+    found = read_tagged(spark, store, "rARE")
+    assert [r.path for r in found.collect()] == ["a/b/n2.md"]
+    assert len({f.split("bucket=")[1].split("/")[0] for f in found.inputFiles()}) == 1
+    assert len(found.inputFiles()) < len(read_store(spark, store)[0].inputFiles())
+    assert read_tagged(spark, store, "t").count() == 300 and read_tagged(spark, store, "none").count() == 0
+    assert read_tagged(spark, str(tmp_path / "new"), "t").count() == 0
+    log = [
+        change(1, "update", "a/b/n2.md", content="plain", tags=[], folder=None),
+        change(2, "update", "c/n3.md", content="now", tags=["rare"], folder=None),
+    ]
+    commit_changes(spark, store, changes(spark, log))
+    assert [r.path for r in read_tagged(spark, store, "rare").collect()] == ["c/n3.md"]
+    assert expire_snapshots(spark, store, keep=1) == 1
+    assert [r.path for r in read_tagged(spark, store, "rare").collect()] == ["c/n3.md"]
+    # Without its index a commit's buckets are all opened.
+    commit = last_commit(spark, store)
+    body = {k: v for k, v in commit.items() if k not in ("number", "tagged")}
+    _mark(spark, store, commit["number"] + 1, body)
+    assert [r.path for r in read_tagged(spark, store, "rare").collect()] == ["c/n3.md"]
