@@ -9,6 +9,7 @@ stored as one hexadecimal digit, and what digits agree in by chance is taken off
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ DIGITS = "0123456789abcdef"
 SHINGLE = 5
 #: Borrowed bins are hashed one after another this often, then found in one step.
 PROBES = 12
+#: Ranges that the rows of one id may be cut into.
+PIECES = 1 << 20
 OUTPUT = (
     "n_chars",
     "edited_sha256",
@@ -107,6 +110,31 @@ def _bucket(doc_id: Column, cuts: list[int], stride: int = 128) -> Column:
     return F.coalesce(coarse * stride + F.size(F.filter(fine, lambda c: c <= doc_id)), F.lit(0))
 
 
+def _hot_ids(docs: DataFrame, cuts: list[int], share: float) -> dict[int | None, int]:
+    """The ids, null among them, of more than twice ``share`` rows, with how many ranges their rows are worth.
+
+    Only ids of ranges that are too full are counted one by one; no more than rows over ``share`` can be hot.
+    """
+    place, most = _bucket(F.col("doc_id"), cuts), 2 * share
+    full = docs.groupBy(place.alias("place")).count().where(F.col("count") > most).collect()  # a row a range
+    if not full:
+        return {}
+    ids = docs.where(place.isin([r.place for r in full])).groupBy(F.col("doc_id").cast("long").alias("key")).count()
+    return {r.key: min(PIECES, math.ceil(r["count"] / share)) for r in ids.where(F.col("count") > most).collect()}
+
+
+def _range(doc_id: Column, hash_: Column, cuts: list[int], hot: dict[int | None, int]) -> Column:
+    """The range of a row, in the order of (doc_id, hash), null first; rows of a hot id are cut by their hash."""
+    own = {key + step for key in hot if key is not None for step in (0, 1) if key + step < 1 << 63}
+    cuts = sorted({*cuts, *own})
+    place = F.when(doc_id.isNull(), -1).otherwise(_bucket(doc_id, cuts)) if None in hot else _bucket(doc_id, cuts)
+    pieces = F.lit(1)
+    for key, n in hot.items():
+        pieces = F.when(doc_id.eqNullSafe(F.lit(key)), n).otherwise(pieces)
+    piece = F.least(F.floor((hash_.cast("double") / 2.0**64 + 0.5) * pieces), pieces - 1)
+    return place.cast("long") * PIECES + (piece if hot else 0)
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with their fingerprint, that of their edited text, and the likeness to it and to the next text.
 
@@ -118,6 +146,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Texts cross the network once, dealt by ranges of doc_id with equal row counts; each
     range also gets a copy of the first document of the next, so no range waits for another.
+    An id, or null, that more rows have than two ranges hold is cut into ranges by text hash.
     """
     spark = docs.sparkSession
     base = freed(docs, *OUTPUT)
@@ -128,14 +157,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     cuts = splitters(ids, [n * i / wanted for i in range(1, wanted)], max(1.0, n / wanted / 8), bits) if n else []
     cuts = sorted(set(cuts)) or [0]
     rows = base.withColumn("__mg_hash", F.xxhash64(text_of(F.col("text"))))
-    rows = rows.withColumn("__mg_range", _bucket(F.col("doc_id"), cuts))
+    total = docs.count()
+    hot = _hot_ids(docs, cuts, max(1.0, total / wanted))
+    rows = rows.withColumn("__mg_range", _range(F.col("doc_id"), F.col("__mg_hash"), cuts, hot))
 
     # One row for each range: its first document is copied to the end of the range before.
     firsts = rows.groupBy("__mg_range").agg(F.min(F.struct("doc_id", "__mg_hash")))
     ahead = sorted(((r[0], *r[1]) for r in firsts.collect()), key=lambda r: r[0])
     copies = [(doc, hash_, ahead[i - 1][0]) for i, (_, doc, hash_) in enumerate(ahead)]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    copies = spark.createDataFrame(copies, f"__mg_first {id_type}, __mg_first_hash long, __mg_to int")
+    copies = spark.createDataFrame(copies, f"__mg_first {id_type}, __mg_first_hash long, __mg_to long")
     is_first = F.col("doc_id").eqNullSafe(F.col("__mg_first")) & (F.col("__mg_hash") == F.col("__mg_first_hash"))
     # At most one row for each range of doc_ids.
     rows = rows.withColumn("fingerprint", fingerprint(F.col("text"))).join(F.broadcast(copies), is_first, "left")

@@ -4,7 +4,9 @@ import statistics
 
 from cases import none, odd_docs, prose
 
-from marginalia.llm.fingerprints import fingerprint_documents
+from pyspark.sql import functions as F
+
+from marginalia.llm.fingerprints import _hot_ids, _range, fingerprint_documents
 
 
 def shingles(text):
@@ -43,3 +45,22 @@ def test_odd_rows(spark):
     assert fingerprint_documents(none(spark)).collect() == []
     (alone,) = fingerprint_documents(spark.createDataFrame([(7, "just one")], "doc_id long, text string")).collect()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"justjust").hexdigest()
+
+
+def test_hot_ids_are_cut(spark):
+    top = (1 << 63) - 1
+    ids = [None] * 90 + [7] * 120 + [top] * 60 + list(range(-20, 20))
+    docs = spark.createDataFrame([(d, f"text {i} " + prose(i, 6)) for i, d in enumerate(ids)], "doc_id long, text string")
+    hot = _hot_ids(docs, [0], 10.0)
+    assert set(hot) == {None, 7, top} and hot[7] == 13
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    hashed = hashed.withColumn("range", _range(F.col("doc_id"), F.col("h"), [0], hot))
+    rows = sorted(hashed.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert [r.range for r in rows] == sorted(r.range for r in rows)
+    sizes = [sum(r.range == x for r in rows) for x in {r.range for r in rows}]
+    assert max(sizes) < 40 and len(sizes) > 20
+    got = {(r.doc_id, r.text): r.edited_sha256 for r in fingerprint_documents(docs).collect()}
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        n = len(r.text)
+        edited = r.text[: n - n // 2] + after.text[: n // 2]
+        assert got[r.doc_id, r.text] == hashlib.sha256(edited.encode()).hexdigest()
