@@ -5,6 +5,7 @@ from marginalia.sources.files import (
     refresh_notes,
     render_notes,
     scan_changed,
+    scan_files,
     scan_folders,
     scan_notes,
     write_files,
@@ -40,6 +41,7 @@ __all__ = [
     "refresh_notes",
     "render_notes",
     "scan_changed",
+    "scan_files",
     "scan_folders",
     "scan_notes",
     "write_buckets",

@@ -17,22 +17,45 @@ from marginalia.scratch import Scratch
 from marginalia.sources.listing import hidden, list_tree, open_root, unless_gone
 
 MARKDOWN_SUFFIX = ".md"
-_RAW = "path string, raw string, mod_time bigint, size bigint"
+_RAW = "path string, raw binary, mod_time bigint, size bigint"
+# What a task reads before it hands it on, so that small files do not travel one by one.
+_READ_BYTES = 4 << 20
+_READ_FILES = 2000
+_READ = pa.schema([("path", pa.string()), ("raw", pa.binary()), ("mod_time", pa.int64()), ("size", pa.int64())])
 
 
 def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     """All ``.md`` files at any depth. Files that are gone by then are left out; one that
     cannot be read, after some tries, fails the scan, so no note is lost silently.
 
-    Spark's binary reader takes the bulk. It silently drops empty files and
-    hidden names, so those come from the listing and are read beside it; no join
-    carries file contents.
+    The executors list the folders and read the files: no path passes through the driver, which
+    Spark's binary reader would make a list of, and empty and hidden files are there too.
     """
     listing = _listed(spark, root)
-    empty = listing.filter("size = 0").select("path", F.lit("").alias("raw"), "mod_time", "size")
-    left_out = listing.filter(hidden(F.col("path")) & (F.col("size") > 0))
-    by_hand = _read_listed(spark, root, left_out)
-    return notes_from_raw(_scan_visible(spark, root).unionByName(empty).unionByName(by_hand))
+    seen, unseen = listing.filter(~hidden(F.col("path"))), listing.filter(hidden(F.col("path")))
+    # Bytes that are no text stay as they are, but in hidden files.
+    return notes_from_raw(_read_listed(spark, root, seen, exact=True).unionByName(_read_listed(spark, root, unseen)))
+
+
+def scan_files(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """Files of any kind below ``root``, or of them ``files`` of a listing, in the columns of Spark's binary reader.
+
+    As there, empty and hidden files are left out; executors list and read, so no path passes through the driver.
+    """
+    wanted = visible_files(spark, root) if files is None else files
+    raw = _read_bytes(spark, root, wanted, exact=True)
+    return raw.select(
+        F.concat(F.lit(_qualified(spark, root) + "/"), "path").alias("path"),
+        F.timestamp_millis("mod_time").alias("modificationTime"),
+        F.col("size").alias("length"),
+        F.col("raw").alias("content"),
+    )
+
+
+def visible_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, mod_time, size)`` of the files below ``root`` that Spark's readers see, with something in them."""
+    files = list_tree(spark, root).filter(~F.col("is_dir") & (F.col("size") > 0) & ~hidden(F.col("path")))
+    return files.select("path", "mod_time", "size")
 
 
 def scan_changed(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
@@ -62,29 +85,16 @@ def _listed(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _read_listed(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Contents of listed files, read by executors."""
-    spread = files.select("path", "mod_time", "size").repartition(
-        spark.sparkContext.defaultParallelism, "path"
-    )
-    return spread.mapInArrow(_reader(root), _RAW)
+def _read_listed(spark: SparkSession, root: str, files: DataFrame, exact: bool = False) -> DataFrame:
+    """Contents of listed files as texts, read by executors. Unless ``exact``, what is no text in them is replaced."""
+    return _read_bytes(spark, root, files, exact).withColumn("raw", F.col("raw").cast("string"))
 
 
-def _scan_visible(spark: SparkSession, root: str) -> DataFrame:
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*" + MARKDOWN_SUFFIX)
-        .option("ignoreMissingFiles", True)
-        .load(root)
-    )
-    prefix = _qualified(spark, root)
-    return files.filter("length > 0").select(
-        F.substring("path", len(prefix) + 2, 1 << 30).alias("path"),
-        F.col("content").cast("string").alias("raw"),
-        F.unix_millis("modificationTime").alias("mod_time"),
-        F.col("length").alias("size"),
+def _read_bytes(spark: SparkSession, root: str, files: DataFrame, exact: bool) -> DataFrame:
+    spread = files.select("path", "mod_time", "size").repartition(
+        spark.sparkContext.defaultParallelism, "path"
     )
+    return spread.mapInArrow(_reader(root, exact), _RAW)
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
@@ -94,22 +104,23 @@ def _qualified(spark: SparkSession, root: str) -> str:
     return filesystem.makeQualified(path).toString()
 
 
-def _reader(root: str):
+def _reader(root: str, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = open_root(root)
+        rows, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 raw = unless_gone(lambda path=f"{base}/{row['path']}": _read(filesystem, path))
                 if raw is None:
                     continue
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "path": pa.array([row["path"]], pa.string()),
-                        "raw": pa.array([raw.decode("utf-8", "replace")], pa.string()),
-                        "mod_time": pa.array([row["mod_time"]], pa.int64()),
-                        "size": pa.array([row["size"]], pa.int64()),
-                    }
-                )
+                row["raw"] = raw if exact else raw.decode("utf-8", "replace").encode("utf-8")
+                rows.append(row)
+                held += len(row["raw"])
+                if held >= _READ_BYTES or len(rows) >= _READ_FILES:
+                    yield pa.RecordBatch.from_pylist(rows, _READ)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _READ)
 
     return run
 

@@ -17,6 +17,7 @@ from marginalia.sources import (
     read_store,
     refresh_notes,
     scan_changed,
+    scan_files,
     scan_folders,
     scan_notes,
     write_notes,
@@ -193,3 +194,17 @@ def test_roots_as_spark_writes_them(tmp_path, monkeypatch):
     assert listing.open_root(f"file://{tmp_path}/x/")[1] == f"{tmp_path}/x"
     assert listing._uri("s3a://bucket/deep") == "s3://bucket/deep"
     assert listing._uri("hdfs://host/deep") == "hdfs://host/deep"
+
+
+def test_a_scan_makes_no_list_of_files(spark, tmp_path):
+    files = {f"f{i % 3}/n{i}.md": b"\xff" * (i % 2) + b"body %d" % i for i in range(200)} | {"f0/empty.md": b"", "f0/.h.md": b"\xff"}
+    for path, content in files.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    notes = scan_notes(spark, str(tmp_path))
+    assert not [path for path in notes.inputFiles() if path.endswith(".md")]
+    assert notes.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    read = {r.path: bytes(r.content) for r in notes.select("path", F.col("content").cast("binary").alias("content")).collect()}
+    assert read == files | {"f0/.h.md": "�".encode()}
+    found = {r.path.removeprefix(f"file:{tmp_path}/"): bytes(r.content) for r in scan_files(spark, str(tmp_path)).collect()}
+    assert found == {path: content for path, content in files.items() if content and "/." not in path}
