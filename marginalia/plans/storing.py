@@ -21,6 +21,7 @@ from marginalia.sources import (
     read_tagged,
     refresh_notes,
     scan_changed,
+    scan_files,
     scan_folders,
     scan_notes,
     write_files,
@@ -210,8 +211,7 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for drop in range(DROPS):
         write_files(files.filter(F.col("drop") == drop), f"{inbox}/{drop}")
         stream_ingest(spark, inbox, store, checkpoint, INBOX).awaitTermination()
-    first = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{inbox}/0")
-    ingest_batch(first, store, f"{checkpoint}#0", INBOX)
+    ingest_batch(scan_files(spark, f"{inbox}/0"), store, f"{checkpoint}#0", INBOX)
     notes, _ = read_store(spark, store)
     path = F.regexp_replace("path", r"\d{4}-\d\d-\d\d_\d{6}(-\d+)?_", "T_")
     kept = flat_tags(notes).select(path.alias("path"), "tags", F.md5("content").alias("digest"), F.lit("").alias("reason"))

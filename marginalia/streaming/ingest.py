@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marginalia.operators.allocate import order_blocks, ordinal_within
 from marginalia.operators.sorting import sort_once
 from marginalia.scratch import Scratch, scratch_scope
 from marginalia.sources.commits import commit_changes
+from marginalia.sources.files import scan_files, visible_files
 from marginalia.sources.ingest import as_creates, as_rejects, ingest_gate
+from marginalia.sources.store import _filesystem, committed, last_commit
 
-FILES = "path string, modificationTime timestamp, length bigint, content binary"
+_TAKEN = "path string, mod_time bigint, size bigint, batch bigint"
 
 
 def ingest_batch(files: DataFrame, store: str, source: str, folder: str = "") -> int | None:
@@ -21,6 +24,8 @@ def ingest_batch(files: DataFrame, store: str, source: str, folder: str = "") ->
     given out in order of time and path, so a batch that is worked out again gives the same notes.
     """
     spark = files.sparkSession
+    if committed(last_commit(spark, store), source):
+        return None
     with scratch_scope(spark):
         scratch = Scratch(spark, "ingest")
         accepted, rejected = ingest_gate(scratch.save(files), folder)
@@ -41,20 +46,49 @@ def stream_ingest(
     """Start taking the files below ``drop`` into ``store``; by default all that are there, and stop.
 
     Each file is taken once, in one batch, and each batch is committed once: one that comes again after
-    a failure is recognised by its number. Spark's file source does not see empty files and names that
-    begin with ``.`` or ``_``, which is how a file that is still being written stays out.
+    a failure is recognised by its number. Empty files and names that begin with ``.`` or ``_``, which is
+    how a file that is still being written stays out, are not seen.
+
+    A trigger only asks for a look at the folder. Executors list it, and the checkpoint keeps a table of the paths that
+    were taken and their batches, so neither paths nor contents gather on the driver, as those of
+    Spark's file source do.
     """
-    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, store, f"{checkpoint}#{batch_id}", folder)
+    def handle(_: DataFrame, look: int) -> None:
+        with scratch_scope(spark):
+            files = _taken(spark, drop, f"{checkpoint}/taken", look, files_per_batch)
+            first, last = files.agg(F.min("batch"), F.max("batch")).first()
+            for number in [] if first is None else range(first, last + 1):
+                batch = scan_files(spark, drop, files.filter(F.col("batch") == number))
+                ingest_batch(batch, store, f"{checkpoint}#{number}", folder)
 
     return (
-        reader.load(drop)
-        .writeStream.foreachBatch(handle)
+        clock.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def _taken(spark: SparkSession, drop: str, table: str, look: int, most: int | None) -> DataFrame:
+    """The files that a look finds new, with the numbers of their batches; a look that is repeated finds the same."""
+    own = f"{table}/look={look}"
+    if not _there(spark, f"{own}/_SUCCESS"):
+        before = spark.createDataFrame([], _TAKEN)
+        if _there(spark, table):  # what a look that failed has left there does not count
+            before = spark.read.schema(f"{_TAKEN}, look bigint").parquet(table).filter(F.col("look") < look).drop("look")
+        new = visible_files(spark, drop).join(before.select("path"), "path", "left_anti")
+        number = F.lit(before.agg(F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()[0]).cast("bigint")
+        if most:
+            in_order = sort_once(new, "mod_time", "path").withColumn("at", F.monotonically_increasing_id())
+            saved = Scratch(spark, "drop").save(in_order)
+            new = ordinal_within(saved, [], "at", "place", order_blocks(saved, "at"))
+            number = number + F.call_function("div", F.col("place") - 1, F.lit(most))
+        new.select("path", "mod_time", "size", number.alias("batch")).write.mode("overwrite").parquet(own)
+    return spark.read.schema(_TAKEN).parquet(own)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    filesystem, at = _filesystem(spark, path)
+    return filesystem.exists(at)

@@ -269,3 +269,22 @@ def test_files_that_drop_in(spark, tmp_path):
     assert notes["again"].path.endswith("_a.md") and notes["again"].folder == "in"
     rejects = {r.path.rpartition("/")[2]: r.reason for r in read_rejects(spark, store).collect()}
     assert rejects == {"b.exe": "extension", "c.txt": "not_utf8"}
+
+
+def test_files_that_drop_in_are_listed_by_tasks(spark, tmp_path):
+    drop, store, checkpoint = tmp_path / "drop", str(tmp_path / "store"), tmp_path / "checkpoint"
+    drop.mkdir()
+
+    def take():
+        stream_ingest(spark, str(drop), store, str(checkpoint), "in", files_per_batch=2).awaitTermination()
+
+    take()
+    assert last_commit(spark, store) is None
+    for i in range(4):
+        (drop / f"n{i}.md").write_text(f"{i}")
+    take()
+    take()
+    assert sorted(r.content for r in read_store(spark, store)[0].collect()) == list("0123")
+    assert last_commit(spark, store)["sources"] == {str(checkpoint): 1}
+    # Spark's own log of a source, which the driver reads as a whole, names no file.
+    assert not [p for p in checkpoint.glob("sources/**/*") if p.is_file() and b".md" in p.read_bytes()]
