@@ -11,7 +11,10 @@ from pyspark.sql.streaming.state import GroupState
 
 #: How long the state remembers that a key's newest entry was applied: a week.
 KEEP_MS = 7 * 24 * 3600 * 1000
-_PLACES = "ts bigint, seq bigint, done_ts bigint, done_seq bigint"
+#: Keys share a state with those of the same bucket, as a call for each key would cost more than its entries.
+BUCKETS = 1024
+_PLACES = """key array<string>, ts array<bigint>, seq array<bigint>, done_ts array<bigint>, done_seq array<bigint>,
+  due array<bigint>"""
 _QUEUE = "key string, ts bigint, seq bigint, pending boolean"
 
 
@@ -42,7 +45,7 @@ def stream_pending(changes: DataFrame, keep_ms: int = KEEP_MS, clock_skew: str =
     more, not pending, and leaves the state ``keep_ms`` and ``clock_skew`` of running time later, with a batch that
     comes then; so does a report whose entry has not come by then. An entry is never refused for being late: one
     that comes after its key has left is taken as new. ``clock_skew`` is how far the driver's clock may go back. The newest entry and report of a key go to its state, found in each task before the
-    shuffle, so a busy key sends a row or two for each Arrow batch. Rows without key, ``ts`` or ``seq`` take no part.
+    shuffle, where each bucket of keys has one state, so a busy key sends a row or two for each Arrow batch. Rows without key, ``ts`` or ``seq`` take no part.
     """
     if not changes.isStreaming:
         raise ValueError("stream_pending expects a streaming DataFrame")
@@ -52,28 +55,41 @@ def stream_pending(changes: DataFrame, keep_ms: int = KEEP_MS, clock_skew: str =
     # The watermark goes by arrival and not by ``ts``, so that late entries are not behind it.
     arrived = newest.withColumn("at", F.current_timestamp()).withWatermark("at", clock_skew)
 
-    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ts, seq, done_ts, done_seq = state.get if state.exists else (None, None, None, None)
-        entry = None if seq is None else (ts, seq)
-        done = None if done_seq is None else (done_ts, done_seq)
+    placed = arrived.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+
+    def follow(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = {}  # of each key [ts, seq, done_ts, done_seq, when it leaves if it is not pending]
+        if state.exists:
+            kept = {key: own for key, *own in zip(*state.get, strict=True)}
+        touched = {}
         for part in parts:
-            columns = (part[name].tolist() for name in ("ts", "seq", "applied"))
-            for ts, seq, applied in zip(*columns, strict=True):
-                if applied:
-                    done = max(done or (ts, seq), (ts, seq))
-                else:
-                    entry = max(entry or (ts, seq), (ts, seq))
-        pending = entry is not None and (done is None or entry > done)
-        state.update((*(entry or (None, None)), *(done or (None, None))))
-        if not pending:
-            state.setTimeoutTimestamp(max(state.getCurrentProcessingTimeMs() + keep_ms, state.getCurrentWatermarkMs() + 1))
-        if entry is not None:
-            yield pd.DataFrame({"key": [key[0]], "ts": [entry[0]], "seq": [entry[1]], "pending": [pending]})
+            columns = (part[name].tolist() for name in ("key", "ts", "seq", "applied"))
+            for key, ts, seq, applied in zip(*columns, strict=True):
+                if key not in touched:
+                    was = kept.get(key, [None] * 5)
+                    touched[key] = [None if was[1] is None else (was[0], was[1]), None if was[3] is None else (was[2], was[3])]
+                place = touched[key]
+                place[applied] = max(place[applied] or (ts, seq), (ts, seq))
+        passed = state.getCurrentWatermarkMs()
+        leaves = max(state.getCurrentProcessingTimeMs() + keep_ms, passed + 1)
+        kept = {key: own for key, own in kept.items() if key not in touched and (own[4] is None or own[4] >= passed)}
+        out = []
+        for key, (entry, done) in touched.items():
+            pending = entry is not None and (done is None or entry > done)
+            kept[key] = [*(entry or (None, None)), *(done or (None, None)), None if pending else leaves]
+            if entry is not None:
+                out.append((key, *entry, pending))
+        if kept:
+            state.update((list(kept), *(list(column) for column in zip(*kept.values(), strict=True))))
+            due = [own[4] for own in kept.values() if own[4] is not None]
+            if due:
+                state.setTimeoutTimestamp(min(due))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "seq", "pending"])
 
-    return arrived.groupBy("key").applyInPandasWithState(follow, _QUEUE, _PLACES, "update", "EventTimeTimeout")
+    return placed.groupBy("bucket").applyInPandasWithState(follow, _QUEUE, _PLACES, "update", "EventTimeTimeout")
 
 
 def _newest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import random
 
 import pytest
@@ -288,3 +289,26 @@ def test_files_that_drop_in_are_listed_by_tasks(spark, tmp_path):
     assert last_commit(spark, store)["sources"] == {str(checkpoint): 1}
     # Spark's own log of a source, which the driver reads as a whole, names no file.
     assert not [p for p in checkpoint.glob("sources/**/*") if p.is_file() and b".md" in p.read_bytes()]
+
+
+@pytest.mark.parametrize("kind", ["sessions", "queue"])
+def test_keys_share_states(spark, tmp_path, monkeypatch, kind):
+    module = importlib.import_module(f"marginalia.streaming.{kind}")
+    monkeypatch.setattr(module, "BUCKETS", 3, raising=False)
+    rows = [(f"k{i}", i, t, i % 4 == 0 and t == 1) for i in range(30) for t in range(2)]
+    drop = str(tmp_path / "in")
+    spark.createDataFrame(rows, "key string, seq bigint, ts bigint, out boolean").write.parquet(drop)
+    events = spark.readStream.schema("key string, seq bigint, ts bigint, out boolean").parquet(drop)
+    if kind == "sessions":
+        stream, mode = stream_sessions_logout(events, F.col("out"), token="key", ttl_ms=10, watermark="0 seconds"), "append"
+    else:
+        stream, mode = stream_pending(events.withColumnRenamed("out", "applied")), "update"
+    seen = []
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: seen.extend(batch.collect()))
+    query = query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+    if kind == "sessions":  # the watermark has reached 1: only logouts have ended a session
+        assert {tuple(r) for r in seen} == {(f"k{i}", 0, 1, 1, 2) for i in range(0, 30, 4)}
+    else:
+        assert {tuple(r) for r in seen} == {(f"k{i}", 0 if i % 4 == 0 else 1, i, i % 4 != 0) for i in range(30)}
