@@ -295,7 +295,7 @@ def test_files_that_drop_in_are_listed_by_tasks(spark, tmp_path):
 def test_keys_share_states(spark, tmp_path, monkeypatch, kind):
     module = importlib.import_module(f"marginalia.streaming.{kind}")
     monkeypatch.setattr(module, "BUCKETS", 3, raising=False)
-    rows = [(f"k{i}", i, t, i % 4 == 0 and t == 1) for i in range(30) for t in range(2)]
+    rows = [(f"k{i}", i, t, i % 4 == 0 and t == 1001) for i in range(30) for t in (1000, 1001)]
     drop = str(tmp_path / "in")
     spark.createDataFrame(rows, "key string, seq bigint, ts bigint, out boolean").write.parquet(drop)
     events = spark.readStream.schema("key string, seq bigint, ts bigint, out boolean").parquet(drop)
@@ -308,7 +308,7 @@ def test_keys_share_states(spark, tmp_path, monkeypatch, kind):
     query = query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
-    if kind == "sessions":  # the watermark has reached 1: only logouts have ended a session
-        assert {tuple(r) for r in seen} == {(f"k{i}", 0, 1, 1, 2) for i in range(0, 30, 4)}
+    if kind == "sessions":  # the watermark has reached 1001: only logouts have ended a session
+        assert {tuple(r) for r in seen} == {(f"k{i}", 1000, 1001, 1001, 2) for i in range(0, 30, 4)}
     else:
-        assert {tuple(r) for r in seen} == {(f"k{i}", 0 if i % 4 == 0 else 1, i, i % 4 != 0) for i in range(30)}
+        assert {tuple(r) for r in seen} == {(f"k{i}", 1000 if i % 4 == 0 else 1001, i, i % 4 != 0) for i in range(30)}
