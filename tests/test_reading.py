@@ -19,6 +19,7 @@ from marginalia.operators import (
     search_notes,
     subtree,
 )
+from marginalia.operators import search
 from marginalia.schema import QUERIES, notes_from_parts
 
 PARTS = "path string, content string, tags array<string>, mod_time bigint"
@@ -107,6 +108,40 @@ def test_batch_search_is_brute_force(spark):
     assert batch_search(table, asked.filter("false")).isEmpty()
 
 
+def test_few_queries_are_scanned_without_words(spark, monkeypatch):
+    """Few queries part no body into words; more than a scan takes find the same by their words."""
+    rng = random.Random(6)
+    words = ["red", "blue", "Green", "a", "of", "sun", "É", "x%y"]
+    rows = [(f"n{i}.md", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), ["T"] * (i % 2), i) for i in range(60)]
+    rows.append((None, "red", ["T"], 1))
+    asked = [(1, "RED", ""), (2, "ed b", ""), (3, "é", ""), (4, None, None), (5, " ", ""), (6, "sun", "t"), (7, "", "T"), (8, "x%y a", "")]
+    want = sorted(
+        (q, path, time)
+        for q, text, tag in asked
+        for path, content, tags, time in rows
+        if path and (text or "").lower() in content.lower() and (not tag or tag.lower() in [t.lower() for t in tags])
+    )
+    table, queries = notes(spark, *rows), spark.createDataFrame(asked, QUERIES)
+    parted = []
+    words_of = search._words
+    monkeypatch.setattr(search, "_words", lambda notes: parted.append(1) or words_of(notes))
+
+    def found():
+        return sorted((r.query_id, r.path, r.mod_time) for r in batch_search(table, queries).collect())
+
+    assert found() == want and not parted
+    again = queries.unionByName(queries.filter("query_id = 8"))
+    assert sorted({(r.query_id, r.path) for r in batch_search(table, again).collect()}) == sorted({row[:2] for row in want}) and parted
+    monkeypatch.setattr(search, "SCANNED", 2)
+    assert {row[:2] for row in found()} == {row[:2] for row in want}
+
+
+def test_batch_search_by_words_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCANNED", 0)
+    test_batch_search_is_brute_force(spark)
+    test_batch_search_in_text_without_spaces(spark)
+
+
 def test_batch_search_in_text_without_spaces(spark):
     """One long word costs its length: its grams are cut in stretches, and a piece across two of them is found."""
     rng = random.Random(8)
