@@ -232,13 +232,13 @@ def stream_replay_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_snapshot(notes_from_parts(blank), spark.createDataFrame([], "path string"), store)
     lost = F.col("content").startswith("error") & (F.col("seq") % 97 == 0)
     log = queue.withColumns({"kind": F.lit("update"), "path": F.when(lost, "events/lost.md").otherwise(path), "name": F.lit(None).cast("string")})
-    log = Scratch(spark, "log").save(log)
+    log = Scratch(spark, "log").save(log.repartition("seq"))
     first, last = log.agg(F.min("ts"), F.max("ts")).first()
     part = F.least(F.lit(2), F.floor((F.col("ts") - first) * 3 / F.greatest(F.lit(1), F.lit(last - first)))).cast("int")
-    for i in range(3):
-        log.filter(part == i).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source).select(*CHANGES.fieldNames())
-    stream_apply(stream, store, checkpoint, coalesce=False, hold=True).awaitTermination()
+    for i in range(3):  # what has come since the last start is one batch, in as many files as tasks wrote
+        log.filter(part == i).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source).select(*CHANGES.fieldNames())
+        stream_apply(stream, store, checkpoint, coalesce=False, hold=True).awaitTermination()
     notes, _ = read_store(spark, store)
     return flat_tags(notes).select("path", "content", "tags", "mod_time")
 

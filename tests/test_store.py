@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from log_model import Model
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from test_changes import PARTS, change
 from test_flow import changes
 
+from marginalia.plans import storing
 from marginalia.schema import notes_from_parts
 from marginalia.sources import (
     CommitConflict,
@@ -254,3 +256,23 @@ def test_a_tag_search_opens_the_buckets_that_hold_it(spark, tmp_path):
     body = {k: v for k, v in commit.items() if k not in ("number", "tagged")}
     _mark(spark, store, commit["number"] + 1, body)
     assert [r.path for r in read_tagged(spark, store, "rare").collect()] == ["c/n3.md"]
+
+
+def test_a_held_stream_comes_in_many_files(spark, tmp_path, monkeypatch):
+    """Each batch lies in several files, so that no task reads or plans a third of the log."""
+    events = spark.range(40).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id",
+        "'view' AS event_type", "1.0D AS value", "concat('p', id) AS props",
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    files, start = [], storing.stream_apply
+
+    def counted(changes, store, *args, **options):
+        folder = Path(store).parent / "in"
+        files.append(len(list(folder.glob("*.parquet"))) - sum(files))
+        return start(changes, store, *args, **options)
+
+    monkeypatch.setattr(storing, "stream_apply", counted)
+    got = {r.path: r.content for r in storing.stream_replay_holds(spark, str(tmp_path)).collect()}
+    assert got == {f"events/note_{u}.md": f"view p{max(i for i in range(40) if i % 7 == u)}" for u in range(7)}
+    assert len(files) == 3 and min(files) > 1
