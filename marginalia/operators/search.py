@@ -74,12 +74,15 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
     )
     # ``sure``: the anchor is all that the query asks for, so that no body is needed.
     tagged = wanted.filter("tag <> ''").select(F.col("tag").alias("anchor"), "query_id", (F.col("q") == "").alias("sure"))
-    untagged = wanted.filter("tag = ''")
-    few = _few(untagged)
-    certain, tested = _anchored(scratch, notes, wanted, tagged, None if few else untagged)
+    blank = F.replace("q", F.lit(" "), F.lit("")) == ""
+    free = wanted.filter("tag = ''").filter(blank)
+    free = free.select(F.lit("").alias("anchor"), "query_id", (F.col("q") == "").alias("sure"))
+    worded = wanted.filter("tag = ''").filter(~blank)
+    few = _few(worded)
+    certain, tested = _anchored(scratch, notes, wanted, tagged, free, None if few else worded)
     out = certain.select("query_id", *META).unionByName(tested.select("query_id", *META))
-    if few and not untagged.isEmpty():
-        out = out.unionByName(_scanned(scratch, notes, untagged).select("query_id", *META))
+    if few and not worded.isEmpty():
+        out = out.unionByName(_scanned(scratch, notes, worded).select("query_id", *META))
     return sort_once(out, "query_id", F.desc("mod_time"), "path")
 
 
@@ -92,7 +95,7 @@ def _few(queries: DataFrame) -> bool:
 
 
 def _scanned(scratch: Scratch, notes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Notes that match queries without a tag, all tested on every body.
+    """Notes that match queries of more than blanks and without a tag, all tested on every body.
 
     Bodies are dealt out first, as a table of few row groups is read by few tasks, and put into lower case once.
     They are compared as bytes, which takes 0.6 times as long as to compare letters.
@@ -102,16 +105,17 @@ def _scanned(scratch: Scratch, notes: DataFrame, queries: DataFrame) -> DataFram
     named = notes.filter("path IS NOT NULL").select(*META, "content").repartition("path", "content")
     lane = F.pmod(F.xxhash64("path", "content"), F.lit(LANES)).cast("int")
     bodies = named.select(*META, F.lower("content").cast("binary").alias("body"), lane.alias("lane"))
-    holds = (F.octet_length("sought") == 0) | F.contains("body", F.col("sought"))
-    return bodies.join(asked, "lane").filter(holds)
+    return bodies.join(asked, "lane").filter(F.contains("body", F.col("sought")))
 
 
 def _anchored(
-    scratch: Scratch, notes: DataFrame, wanted: DataFrame, tagged: DataFrame, worded: DataFrame | None
+    scratch: Scratch, notes: DataFrame, wanted: DataFrame, tagged: DataFrame, free: DataFrame, worded: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
     """Notes found by their anchors alone, and those whose bodies hold what is asked for; ``worded`` have no tag."""
     lowered = F.array_distinct(F.transform("tags", lambda t: F.lower(t)))
     hits = notes.select("path", F.explode(lowered).alias("anchor")).join(tagged, "anchor").select("path", "query_id", "sure")
+    every = notes.select("path", F.lit("").alias("anchor")).join(free, "anchor")
+    hits = hits.unionByName(every.select("path", "query_id", "sure"))
     if worded is not None:
         hits = _word_hits(scratch, notes, worded).unionByName(hits)
     hits = scratch.save(hits)
@@ -126,7 +130,7 @@ def _anchored(
 
 
 def _word_hits(scratch: Scratch, notes: DataFrame, worded: DataFrame) -> DataFrame:
-    """``(path, query_id, sure)``: the candidates of queries without a tag."""
+    """``(path, query_id, sure)``: the candidates of queries of more than blanks and without a tag."""
     worded = worded.withColumn("pieces", F.split("q", " "))
     last = F.size("pieces") - 1
     inner = F.array_remove(F.slice("pieces", 2, F.greatest(last - 1, F.lit(0))), "")
@@ -142,8 +146,6 @@ def _word_hits(scratch: Scratch, notes: DataFrame, worded: DataFrame) -> DataFra
         (F.col("at.place") < F.col("last")).alias("ends"),
         (F.col("at.place") > 0).alias("begins"),
     )
-    free = worded.filter((F.size("inner") == 0) & (F.col("at.n") == 0))
-    free = free.select(F.lit("").alias("anchor"), "query_id", (F.col("last") == 0).alias("sure"))
 
     words = _words(notes)  # parted twice, which costs less than to write all words and read them
     vocabulary = words.groupBy("word").agg(F.count("*").alias("notes")).select(*_ids("word"), "word", "notes")
@@ -153,9 +155,7 @@ def _word_hits(scratch: Scratch, notes: DataFrame, worded: DataFrame) -> DataFra
     by_word = rarest.select("at.w1", "at.w2", "query_id", F.lit(False).alias("sure"))
     by_piece = _holding(scratch, part, vocabulary)
     anchors = scratch.save(by_word.unionByName(by_piece))
-    found = words.select("path", *_ids("word")).join(anchors, IDS).select("path", "query_id", "sure").distinct()
-    every = notes.select("path", F.lit("").alias("anchor")).join(free, "anchor")
-    return found.unionByName(every.select("path", "query_id", "sure"))
+    return words.select("path", *_ids("word")).join(anchors, IDS).select("path", "query_id", "sure").distinct()
 
 
 def _holding(scratch: Scratch, part: DataFrame, vocabulary: DataFrame) -> DataFrame:
