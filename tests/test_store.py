@@ -258,7 +258,7 @@ def test_a_tag_search_opens_the_buckets_that_hold_it(spark, tmp_path):
     assert [r.path for r in read_tagged(spark, store, "rare").collect()] == ["c/n3.md"]
 
 
-def test_a_held_stream_comes_in_many_files(spark, tmp_path, monkeypatch):
+def test_a_held_stream_comes_in_many_files(spark, tmp_path, monkeypatch, request):
     """Each batch lies in several files, so that no task reads or plans a third of the log."""
     events = spark.range(40).selectExpr(
         "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id",
@@ -273,6 +273,11 @@ def test_a_held_stream_comes_in_many_files(spark, tmp_path, monkeypatch):
         return start(changes, store, *args, **options)
 
     monkeypatch.setattr(storing, "stream_apply", counted)
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4k"}
+    before = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    request.addfinalizer(lambda: [spark.conf.set(key, value) for key, value in before.items()])
     got = {r.path: r.content for r in storing.stream_replay_holds(spark, str(tmp_path)).collect()}
     assert got == {f"events/note_{u}.md": f"view p{max(i for i in range(40) if i % 7 == u)}" for u in range(7)}
     assert len(files) == 3 and min(files) > 1
