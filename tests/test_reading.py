@@ -136,6 +136,14 @@ def test_few_queries_are_scanned_without_words(spark, monkeypatch):
     assert {row[:2] for row in found()} == {row[:2] for row in want}
 
 
+def test_few_queries_cut_no_text_without_spaces(spark, monkeypatch):
+    """A long text without spaces is tested as a whole and not cut into grams."""
+    monkeypatch.delattr(search, "_holding")
+    table = notes(spark, ("long.md", "abcdé" * 20_000 + "文Z", [], 1), ("short.md", "dÉa", [], 2))
+    asked = spark.createDataFrame([(1, "éa", ""), (2, "文z", ""), (3, "aa", "")], QUERIES)
+    assert [(r.query_id, r.path) for r in batch_search(table, asked).collect()] == [(1, "short.md"), (1, "long.md"), (2, "long.md")]
+
+
 def test_batch_search_by_words_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "SCANNED", 0)
     test_batch_search_is_brute_force(spark)
