@@ -61,8 +61,8 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
     queries takes the same few joins. A query of blanks only, or an empty one, has no anchor
     and is tested on every note, which it mostly matches.
 
-    Up to ``SCANNED`` queries without a tag need no anchors: each body is read once and tested with all of them, which
-    costs the same whether few notes match or most do.
+    Queries that have a tag, and up to ``SCANNED`` that have none, are tested as the bodies are read, once for all of them
+    (``_scanned``), which costs the same whether few notes match or most do, and writes no candidates.
     """
     scratch = Scratch(notes.sparkSession, "search")
     wanted = scratch.save(
@@ -79,10 +79,17 @@ def batch_search(notes: DataFrame, queries: DataFrame) -> DataFrame:
     free = free.select(F.lit("").alias("anchor"), "query_id", (F.col("q") == "").alias("sure"))
     worded = wanted.filter("tag = ''").filter(~blank)
     few = _few(worded)
-    certain, tested = _anchored(scratch, notes, wanted, tagged, free, None if few else worded)
-    out = certain.select("query_id", *META).unionByName(tested.select("query_id", *META))
-    if few and not worded.isEmpty():
-        out = out.unionByName(_scanned(scratch, notes, worded).select("query_id", *META))
+    known = tagged.unionByName(free)
+    tested = known.filter("NOT sure").join(wanted.select("query_id", "q"), "query_id")
+    tested = tested.select("anchor", F.lit(False).alias("once"), "query_id", "q")
+    if few:
+        tested = tested.unionByName(worded.select(F.lit("").alias("anchor"), F.lit(True).alias("once"), "query_id", "q"))
+    hits = scratch.save(_known_hits(notes, known.filter("sure")))
+    out = hits.join(notes.select(*META), "path").select("query_id", *META)
+    if not tested.isEmpty():
+        out = out.unionByName(_scanned(scratch, notes, tested).select("query_id", *META))
+    if not few:
+        out = out.unionByName(_by_words(scratch, notes, wanted, worded).select("query_id", *META))
     return sort_once(out, "query_id", F.desc("mod_time"), "path")
 
 
@@ -94,31 +101,46 @@ def _few(queries: DataFrame) -> bool:
     return size.n == size.ids and size.n <= SCANNED and (size.letters or 0) <= SCANNED_LETTERS
 
 
+def _lowered_tags() -> Column:
+    return F.array_distinct(F.transform("tags", lambda t: F.lower(t)))
+
+
+def _known_hits(notes: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(path, query_id)`` of queries that ask for no more than their anchor: a tag, or nothing."""
+    tags = notes.select("path", F.explode(_lowered_tags()).alias("anchor")).join(queries.filter("anchor <> ''"), "anchor")
+    every = notes.select("path", F.lit("").alias("anchor")).join(queries.filter("anchor = ''"), "anchor")
+    return tags.select("path", "query_id").unionByName(every.select("path", "query_id"))
+
+
 def _scanned(scratch: Scratch, notes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Notes that match queries of more than blanks and without a tag, all tested on every body.
+    """Notes whose bodies hold what ``queries``, ``(anchor, once, query_id, q)``, ask for; ``anchor`` is a tag or empty.
 
-    Bodies are dealt out first, as a table of few row groups is read by few tasks, and put into lower case once.
-    They are compared as bytes, which takes 0.6 times as long as to compare letters.
+    Which anchors a path has is found on narrow rows and does not grow with the queries. Bodies meet them by path, in the
+    one exchange that also deals them out, as a table of few row groups is read by few tasks, and there they are tested:
+    neither a candidate nor its query is ever written. Without ``once`` a note is found for each note of its path that has the anchor.
+
+    Bodies are put into lower case once and compared as bytes, which takes 0.6 times as long as to compare letters.
     """
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
-    asked = scratch.save(queries.select("query_id", F.col("q").cast("binary").alias("sought"), lanes.alias("lane")))
-    named = notes.filter("path IS NOT NULL").select(*META, "content").repartition("path", "content")
+    key, lanes = ["anchor", "once"], F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
+    asked = scratch.save(queries.select(*key, "query_id", F.col("q").cast("binary").alias("sought"), lanes.alias("lane")))
+    named = notes.filter("path IS NOT NULL")
+    blank = F.array(F.lit(""))
+    anchors = F.array_union(blank, F.coalesce(_lowered_tags(), blank))
+    each = F.transform(anchors, lambda a: F.struct(a.alias("anchor"), F.lit(False).alias("once")))
+    each = F.array_append(each, F.struct(F.lit("").alias("anchor"), F.lit(True).alias("once")))
+    held = named.select("path", F.explode(each).alias("at")).select("path", "at.*")
+    held = held.join(asked.select(*key).distinct(), key, "left_semi").groupBy("path", *key).agg(F.count("*").alias("times"))
     lane = F.pmod(F.xxhash64("path", "content"), F.lit(LANES)).cast("int")
     bodies = named.select(*META, F.lower("content").cast("binary").alias("body"), lane.alias("lane"))
-    return bodies.join(asked, "lane").filter(F.contains("body", F.col("sought")))
-
-
-def _anchored(
-    scratch: Scratch, notes: DataFrame, wanted: DataFrame, tagged: DataFrame, free: DataFrame, worded: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
-    """Notes found by their anchors alone, and those whose bodies hold what is asked for; ``worded`` have no tag."""
-    lowered = F.array_distinct(F.transform("tags", lambda t: F.lower(t)))
-    hits = notes.select("path", F.explode(lowered).alias("anchor")).join(tagged, "anchor").select("path", "query_id", "sure")
-    every = notes.select("path", F.lit("").alias("anchor")).join(free, "anchor")
-    hits = hits.unionByName(every.select("path", "query_id", "sure"))
-    if worded is not None:
-        hits = _word_hits(scratch, notes, worded).unionByName(hits)
-    hits = scratch.save(hits)
+    # Merged even if ``held`` is small, so that the bodies are dealt out.
+    found = bodies.join(held.hint("merge"), "path").join(asked, [*key, "lane"]).filter(F.contains("body", F.col("sought")))
+    times = F.when(F.col("once"), F.lit(1).cast("bigint")).otherwise(F.col("times"))
+    return found.select("query_id", *META, F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("_time"))
+
+
+def _by_words(scratch: Scratch, notes: DataFrame, wanted: DataFrame, worded: DataFrame) -> DataFrame:
+    """Notes found by the words of ``worded``, which have no tag, if their bodies hold what is asked for."""
+    hits = scratch.save(_word_hits(scratch, notes, worded))
     certain = hits.filter("sure").join(notes.select(*META), "path")
     # Each body is put into lower case once, before it meets its candidates.
     bodies = notes.select(*META, F.lower("content").alias("body"))
@@ -126,7 +148,7 @@ def _anchored(
         hits.filter("NOT sure").join(wanted, "query_id").join(bodies, "path")
         .filter(F.contains("body", F.col("q")))
     )
-    return certain, tested
+    return certain.select("query_id", *META).unionByName(tested.select("query_id", *META))
 
 
 def _word_hits(scratch: Scratch, notes: DataFrame, worded: DataFrame) -> DataFrame:

@@ -144,6 +144,45 @@ def test_few_queries_cut_no_text_without_spaces(spark, monkeypatch):
     assert [(r.query_id, r.path) for r in batch_search(table, asked).collect()] == [(1, "short.md"), (1, "long.md"), (2, "long.md")]
 
 
+def test_queries_with_a_tag_write_no_candidates(spark, monkeypatch):
+    """Neither the tables nor the exchanges hold a row for each note and query of its tag."""
+    table = notes(spark, *[(f"n{i}.md", f"body {i}", ["T", "u"], i) for i in range(200)])
+    asked = [(q, f"Y {q + 7}", "t") for q in range(60)] + [(60, "", "none"), (61, " ", ""), (62, "y 19", "U"), (63, "Y 19", "")]
+    want = sorted((q, f"n{i}.md") for q, text, tag in asked for i in range(200) if text.lower() in f"body {i}" and tag != "none")
+    rows = []
+    save = search.Scratch.save
+
+    def counted(scratch, df):
+        saved = save(scratch, df)
+        rows.append(saved.count())
+        return saved
+
+    def exchanged(plan):
+        """The rows written by the exchanges of a plan that has run."""
+        while (kind := plan.getClass().getSimpleName()).endswith(("AdaptiveSparkPlanExec", "QueryStageExec")):
+            plan = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan()
+        written = plan.metrics().get("shuffleRecordsWritten")
+        below = [exchanged(plan.children().apply(i)) for i in range(plan.children().size())]
+        return max([written.get().value() if written.isDefined() else 0, *below])
+
+    monkeypatch.setattr(search.Scratch, "save", counted)
+    found = batch_search(table, spark.createDataFrame(asked, QUERIES))
+    got = found.collect()
+    assert sorted((r.query_id, r.path) for r in got) == want
+    assert max(rows) <= search.LANES * len(asked) and 200 <= exchanged(found._jdf.queryExecution().executedPlan()) <= 5 * 200
+
+
+def test_notes_of_one_path_are_found_for_each_of_them(spark):
+    """A tag is one of the path, whichever of its notes has it; a query of words finds each note for itself."""
+    table = notes(spark, ("a.md", "red", ["t"], 1), ("a.md", "red sun", ["T", "u"], 2), ("a.md", "blue", [], 3), ("b.md", "red", ["u"], 4))
+    asked = spark.createDataFrame([(1, "red", "t"), (2, "red", "U"), (3, "red", ""), (4, "", "t"), (5, " ", "")], QUERIES)
+    found = sorted((r.query_id, r.path, r.mod_time) for r in batch_search(table, asked).collect())
+    a, b = [("a.md", 1), ("a.md", 2)], ("b.md", 4)
+    want = [(1, *at) for at in a * 2] + [(2, *at) for at in [*a, b]] + [(3, *at) for at in [*a, b]]
+    want += [(4, *at) for at in [*a, ("a.md", 3)] * 2] + [(5, "a.md", 2)] * 3
+    assert found == sorted(want)
+
+
 def test_batch_search_by_words_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "SCANNED", 0)
     test_batch_search_is_brute_force(spark)
