@@ -319,7 +319,8 @@ class Apply:
         columns = CHANGES.fieldNames()
         if reasons is None:
             reasons = self.spark.createDataFrame([], "seq bigint, reason string")
-        return self.changes.join(reasons, "seq").select(*columns, "reason")
+        # Written, so that it is known how few they mostly are, and the bodies need not be exchanged to meet them.
+        return self.changes.join(self.scratch.save(reasons), "seq").select(*columns, "reason")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame | None:

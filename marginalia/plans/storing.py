@@ -207,7 +207,7 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "drops")
     store, inbox, checkpoint = (f"{scratch.root}/{name}" for name in ("store", "in", "checkpoint"))
-    files = scratch.save(dropped_files(spark, sf_dir))
+    files = dropped_files(spark, sf_dir)
     for drop in range(DROPS):
         write_files(files.filter(F.col("drop") == drop), f"{inbox}/{drop}")
         stream_ingest(spark, inbox, store, checkpoint, INBOX).awaitTermination()

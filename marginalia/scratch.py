@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Shuffle files go when the query that wrote them is done, and not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +39,19 @@ _SCOPES: list[list[str]] = []
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the tables of every ``Scratch`` made inside when the work inside is done.
 
-    For work whose results are written elsewhere, as what it returns may read those tables.
+    For work whose results are written elsewhere, as what it returns may read those tables. The shuffle files of
+    each query inside go with the query, unless the session says otherwise.
     """
     roots: list[str] = []
     _SCOPES.append(roots)
+    unset = spark.conf.get(FREE_SHUFFLES, None) is None
+    if unset:
+        spark.conf.set(FREE_SHUFFLES, "true")
     try:
         yield
     finally:
+        if unset:
+            spark.conf.unset(FREE_SHUFFLES)
         _SCOPES.remove(roots)
         for root in roots:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from marginalia.operators.queue import coalesce_changes, replay_prefix
 from marginalia.schema import CHANGES, FOLDERS, NOTES
 from marginalia.scratch import Scratch, scratch_scope
 from marginalia.sources.store import (
+    BUCKET_PARTS,
     CommitConflict,
     committed,
     last_commit,
@@ -40,19 +43,20 @@ def commit_changes(
     hold: bool = False,
     coalesce: bool = False,
     refused: DataFrame | None = None,
+    written: bool = False,
 ) -> int | None:
     """Apply a change log to a store and commit the outcome; returns its number, None if ``source`` is in already.
 
     Deciding reads the buckets of the folders that the log names, narrow columns only; after folder
-    changes, the paths of all notes. Then the buckets with changed notes are written anew, and no other is read
-    or written. If another writer has changed any of these buckets meanwhile the log is worked out again on
+    changes, the paths of all notes. Then the buckets that notes were changed in or went from are written anew, those that
+    only got new ones get them as one more part, and no other is read or written. If another writer has changed any of these buckets meanwhile the log is worked out again on
     top of that commit, ``retries`` times; disjoint commits don't stand in each other's way.
 
     With ``hold``, a client's changes end at its first one, by ``(ts, key, seq)``, that can't be applied: that
     one and all behind it stay in the store's queue (``read_queue``) and are tried again with the next
     log; the rejects then have the ones that failed. ``coalesce`` keeps the last change of
     each key, those in the queue included. ``refused`` are changes, with a ``reason``, that were turned away
-    before; the commit only keeps them among its rejects.
+    before; the commit only keeps them among its rejects. ``written``: ``changes`` are read from a table of their own, which is not copied.
     """
     while True:
         commit = last_commit(spark, store)
@@ -60,7 +64,7 @@ def commit_changes(
             return None
         try:
             with scratch_scope(spark):
-                return _commit(spark, store, commit, changes, source, hold, coalesce, refused)
+                return _commit(spark, store, commit, changes, source, hold, coalesce, refused, written)
         except CommitConflict:
             if not retries:
                 raise
@@ -97,12 +101,14 @@ def _commit(
     hold: bool,
     coalesce: bool,
     refused: DataFrame | None,
+    written: bool,
 ) -> int:
     scratch = Scratch(spark, "commit")
     changes = changes.select(*CHANGES.fieldNames())
     if hold:
         changes = changes.unionByName(read_table(spark, store, commit, "queue", CHANGES))
-    changes = scratch.save(coalesce_changes(changes) if coalesce else changes)
+    if coalesce or hold or not written:
+        changes = scratch.save(coalesce_changes(changes) if coalesce else changes)
     layout, read = layout_of(commit) if commit else None, set()
 
     def near(plan: DataFrame) -> DataFrame:
@@ -137,8 +143,11 @@ def _commit(
     if log.moves:
         read.update(b for buckets in commit["notes"].values() for b in buckets)
     paths = scratch.save(log.changed_paths())
-    paths = paths.select(F.explode(F.array("path", "new_path")).alias("path")).filter("path IS NOT NULL")
-    changed = _buckets(paths, layout.bucket(dirname(F.col("path")), F.col("path")))
+    place = layout.bucket(dirname(F.col("path")), F.col("path"))
+    changed = _buckets(paths.select("path").filter("path IS NOT NULL"), place)
+    added_to = _buckets(paths.select(F.col("new_path").alias("path")).filter("path IS NOT NULL"), place)
+    # A bucket in many parts is written as one again.
+    changed |= added_to & {b for b, n in Counter(b for held in commit["notes"].values() for b in held).items() if n >= BUCKET_PARTS}
     copied = _buckets(log.copied_paths(), layout.bucket(dirname(F.col("path")), F.col("path")))
     notes = log.new_notes(read_buckets(spark, store, commit, changed), read_buckets(spark, store, commit, copied))
     added = log.added_folders()
@@ -152,6 +161,7 @@ def _commit(
         notes,
         changed,
         read=read | copied,
+        added_to=added_to,
         new_folders=added,
         all_new_folders=None if log.folder_set is None else log.new_folders(),
         rejects=rejects,

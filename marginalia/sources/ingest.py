@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ def classify(files: DataFrame, folder: str = "") -> DataFrame:
     return files.withColumn("reason", reason)
 
 
-def ingest_gate(files: DataFrame, folder: str = "") -> tuple[DataFrame, DataFrame]:
+def ingest_gate(files: DataFrame, folder: str = "", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Split incoming files (the binary reader's columns) into ``(accepted, rejected)``.
 
-    Accepted rows carry the note they would become. Committing them, with names
+    Accepted rows carry the note they would become, and the columns ``keep`` of their files. Committing them, with names
     that are taken resolved, is ``apply_changes`` over ``as_creates(accepted)``.
     """
     checked = classify(files, folder)
@@ -59,6 +61,7 @@ def ingest_gate(files: DataFrame, folder: str = "") -> tuple[DataFrame, DataFram
         parsed["tags"].alias("tags"),
         mod_time.alias("mod_time"),
         F.col("length").alias("size"),
+        *keep,
     )
     rejected = checked.filter("reason IS NOT NULL").select("path", "length", "reason")
     return accepted, rejected

@@ -1,7 +1,7 @@
 """A store of snapshots that share what they have in common.
 
-Notes lie in buckets (``buckets.Layout``). A commit writes the buckets it changes, as new folders, and a
-marker that says for every bucket which commit's folder holds it now. Readers keep the snapshot they opened,
+Notes lie in buckets (``buckets.Layout``). A commit writes the buckets it changes, as new folders, or the notes it adds to them, and a
+marker that says for every bucket which commits' folders hold it now. Readers keep the snapshot they opened,
 and nothing that is being read is ever overwritten.
 """
 
@@ -33,6 +33,8 @@ ATTEMPTS = 20
 _WAIT_S = 0.1
 #: Folder tables that commits may add before one of them writes all as one again.
 FOLDER_PARTS = 20
+#: Parts that a bucket may lie in before a commit that adds to it writes it as one again.
+BUCKET_PARTS = 20
 
 
 class CommitConflict(RuntimeError):
@@ -296,6 +298,7 @@ def write_buckets(
     notes: DataFrame,
     changed: Iterable[int],
     read: Iterable[int] = (),
+    added_to: Iterable[int] = (),
     new_folders: DataFrame | None = None,
     all_new_folders: DataFrame | None = None,
     rejects: DataFrame | None = None,
@@ -303,16 +306,17 @@ def write_buckets(
     tables: dict[str, DataFrame] | None = None,
     before_mark: Callable[[], None] | None = None,
 ) -> int:
-    """Commit ``notes`` as the whole content of the ``changed`` buckets on top of commit ``base``.
+    """Commit ``notes`` as the whole content of the ``changed`` buckets, and on top of that of other buckets ``added_to``, on commit ``base``.
 
-    All other buckets stay where they are. ``read`` has the buckets that decided what ``notes`` are, besides the
+    What else there is stays where it is. ``read`` has the buckets that decided what ``notes`` are, besides the
     changed ones. If others have committed since ``base``, the commit goes on top of theirs when
     they changed none of these buckets, and is a ``CommitConflict`` otherwise. ``new_folders`` are added to
     the folder table; ``all_new_folders`` replace it, and such a commit goes on top of no other.
     ``tables`` are named tables that the commit carries; a commit that replaces one goes on top of no other that
     has done so. ``before_mark`` is called when all is written.
     """
-    changed, name = sorted(set(changed)), f"snapshot-{base['number'] + 1:012d}-{uuid.uuid4().hex}"
+    replaced, changed = set(changed), sorted({*changed, *added_to})
+    name = f"snapshot-{base['number'] + 1:012d}-{uuid.uuid4().hex}"
     written = _write_notes(notes, layout_of(base), f"{store}/{name}") if changed else []
     if not set(written) <= set(changed):
         raise ValueError("notes lie in buckets that are not among the changed ones")
@@ -341,7 +345,7 @@ def write_buckets(
         if any(top.get("tables", {}).get(key) != base.get("tables", {}).get(key) for key in tables or {}):
             raise CommitConflict("another writer has replaced a table that this commit replaces")
         others = [part for part in top["folders"] if part not in base["folders"]]
-        kept = {d: [b for b in buckets if b not in set(changed)] for d, buckets in top["notes"].items()}
+        kept = {d: [b for b in buckets if b not in replaced] for d, buckets in top["notes"].items()}
         held = {d: buckets for d, buckets in {**kept, name: written}.items() if buckets}
         indexed = {*top.get("tagged", []), *([name] if tagged else [])}
         body = {

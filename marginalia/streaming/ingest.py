@@ -28,10 +28,19 @@ def ingest_batch(files: DataFrame, store: str, source: str, folder: str = "") ->
         return None
     with scratch_scope(spark):
         scratch = Scratch(spark, "ingest")
-        accepted, rejected = ingest_gate(scratch.save(files), folder)
-        in_order = sort_once(accepted, "mod_time", "source_path")
-        creates = scratch.save(as_creates(in_order, F.monotonically_increasing_id()))
-        return commit_changes(spark, store, creates, source, refused=as_rejects(rejected))
+        with scratch_scope(spark):  # the files as they came are gone before the commit needs the space
+            creates, refused = _gated(scratch, Scratch(spark, "files"), files, folder)
+        return commit_changes(spark, store, creates, source, refused=refused, written=True)
+
+
+def _gated(scratch: Scratch, passing: Scratch, files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(creates, refused)`` of a drop, both written; only narrow rows are sorted."""
+    came = passing.save(files.withColumn("_file", F.monotonically_increasing_id()))
+    in_order = sort_once(came.select("_file", F.unix_millis("modificationTime").alias("mod_time"), "path"), "mod_time", "path")
+    places = passing.save(in_order.select("_file", F.monotonically_increasing_id().alias("_place")))
+    accepted, rejected = ingest_gate(came, folder, keep=["_file"])
+    creates = scratch.save(as_creates(accepted.join(places, "_file"), F.col("_place")))
+    return creates, scratch.save(as_rejects(rejected))
 
 
 def stream_ingest(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 import random
+import time
+from pathlib import Path
 
 import pytest
 from log_model import Model
@@ -19,7 +21,9 @@ from marginalia.operators import (
     sessions,
 )
 from marginalia.schema import CHANGES
+from marginalia.scratch import shared_dir
 from marginalia.sources import expire_snapshots, read_rejects, read_store
+from marginalia.sources.files import scan_files
 from marginalia.sources.store import CommitConflict, _mark, last_commit
 from marginalia.streaming import (
     apply_batch,
@@ -291,6 +295,43 @@ def test_files_that_drop_in_are_listed_by_tasks(spark, tmp_path):
     assert not [p for p in checkpoint.glob("sources/**/*") if p.is_file() and b".md" in p.read_bytes()]
 
 
+def test_a_drop_leaves_no_copies_of_its_files(spark, tmp_path, monkeypatch, request):
+    """When a drop is committed its contents are on disk once, as changes; neither exchanges nor the files as they came are left."""
+    module = importlib.import_module("marginalia.streaming.ingest")
+    drop, store, seen = tmp_path / "drop", str(tmp_path / "store"), []
+    drop.mkdir()
+    for i in range(40):
+        (drop / f"n{i:02}.{'md' if i % 4 else 'exe'}").write_text(f"text {i}")
+    scratch = Path(shared_dir(spark).removeprefix("file:"))
+    local = [Path(d) for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+
+    def tables():
+        return {table for run in scratch.iterdir() for table in run.iterdir()}
+
+    def shuffled():
+        return {path for folder in local for path in folder.rglob("shuffle_*.data")}
+
+    before = tables(), shuffled()
+    commit = module.commit_changes
+
+    def looked(spark, store, changes, *args, **kw):
+        for _ in range(100):  # Spark deletes them in the background
+            if not (left := shuffled() - before[1]):
+                break
+            time.sleep(0.1)
+        new = [spark.read.parquet(str(table)) for table in tables() - before[0]]
+        seen.append((sum("content" in t.columns and not t.filter("content IS NOT NULL").isEmpty() for t in new), left, changes.count()))
+        return commit(spark, store, changes, *args, **kw)
+
+    monkeypatch.setattr(module, "commit_changes", looked)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold))
+    assert ingest_batch(scan_files(spark, str(drop)), store, "s#0", "in") == 1
+    assert seen == [(1, set(), 30)] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert read_store(spark, store)[0].count() == 30 and read_rejects(spark, store).count() == 10
+
+
 @pytest.mark.parametrize("kind", ["sessions", "queue"])
 def test_keys_share_states(spark, tmp_path, monkeypatch, kind):
     module = importlib.import_module(f"marginalia.streaming.{kind}")

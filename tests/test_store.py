@@ -27,6 +27,7 @@ from marginalia.sources import (
     write_buckets,
     write_snapshot,
 )
+from marginalia.sources import commits as commits_module
 from marginalia.sources import store as store_module
 from marginalia.sources.buckets import plan_layout
 from marginalia.sources.store import _mark, last_commit, layout_of, read_buckets
@@ -161,6 +162,31 @@ def test_a_conflicting_log_is_worked_out_again(spark, tmp_path, monkeypatch):
         commit_changes(spark, store, changes(spark, log), retries=0)
 
 
+def test_new_notes_are_added_to_their_buckets(spark, tmp_path, monkeypatch):
+    """A commit of new notes writes those and no others; a bucket in many parts, or with a changed note, is one part again."""
+    monkeypatch.setattr(commits_module, "BUCKET_PARTS", 3)
+    rows = corpus(60)
+    store, model = made(spark, tmp_path, rows, buckets=1), Model(rows)
+
+    def commit(number, *log):
+        assert commit_changes(spark, store, changes(spark, log)) == number
+        model.apply(log)
+        holds(spark, store, model)
+        (folder,) = (tmp_path / "store").glob(f"snapshot-{number:012d}-*/notes")
+        return spark.read.parquet(str(folder)).count(), len(last_commit(spark, store)["notes"])
+
+    assert commit(2, change(1, "create", name="n1", folder="a", content="new", tags=["Rare"], ts=5), change(2, "create", name="k", folder="new", content="k")) == (2, 2)
+    assert read_folder(spark, store, "a").count() == 11 and read_note(spark, store, "new/k.md").first().content == "k"
+    assert read_tagged(spark, store, "rare").count() == 1 and read_tagged(spark, store, "t").count() == 60
+    assert commit(3, change(3, "duplicate", "a/n1.md")) == (1, 3)
+    assert commit(4, change(4, "create", name="l", folder="new", content="l")) == (64, 1)
+    assert commit(5, change(5, "create", name="m", folder="new", content="m")) == (1, 2)
+    assert commit(6, change(6, "update", "new/m.md", content="now", tags=[]), change(7, "create", name="o", content="o")) == (66, 1)
+    assert commit(7, change(8, "create", name="p", content="p")) == (1, 2)
+    assert expire_snapshots(spark, store, keep=1) == 6
+    holds(spark, store, model)
+
+
 def test_expiring_keeps_what_is_shared(spark, tmp_path):
     rows = corpus(60)
     store, model = made(spark, tmp_path, rows, buckets=10), Model(rows)
