@@ -138,7 +138,7 @@ def _commit(
     if refused is not None:
         rejects = rejects.select(*CHANGES.fieldNames(), "reason").unionByName(refused)
     if not commit:
-        notes = scratch.save(log.new_notes())
+        notes = scratch.save(log.new_notes(), bodies=True)
         return write_snapshot(notes, log.new_folders(), store, rejects, source=source, expected=0, tables=tables)
     if log.moves:
         read.update(b for buckets in commit["notes"].values() for b in buckets)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from marginalia.operators.search import has_tag
 from marginalia.operators.tree import all_folders
 from marginalia.schema import CHANGES, FOLDERS, NOTES
+from marginalia.scratch import BODIES
 from marginalia.sources.buckets import Layout, plan_layout
 
 _COMMITS = "_commits"
@@ -216,7 +217,7 @@ def _write_notes(notes: DataFrame, layout: Layout, base: str) -> list[int]:
     order = [_BUCKET, "folder", "path"]
     placed = notes.withColumn(_BUCKET, layout.bucket(F.col("folder"), F.col("path")))
     placed = placed.select(_BUCKET, *NOTES.fieldNames()).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.write.partitionBy(_BUCKET).parquet(f"{base}/notes")
+    placed.write.option("compression", BODIES).partitionBy(_BUCKET).parquet(f"{base}/notes")
     filesystem, path = _filesystem(notes.sparkSession, f"{base}/notes")
     names = [status.getPath().getName() for status in filesystem.listStatus(path)]
     return sorted(int(name.partition("=")[2]) for name in names if name.startswith(f"{_BUCKET}="))

@@ -35,11 +35,11 @@ def ingest_batch(files: DataFrame, store: str, source: str, folder: str = "") ->
 
 def _gated(scratch: Scratch, passing: Scratch, files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """``(creates, refused)`` of a drop, both written; only narrow rows are sorted."""
-    came = passing.save(files.withColumn("_file", F.monotonically_increasing_id()))
+    came = passing.save(files.withColumn("_file", F.monotonically_increasing_id()), bodies=True)
     in_order = sort_once(came.select("_file", F.unix_millis("modificationTime").alias("mod_time"), "path"), "mod_time", "path")
     places = passing.save(in_order.select("_file", F.monotonically_increasing_id().alias("_place")))
     accepted, rejected = ingest_gate(came, folder, keep=["_file"])
-    creates = scratch.save(as_creates(accepted.join(places, "_file"), F.col("_place")))
+    creates = scratch.save(as_creates(accepted.join(places, "_file"), F.col("_place")), bodies=True)
     return creates, scratch.save(as_rejects(rejected))
 
 
